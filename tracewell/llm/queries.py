@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, warc, wavelet
+from . import media, packing, suffixdedup, warc, wavelet, wordtable
 
 
 def _path(name: str) -> str:
@@ -31,16 +31,26 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_table(spark, sf_dir, "documents"))
 
 
+def op6_bpe_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordtable.encode_decode(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"))
+
+
 def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_shards(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op3_warc": op3_warc,
         "op5_media_columns": op5_media_columns,
+        "op6_bpe_word_table": op6_bpe_word_table,
         "op7_wavelet_tokens": op7_wavelet_tokens,
+        "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
 
 
