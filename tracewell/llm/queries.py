@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, suffixdedup, warc, wavelet, wordtable
+from . import media, minhash, packing, suffixdedup, warc, wavelet, wordtable
 
 
 def _path(name: str) -> str:
@@ -23,6 +23,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_rank")
 
@@ -46,6 +50,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_warc": op3_warc,
         "op5_media_columns": op5_media_columns,
         "op6_bpe_word_table": op6_bpe_word_table,
