@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, minhash, packing, suffixdedup, warc, wavelet, wordtable
+from . import embeddings, media, minhash, packing, quality, suffixdedup, warc, wavelet, wordtable
 
 
 def _path(name: str) -> str:
@@ -31,6 +31,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_rank")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,10 @@ def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_shards(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.removal_digests(_table(spark, sf_dir, "documents"))
 
@@ -52,9 +60,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_warc": op3_warc,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_media_columns": op5_media_columns,
         "op6_bpe_word_table": op6_bpe_word_table,
         "op7_wavelet_tokens": op7_wavelet_tokens,
+        "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
 
