@@ -34,7 +34,7 @@ from . import work
 BLOCK_BYTES = 8_000_000
 BUCKET_BYTES = 16_000_000
 
-MANIFEST = pa.schema([("uri", pa.string()), ("documents", pa.int64()), ("bytes", pa.int64())])
+MANIFEST = pa.schema([("uri", pa.string()), ("documents", pa.int64()), ("bytes", pa.int64()), ("weight", pa.int64())])
 PACKED = pa.schema([("uri", pa.string()), ("bucket", pa.int64()), ("payload", pa.binary())])
 PACKED_DDL = "uri string, bucket bigint, payload binary"
 
@@ -67,8 +67,10 @@ def unplanes(data: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(dtype).ravel()
 
 
-def write_blocks(docs: DataFrame, folder: str, make: Callable[[list, list[bytes]], bytes], *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of the rows (id bigint, body binary) of ``docs``; ``make(ids, bodies)`` gives a file's bytes.
+def write_blocks(docs: DataFrame, folder: str, make: Callable[[list, list[bytes]], tuple[bytes, int]], *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of the rows (id bigint, body binary) of ``docs``; ``make(ids, bodies)`` gives a file's bytes and a weight.
+
+    Returns the manifest: uri, documents, bytes of the bodies, and weight, which is the operator's to use.
 
     A null body is an empty one.  A block ends at ``block_bytes``; a longer document is a block of its own.
     """
@@ -78,8 +80,9 @@ def write_blocks(docs: DataFrame, folder: str, make: Callable[[list, list[bytes]
 
         def close():
             uri = f"{folder}/blocks/{work.fresh_name('block')}"
-            work.write_file(uri, make(ids, bodies))
-            return work.batch_of(MANIFEST, uri=[uri], documents=[len(ids)], bytes=[size])
+            data, weight = make(ids, bodies)
+            work.write_file(uri, data)
+            return work.batch_of(MANIFEST, uri=[uri], documents=[len(ids)], bytes=[size], weight=[weight])
 
         for batch in batches:
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -93,7 +96,7 @@ def write_blocks(docs: DataFrame, folder: str, make: Callable[[list, list[bytes]
         if ids:
             yield close()
 
-    return work.materialize(docs.mapInArrow(pack, "uri string, documents bigint, bytes bigint"), f"{folder}/manifest")
+    return work.materialize(docs.mapInArrow(pack, "uri string, documents bigint, bytes bigint, weight bigint"), f"{folder}/manifest")
 
 
 def bucket_count(manifest: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
@@ -104,7 +107,12 @@ def bucket_count(manifest: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
 
 def spread(manifest: DataFrame) -> DataFrame:
     """Block rows dealt evenly to tasks of a few blocks."""
-    return manifest.repartition(max(1, min(manifest.count(), 4096)))
+    return manifest.repartition(max(1, min(manifest.count(), MOST_PARTITIONS)))
+
+
+def by_block(rows: DataFrame, manifest: DataFrame):
+    """Rows grouped by block, in about as many tasks as there are blocks."""
+    return rows.repartition(max(1, min(manifest.count(), MOST_PARTITIONS)), "uri").groupBy("uri")
 
 
 def ask(manifest: DataFrame, questions: Callable[[bytes], Iterator[tuple[int, bytes]]]) -> DataFrame:
@@ -120,14 +128,21 @@ def ask(manifest: DataFrame, questions: Callable[[bytes], Iterator[tuple[int, by
     return spread(manifest).select("uri").mapInArrow(run, PACKED_DDL)
 
 
-def answer(questions: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """Rows (uri, bucket, payload): for each question of a bucket its answer, in the order given to ``reply``."""
+#: Partitions of a shuffle that are spread over tasks however few bytes they have.
+MOST_PARTITIONS = 4096
+
+
+def answer(questions: DataFrame, buckets: int, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+    """Rows (uri, bucket, payload): for each question of a bucket its answer, in the order given to ``reply``.
+
+    The partitions are fixed: adaptive execution would merge them by their few bytes, not by their work.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         replies = reply(table.column("payload").to_pylist())
         return table.set_column(2, "payload", pa.array(replies, pa.binary()))
 
-    return questions.groupBy("bucket").applyInArrow(run, PACKED_DDL)
+    return questions.repartition(min(2 * buckets, MOST_PARTITIONS), "bucket").groupBy("bucket").applyInArrow(run, PACKED_DDL)
 
 
 def settle(manifest: DataFrame, answers: DataFrame, finish: Callable[[bytes, dict[int, bytes]], pa.Table], ddl: str) -> DataFrame:
@@ -138,4 +153,4 @@ def settle(manifest: DataFrame, answers: DataFrame, finish: Callable[[bytes, dic
         told = {b: p for b, p in zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist(), strict=True) if p is not None}
         return finish(work.read_file(table.column("uri")[0].as_py()), told)
 
-    return all_.groupBy("uri").applyInArrow(run, ddl)
+    return by_block(all_, manifest).applyInArrow(run, ddl)

@@ -94,7 +94,7 @@ def describe(docs: DataFrame, *, id_col: str, text_col: str, width: int) -> Data
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("binary")).mapInArrow(run, "doc_id bigint, n_shingles bigint, class binary, signature binary")
 
 
-def _runs(batches, columns: int, most: int | None = None):
+def runs(batches, columns: int, most: int | None = None):
     """Runs of equal first column in batches sorted by it: (columns, whether the run is one of several parts).
 
     A run of more than ``most`` rows comes in parts; each part begins with the run's first row.
@@ -171,7 +171,7 @@ def close_pairs(keyed: DataFrame) -> DataFrame:
 
     def run(batches):
         us, vs = [], []
-        for (key, reps, signed), parted in _runs(batches, 3, COMPARED):
+        for (key, reps, signed), parted in runs(batches, 3, COMPARED):
             n = len(key)
             if parted or n > COMPARED:
                 edges = [(0, j) for j in range(1, n)]
@@ -257,7 +257,7 @@ def confirm(docs: DataFrame, clusters: DataFrame, *, id_col: str, text_col: str,
     tasks = with_sets.select("component", "node", "shingles", "own", partner.alias("other")).select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "shingles")
 
     def check(batches):
-        for (_, nodes, packed), _ in _runs(batches, 3):
+        for (_, nodes, packed), _ in runs(batches, 3):
             if len(nodes) > 1:
                 edges = confirmed(nodes.tolist(), [np.frombuffer(p, np.uint64) for p in packed], percent)
                 if edges:

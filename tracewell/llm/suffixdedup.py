@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import work
-from .blocks import answer, ask, bucket_count, expand, settle, squeeze, write_blocks
+from .blocks import answer, ask, bucket_count, by_block, expand, settle, squeeze, write_blocks
+from .strings import BYTE, PrefixHash, mixed, powers
 
 LENGTH = 100
 GRAM = 40
@@ -43,50 +44,6 @@ GRAM = 40
 CHUNK = 1 << 19
 HOT_PHRASES = 20_000
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    x ^= x >> np.uint64(29)
-    x *= _ODD
-    x ^= x >> np.uint64(32)
-    return x
-
-
-_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    if n not in _POWERS:
-        _POWERS.clear()
-        base = int(_ODD)
-        up, down = np.full(n, _ODD), np.full(n, np.uint64(pow(base, -1, 1 << 64)))
-        up[0] = down[0] = 1
-        _POWERS[n] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[n]
-
-
-class PrefixHash:
-    """Hashes of any substrings of a byte string."""
-
-    def __init__(self, data: np.ndarray):
-        up, self.down = _powers(CHUNK + 2 * LENGTH)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-
-    def every(self, width: int) -> np.ndarray:
-        """Of the substring of that width at each start."""
-        n = len(self.sums) - width
-        return _mixed((self.sums[width:] - self.sums[:n]) * self.down[:n])
-
-
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     size = 1
     while size * 2 <= width:
@@ -194,10 +151,10 @@ class Block:
         self.copy = repeated(self.trigger, self.hash)
 
     @staticmethod
-    def make(ids: list, bodies: list[bytes]) -> bytes:
+    def make(ids: list, bodies: list[bytes]) -> tuple[bytes, int]:
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
         known = np.array([0 if ids[i] is None else ids[i] for i in order], "<i8")
-        return squeeze(known, np.array([ids[i] is None for i in order], np.uint8), np.array([len(bodies[i]) for i in order], "<i8"), b"".join(bodies[i] for i in order))
+        return squeeze(known, np.array([ids[i] is None for i in order], np.uint8), np.array([len(bodies[i]) for i in order], "<i8"), b"".join(bodies[i] for i in order)), 0
 
     def parse_order(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Document and start in it of places in the block; a null id comes first."""
@@ -258,7 +215,7 @@ def window_hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
     out = [np.zeros(0, np.uint64)]
     for at in range(0, len(places), 1 << 15):
         rows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[places[at : at + (1 << 15)]]
-        out.append(_mixed((_BYTE[rows] * _powers(CHUNK + 2 * LENGTH)[0][:LENGTH]).sum(axis=1, dtype=np.uint64)))
+        out.append(mixed((BYTE[rows] * powers(LENGTH)[0][:LENGTH]).sum(axis=1, dtype=np.uint64)))
     return np.concatenate(out)
 
 
@@ -296,7 +253,7 @@ def duplicate_spans(docs: DataFrame, per_block, ddl: str, *, id_col: str = "doc_
             doc, at = block.parse_order(block.first[own])
             yield bucket, squeeze((block.trigger[own] >> np.uint64(20)).astype("<u4"), block.hash[own], doc, at.astype("<i4"), block.periodic[own])
 
-    verdicts = work.materialize(answer(ask(manifest, ask_phrases), judge_phrases), f"{folder}/verdicts")
+    verdicts = work.materialize(answer(ask(manifest, ask_phrases), buckets, judge_phrases), f"{folder}/verdicts")
 
     def verdict_of(block: Block, told: dict[int, bytes]) -> np.ndarray:
         verdict = np.full(len(block.first), COPY, np.uint8)
@@ -318,8 +275,8 @@ def duplicate_spans(docs: DataFrame, per_block, ddl: str, *, id_col: str = "doc_
     def ask_windows(table: pa.Table) -> pa.Table:
         return ask_windows_of(table.column("uri")[0].as_py(), dict(zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist(), strict=True)))
 
-    edges = verdicts.groupBy("uri").applyInArrow(ask_windows, "uri string, bucket bigint, payload binary")
-    windows = answer(edges, judge_windows)
+    edges = by_block(verdicts, manifest).applyInArrow(ask_windows, "uri string, bucket bigint, payload binary")
+    windows = answer(edges, buckets, judge_windows)
     # One group of a block has both kinds of answers: those about windows under negative buckets below -1.
     both = verdicts.unionByName(windows.withColumn("bucket", -2 - F.col("bucket")))
 

@@ -52,14 +52,14 @@ def encode_word(word: str, tokenizer) -> bytes:
 
 
 def _make_block(path: str):
-    def make(ids: list, bodies: list[bytes]) -> bytes:
+    def make(ids: list, bodies: list[bytes]) -> tuple[bytes, int]:
         tokenizer = encoder(path, "word")
         places = defaultdict(count().__next__)
         rows = [array("I", map(places.__getitem__, split_words(b.decode("utf-8"), tokenizer))) for b in bodies]
         flat = np.concatenate([np.frombuffer(r, np.uint32) if r else np.zeros(0, np.uint32) for r in rows])
         none = np.array([i is None for i in ids], np.uint8)
         known = np.array([0 if i is None else i for i in ids], "<i8")
-        return squeeze(known, none, np.array([len(r) for r in rows], "<i8"), planes(flat), "\n".join(places).encode())
+        return squeeze(known, none, np.array([len(r) for r in rows], "<i8"), planes(flat), "\n".join(places).encode()), len(flat)
 
     return make
 
@@ -113,7 +113,7 @@ def encoded_blocks(docs: DataFrame, path: str, folder: str, per_document, ddl: s
 
     ARROW = pa.schema([(name, pa.string() if kind == "string" else pa.int64()) for name, kind in (c.split() for c in ddl.split(", "))])
     questions_ = ask(manifest, questions)
-    return settle(manifest, answer(questions_, reply), finish, ddl)
+    return settle(manifest, answer(questions_, buckets, reply), finish, ddl)
 
 
 _PIECES: dict[str, list[bytes]] = {}
