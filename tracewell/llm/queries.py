@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, media, minhash, packing, quality, suffixdedup, warc, wavelet, wordtable
+from . import embeddings, media, minhash, packing, pitmanyor, quality, suffixdedup, warc, wavelet, wordtable
 
 
 def _path(name: str) -> str:
@@ -47,6 +47,10 @@ def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_shards(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
 
 
+def op8_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.text_scores(_table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_media_columns": op5_media_columns,
         "op6_bpe_word_table": op6_bpe_word_table,
         "op7_wavelet_tokens": op7_wavelet_tokens,
+        "op8_pitman_yor_scores": op8_pitman_yor_scores,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
