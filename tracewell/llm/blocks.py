@@ -67,38 +67,53 @@ def unplanes(data: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(dtype).ravel()
 
 
-def write_blocks(docs: DataFrame, folder: str, make: Callable[[list, list[bytes]], tuple[bytes, int]], *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of the rows (id bigint, body binary) of ``docs``; ``make(ids, bodies)`` gives a file's bytes and a weight.
+def write_blocks(docs: DataFrame, folder: str, make: Callable[..., tuple[bytes, int]], *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of the rows of ``docs``: an id (bigint), a body (binary) and any further columns.
 
+    ``make(ids, bodies, rest)`` gives a file's bytes and a weight; rest is the table of the further columns.
     Returns the manifest: uri, documents, bytes of the bodies, and weight, which is the operator's to use.
-
     A null body is an empty one.  A block ends at ``block_bytes``; a longer document is a block of its own.
     """
 
     def pack(batches):
-        ids, bodies, size = [], [], 0
+        ids, bodies, rest, size = [], [], [], 0
 
         def close():
             uri = f"{folder}/blocks/{work.fresh_name('block')}"
-            data, weight = make(ids, bodies)
+            data, weight = make(ids, bodies, pa.Table.from_batches(rest))
             work.write_file(uri, data)
             return work.batch_of(MANIFEST, uri=[uri], documents=[len(ids)], bytes=[size], weight=[weight])
 
         for batch in batches:
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            others, begin = batch.select(batch.schema.names[2:]), 0
+            for at, (doc, body) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 own = body.as_py() or b""
                 if ids and size + len(own) > block_bytes:
+                    rest.append(others.slice(begin, at - begin))
                     yield close()
-                    ids, bodies, size = [], [], 0
+                    ids, bodies, rest, size, begin = [], [], [], 0, at
                 ids.append(doc)
                 bodies.append(own)
                 size += len(own)
+            rest.append(others.slice(begin))
         if ids:
             yield close()
 
     return work.materialize(docs.mapInArrow(pack, "uri string, documents bigint, bytes bigint, weight bigint"), f"{folder}/manifest")
 
 
+def table_bytes(table: pa.Table) -> bytes:
+    """A table as an Arrow stream; :func:`bytes_table` reads it."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table.combine_chunks())
+    return out.getvalue().to_pybytes()
+
+
+def bytes_table(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
 def bucket_count(manifest: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Buckets for questions of about the text's size."""
     total = manifest.agg(F.sum("bytes")).first()[0] or 0

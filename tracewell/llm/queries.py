@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import embeddings, media, minhash, packing, pitmanyor, quality, suffixdedup, warc, wavelet, wordtable
 
 
@@ -71,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pitman_yor_scores": op8_pitman_yor_scores,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 

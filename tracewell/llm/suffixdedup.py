@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import work
-from .blocks import answer, ask, bucket_count, by_block, expand, settle, squeeze, write_blocks
+from .blocks import answer, ask, bucket_count, by_block, bytes_table, expand, settle, squeeze, table_bytes, write_blocks
 from .strings import BYTE, PrefixHash, mixed, powers
 
 LENGTH = 100
@@ -141,7 +141,7 @@ class Block:
     """A block's documents in id order, and the questions its phrases give rise to."""
 
     def __init__(self, stored: bytes):
-        ids, none, lengths, body = expand(stored)
+        ids, none, lengths, body, self._rest = expand(stored)
         self.docs = np.frombuffer(ids, "<i8")
         self.none = np.frombuffer(none, np.uint8)
         self.lengths = np.frombuffer(lengths, "<i8")
@@ -151,10 +151,14 @@ class Block:
         self.copy = repeated(self.trigger, self.hash)
 
     @staticmethod
-    def make(ids: list, bodies: list[bytes]) -> tuple[bytes, int]:
+    def make(ids: list, bodies: list[bytes], rest: pa.Table) -> tuple[bytes, int]:
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
         known = np.array([0 if ids[i] is None else ids[i] for i in order], "<i8")
-        return squeeze(known, np.array([ids[i] is None for i in order], np.uint8), np.array([len(bodies[i]) for i in order], "<i8"), b"".join(bodies[i] for i in order)), 0
+        return squeeze(known, np.array([ids[i] is None for i in order], np.uint8), np.array([len(bodies[i]) for i in order], "<i8"), b"".join(bodies[i] for i in order), table_bytes(rest.take(order))), 0
+
+    def rest(self) -> pa.Table:
+        """The documents' further columns."""
+        return bytes_table(self._rest)
 
     def parse_order(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Document and start in it of places in the block; a null id comes first."""
@@ -241,10 +245,13 @@ class Edges:
         self.parts = [(int(bucket[x[0]]), first[x], count[x]) for x in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(x)]
 
 
-def duplicate_spans(docs: DataFrame, per_block, ddl: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows that ``per_block(block, removed)`` makes, where removed marks the bytes of the block to remove."""
+def duplicate_spans(docs: DataFrame, per_block, ddl, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that ``per_block(block, removed)`` makes, where removed marks the bytes of the block to remove.
+
+    ``carry`` names further columns that come along in ``block.rest()``.
+    """
     folder = work.workspace(docs.sparkSession, "suffixes")
-    manifest = write_blocks(docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("binary")), folder, Block.make)
+    manifest = write_blocks(docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("binary"), *(F.col(c).alias(f"carried{k}") for k, c in enumerate(carry))), folder, Block.make)
     buckets = bucket_count(manifest)
 
     def ask_phrases(data: bytes):
@@ -314,18 +321,21 @@ def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return duplicate_spans(docs, digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", id_col=id_col, text_col=text_col)
 
 
-def kept_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and kept: each text without its repeated strings.
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, each text without its repeated strings.
 
-    A character of which only some bytes were removed is dropped whole.
+    A character of which only some bytes were removed is dropped whole; null texts become empty.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("kept", pa.string())])
+    schema = docs.schema
 
     def cut(block: Block, removed: np.ndarray) -> pa.Table:
-        ids, texts = [], []
-        for doc, none, stop, n in zip(block.docs.tolist(), block.none.tolist(), block.stops.tolist(), block.lengths.tolist(), strict=True):
-            ids.append(None if none else doc)
-            texts.append(block.data[stop - n : stop][~removed[stop - n : stop]].tobytes().decode("utf-8", "ignore"))
-        return pa.table([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], schema=schema)
-
-    return duplicate_spans(docs, cut, "doc_id bigint, kept string", id_col=id_col, text_col=text_col)
+        texts = [block.data[stop - n : stop][~removed[stop - n : stop]].tobytes().decode("utf-8", "ignore") for stop, n in zip(block.stops.tolist(), block.lengths.tolist(), strict=True)]
+        rest = block.rest()
+        at = names.index(text_col)
+        return rest.set_column(at, "text", pa.array(texts, pa.string())).rename_columns(names)
+
+    # The text's place among the carried columns is held by a null.
+    names = docs.columns
+    held = docs.withColumn("__place", F.lit(None).cast("boolean"))
+    carry = tuple("__place" if n == text_col else n for n in names)
+    return duplicate_spans(held, cut, schema, id_col=id_col, text_col=text_col, carry=carry)

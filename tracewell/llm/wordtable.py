@@ -52,7 +52,7 @@ def encode_word(word: str, tokenizer) -> bytes:
 
 
 def _make_block(path: str):
-    def make(ids: list, bodies: list[bytes]) -> tuple[bytes, int]:
+    def make(ids: list, bodies: list[bytes], _rest: pa.Table) -> tuple[bytes, int]:
         tokenizer = encoder(path, "word")
         places = defaultdict(count().__next__)
         rows = [array("I", map(places.__getitem__, split_words(b.decode("utf-8"), tokenizer))) for b in bodies]
