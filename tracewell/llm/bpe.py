@@ -25,11 +25,38 @@ _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 WORD_PIECES = f"{_ENDINGS}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"
 BYTE_PIECES = f"{_ENDINGS}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
+# The byte alphabet of byte-level vocabularies: printable Latin-1 characters stand for
+# themselves, the other bytes for the characters from U+0100 on.
+_PRINTABLE = frozenset((*range(33, 127), *range(161, 173), *range(174, 256)))
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+_BYTE_LETTERS = {b: b if b in _PRINTABLE else 256 + _OTHERS.index(b) for b in range(256)}
+
 #: Pieces kept per generation, and characters of text cut at a time.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 CHUNK_CHARS = 1_000_000
 
 
+class PieceCache(dict):
+    """piece -> ids; a missing piece is taken from the generation before, or merged."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge = merge
+        self.old: dict[str, bytes] = {}
+        self.weight = 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.merge(piece)
+        self[piece] = ids
+        self.weight += 1 + len(piece) // 32
+        if self.weight > CACHE_PIECES:
+            self.old, self.weight = dict(self), 0
+            self.clear()
+        return ids
+
+
 class PieceEncoder:
     """Encoder of whole texts to the bytes of their little-endian ids.
 
@@ -50,44 +77,32 @@ class PieceEncoder:
         self.typecode = typecode
         self.width = array(typecode).itemsize
         self.pieces = re.compile(WORD_PIECES if kind == "word" else BYTE_PIECES).findall
-        self.odd = re.compile(f"[^{_PLAIN}]|<\\|").search
+        self.strange = re.compile(f"[^{_PLAIN}]").search
         # A cut is only made in front of a space between two other characters: a piece starts there.
         self.cut = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])").search
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.weight = 0
+        self.ids_of = PieceCache(self.merge).__getitem__
+
+    def odd(self, text: str, lowered: str) -> bool:
+        """Whether the pattern may not be equivalent, or a special token may occur."""
+        return "<|" in text or not lowered.isascii() and self.strange(lowered) is not None
+
+    def merge(self, piece: str) -> bytes:
+        """Ids of one piece of plain characters; it needs no further normalizing or cutting."""
+        letters = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array(self.typecode, [token.id for token in self.tokenizer.model.tokenize(letters)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return array(self.typecode, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, pieces) -> None:
-        """Make every given piece known in the young generation."""
-        missing = []
-        for piece in pieces:
-            known = self.old.get(piece)
-            if known is None:
-                missing.append(piece)
-            else:
-                self.young[piece] = known
-        for piece, encoding in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.young[piece] = array(self.typecode, encoding.ids).tobytes()
-            self.weight += 1 + len(piece) // 32
-
     def _plain(self, text: str) -> bytes:
-        pieces = self.pieces(text)
-        unknown = set(pieces).difference(self.young)
-        if unknown:
-            self.learn(unknown)
-        return b"".join(map(self.young.__getitem__, pieces))
+        return b"".join(map(self.ids_of, self.pieces(text)))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one text; a null text is an empty one."""
         if not text:
             return b""
-        if self.weight > CACHE_PIECES:
-            self.old, self.young, self.weight = self.young, {}, 0
         lowered = text.lower() if self.lower else text
-        if self.odd(lowered) or self.odd(text):
+        if self.odd(text, lowered):
             return self._whole(text)
         if len(lowered) <= CHUNK_CHARS:
             return self._plain(lowered)
