@@ -133,12 +133,12 @@ def label_paragraphs(spark, sf):
     return L.label_paragraphs(named.withColumn("span_id", F.concat_ws("_p", F.col("doc_id").cast("string"), F.col("paragraph_index").cast("string"))))
 
 
-_SECTIONS = "('Introduction', 'macro'), ('Methods ::: Experiments', 'micro'), ('Related Work', 'macro'), ('Model Architecture', 'meso'), ('Results', 'micro'), ('Epilogue', NULL), ('Case Study', 'micro'), ('Task Definition ::: Overview', 'meso')"
+_SECTIONS = "('Introduction', 'macro'), ('Methods ::: Experiments', 'micro'), ('Related Work', 'macro'), ('Model Architecture', 'meso'), ('Results', 'micro'), ('Epilogue', NULL), ('Case Studies', NULL), ('Task Definition ::: Overview', 'meso')"
 
 
 @query("q_section_levels", f"SELECT s AS section_name, l AS level FROM (VALUES {_SECTIONS}) v(s, l)")
 def section_levels(spark, sf):
-    names = ["Introduction", "Methods ::: Experiments", "Related Work", "Model Architecture", "Results", "Epilogue", "Case Study", "Task Definition ::: Overview"]
+    names = ["Introduction", "Methods ::: Experiments", "Related Work", "Model Architecture", "Results", "Epilogue", "Case Studies", "Task Definition ::: Overview"]
     rows = spark.range(len(names)).select(F.get(F.array(*(F.lit(n) for n in names)), F.col("id").cast("int")).alias("section_name"))
     return rows.select("section_name", X.section_level(F.col("section_name")).alias("level"))
 
@@ -340,7 +340,7 @@ def median_split(spark, sf):
 
 @query("q_crosstab", "SELECT source, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'es') AS es, count(*) FILTER (WHERE lang = 'fr') AS fr FROM documents GROUP BY source")
 def crosstab(spark, sf):
-    return load_table(spark, sf, "documents").groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.count("*")).na.fill(0)
+    return load_table(spark, sf, "documents").groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @query("q_outer_merge", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality, b.toxic FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id, toxic FROM labels WHERE doc_id % 3 = 0) b ON a.doc_id = b.doc_id")
