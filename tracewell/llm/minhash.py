@@ -252,7 +252,8 @@ def confirm(docs: DataFrame, clusters: DataFrame, *, id_col: str, text_col: str,
             packed = [s.tobytes() for part in batches_of(bodies, HASH_BYTES) for s in shingle_sets(bodies[part], width)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(packed, pa.binary())], schema=sets_schema)
 
-    with_sets = members.join(texts, "node").select("component", "blocks", "own", "node", "body").mapInArrow(to_sets, "component bigint, blocks int, own int, node bigint, shingles binary")
+    # Always by a shuffle of both sides: a broadcast of few members would make small and large inputs behave differently.
+    with_sets = members.join(texts.hint("merge"), "node").select("component", "blocks", "own", "node", "body").mapInArrow(to_sets, "component bigint, blocks int, own int, node bigint, shingles binary")
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = with_sets.select("component", "node", "shingles", "own", partner.alias("other")).select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "shingles")
 
