@@ -46,7 +46,7 @@ def bucket_order(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarr
 
 def encode_word(word: str, tokenizer) -> bytes:
     """Ids of a word that :func:`split_words` gave."""
-    if tokenizer.odd(word, word) or tokenizer.pieces(word) != [word]:
+    if tokenizer.odd(word, word) or word != word.lower() or tokenizer.pieces(word) != [word]:
         return array("I", tokenizer.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
     return tokenizer.merge(word)
 
