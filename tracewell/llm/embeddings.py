@@ -6,7 +6,9 @@ its own, a vector must be moved at least to the plane between the two; that is
 a lower bound of how far a partner in another cell is.  A multi-sequence
 traversal visits a vector's cells in the order of these bounds and stops at
 the largest distance a link can have, so the target recall is 1 and every pair
-met in a cell is verified by its cosine in double precision.
+met in a cell is verified by its cosine in double precision.  Cells of one first
+codeword are stored together: a vector is sent once to each such row of the grid
+that it visits, with a mask of the cells in it.
 
 The codebooks are fitted on a sample of at most ``SAMPLE`` vectors; every vector
 is indexed and every vector is a query.  Equal vectors of a label are one
@@ -34,26 +36,30 @@ from .minhash import forest_of, runs
 
 COSINE = 0.98
 #: Codewords of each half, vectors they are fitted on, and rounds of fitting.
-CODEWORDS = 16
+CODEWORDS = 16  # at most 62, as cells are bits of a mask
 SAMPLE = 20_000
 ROUNDS = 12
 #: Members of a block of a cell.
-BLOCK = 1024
+BLOCK = 2048
 
 
-def normalized(vectors: list, labels: list) -> list[bytes | None]:
-    """Unit vectors in double precision as bytes, null where a vector takes no part."""
-    out: list[bytes | None] = []
-    for vector, label in zip(vectors, labels, strict=True):
-        unit = None
-        if label is not None and vector and None not in vector:
-            x = np.array(vector, np.float64)
-            largest = np.abs(x).max()
-            if np.isfinite(x).all() and largest > 0:
-                x = x / largest
-                unit = (x / np.sqrt(x @ x)).tobytes()
-        out.append(unit)
-    return out
+def packed(vector: list | None, label) -> bytes | None:
+    """A vector as bytes, in single precision where that loses nothing; null where it takes no part."""
+    if label is None or not vector or None in vector:
+        return None
+    x = np.array(vector, np.float64)
+    if not np.isfinite(x).all() or not x.any():
+        return None
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return b"f" + short.tobytes() if (short == x).all() else b"d" + x.tobytes()
+
+
+def unit(data: bytes) -> np.ndarray:
+    """A packed vector as a unit vector in double precision."""
+    x = np.frombuffer(data, np.float32 if data[:1] == b"f" else np.float64, offset=1).astype(np.float64)
+    x = x / np.abs(x).max()
+    return x / np.sqrt(x @ x)
 
 
 def fit(sample: np.ndarray, codewords: int = CODEWORDS, rounds: int = ROUNDS) -> np.ndarray:
@@ -104,94 +110,104 @@ def multi_sequence(first: np.ndarray, second: np.ndarray, most: float):
                 heapq.heappush(heap, (first[a[x]] + second[b[y]], x, y))
 
 
-def _units(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """vec_id, label, class (digest of the unit vector) and unit; the last two null where a vector takes no part."""
-    schema = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("class", pa.binary()), ("unit", pa.binary())])
+def _vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """vec_id, label, class (digest of the unit vector) and vector; the last two null where a vector takes no part."""
+    schema = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("class", pa.binary()), ("vector", pa.binary())])
 
     def run(batches):
         for batch in batches:
             labels = batch.column(1).to_pylist()
-            units = normalized(batch.column(2).to_pylist(), labels)
-            classes = [u and hashlib.blake2b(u, digest_size=16).digest() for u in units]
-            yield work.batch_of(schema, vec_id=batch.column(0).to_pylist(), label=labels, unit=units, **{"class": classes})
+            found = [packed(v, label) for v, label in zip(batch.column(2).to_pylist(), labels, strict=True)]
+            classes = [v and hashlib.blake2b(unit(v).tobytes(), digest_size=16).digest() for v in found]
+            yield work.batch_of(schema, vec_id=batch.column(0).to_pylist(), label=labels, vector=found, **{"class": classes})
 
-    return vectors.select(F.col(id_col).cast("bigint"), F.col(label_col).cast("string"), F.col(vector_col)).mapInArrow(run, "vec_id bigint, label string, class binary, unit binary")
+    return vectors.select(F.col(id_col).cast("bigint"), F.col(label_col).cast("string"), F.col(vector_col)).mapInArrow(run, "vec_id bigint, label string, class binary, vector binary")
 
 
 def codebooks(classes: DataFrame, size: int = SAMPLE, codewords: int = CODEWORDS) -> tuple[int, list[np.ndarray]]:
     """Length of most vectors of the sample, and the codewords of their two halves."""
-    sample = [np.frombuffer(r[0]) for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(size).select("unit").collect()]
+    sample = [unit(bytes(r[0])) for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(size).select("vector").collect()]
     if not sample:
         return 0, []
-    lengths = np.bincount([len(x) for x in sample])
-    length = int(lengths.argmax())
+    length = int(np.bincount([len(x) for x in sample]).argmax())
     x = np.stack([v for v in sample if len(v) == length])
     return length, [fit(x[:, : length // 2], codewords), fit(x[:, length // 2 :], codewords)]
 
 
 def visits(classes: DataFrame, length: int, books: list[np.ndarray], cosine: float) -> DataFrame:
-    """Rows (place, query, rep, n, unit): each class in its own cell, and as a query in every cell a link may lead to."""
+    """Rows (place, query, rep, n, vector, cells): each class in its own cell's row of the grid, and as a query in every row a link may lead to.
+
+    cells is a mask over the second codewords.
+    """
     most = 2 - 2 * cosine + 1e-9
-    schema = pa.schema([("place", pa.string()), ("query", pa.bool_()), ("rep", pa.int64()), ("n", pa.int64()), ("unit", pa.binary())])
+    schema = pa.schema([("place", pa.string()), ("query", pa.bool_()), ("rep", pa.int64()), ("n", pa.int64()), ("vector", pa.binary()), ("cells", pa.int64())])
 
     def run(batches):
         for batch in batches:
             rows: dict[str, list] = {f.name: [] for f in schema}
 
-            def add(*values):
+            def add(*values, rows=rows):
                 for own, value in zip(rows.values(), values, strict=True):
                     own.append(value)
 
-            reps, ns, labels, units = (c.to_pylist() for c in batch.columns)
-            x = [np.frombuffer(u) for u in units]
-            usual = [i for i, v in enumerate(x) if len(v) == length and len(books[0]) and length > 1]
+            reps, ns, labels, vectors = (c.to_pylist() for c in batch.columns)
+            x = [unit(v) for v in vectors]
+            usual = [i for i, v in enumerate(x) if len(v) == length > 1]
             for i in sorted(set(range(len(x))) - set(usual)):  # other lengths: one cell for each
                 for query in (False, True):
-                    add(f"{labels[i]}/{len(x[i])}", query, reps[i], ns[i], units[i])
+                    add(f"{labels[i]}/{len(x[i])}", query, reps[i], ns[i], vectors[i], 1)
             if usual:
                 grid = np.stack([x[i] for i in usual])
                 own1, low1 = bounds(grid[:, : length // 2], books[0])
                 own2, low2 = bounds(grid[:, length // 2 :], books[1])
                 for k, i in enumerate(usual):
-                    add(f"{labels[i]}/{length}/{own1[k]}/{own2[k]}", False, reps[i], ns[i], units[i])
+                    add(f"{labels[i]}/{length}/{own1[k]}", False, reps[i], ns[i], vectors[i], 1 << int(own2[k]))
+                    masks: dict[int, int] = {}
                     for a, b in multi_sequence(low1[k], low2[k], most):
-                        add(f"{labels[i]}/{length}/{a}/{b}", True, reps[i], ns[i], units[i])
+                        masks[a] = masks.get(a, 0) | 1 << b
+                    for a, mask in masks.items():
+                        add(f"{labels[i]}/{length}/{a}", True, reps[i], ns[i], vectors[i], mask)
             yield work.batch_of(schema, **rows)
 
-    return classes.select("rep", "n", "label", "unit").mapInArrow(run, "place string, query boolean, rep bigint, n bigint, unit binary")
+    return classes.select("rep", "n", "label", "vector").mapInArrow(run, "place string, query boolean, rep bigint, n bigint, vector binary, cells bigint")
 
 
 def verified(visited: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
-    """Rows (rep, links, u, v): links a query has in a block of a cell, and forest edges of the pairs found."""
-    sizes = visited.groupBy("place").agg(*(F.greatest(F.ceil(F.count_if(F.col("query") == F.lit(q)) / F.lit(block)), F.lit(1)).cast("int").alias(name) for q, name in ((True, "query_blocks"), (False, "own_blocks"))), F.count_if(~F.col("query")).alias("own")).where("own > 0").drop("own")
+    """Rows (rep, links, u, v): links a query has in a block of a row of the grid, and forest edges of the pairs found."""
+    blocks = lambda side: F.greatest(F.ceil(F.count_if(F.col("query") == F.lit(side)) / F.lit(block)), F.lit(1)).cast("int")
+    sizes = visited.groupBy("place").agg(blocks(True).alias("query_blocks"), blocks(False).alias("own_blocks"), F.count_if(~F.col("query")).alias("own")).where("own > 0").drop("own")
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("query"), F.col("query_blocks")).otherwise(F.col("own_blocks"))).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("own_blocks")).otherwise(F.col("query_blocks")) - 1))
     dealt = visited.join(sizes, "place").select("*", own.alias("mine"), others.alias("other"))
     task = F.xxhash64("place", F.when(F.col("query"), F.col("mine")).otherwise(F.col("other")), F.when(F.col("query"), F.col("other")).otherwise(F.col("mine")))
-    tasks = dealt.select(task.alias("task"), "query", "rep", "n", "unit").repartition("task").sortWithinPartitions("task", "query", "rep")
+    tasks = dealt.select(task.alias("task"), "query", "rep", "n", "vector", "cells").repartition("task").sortWithinPartitions("task", "query", "rep")
     schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
-        for (_, query, rep, n, unit), _ in runs(batches, 5):
+        for (_, query, rep, n, vector, cells), _ in runs(batches, 6):
             query = query.astype(bool)
             if query.all() or not query.any():
                 continue
-            x, y = (np.stack([np.frombuffer(u) for u in unit[side]]) for side in (query, ~query))
-            asks, owns = rep[query], rep[~query]
-            linked = (x @ y.T >= cosine) & (asks[:, None] != owns[None])
-            links = linked @ n[~query].astype(np.int64)
-            some = np.flatnonzero(links)
+            x, y = (np.stack([unit(v) for v in vector[side]]) for side in (query, ~query))
+            asks, owns, wanted, cell, weight = rep[query], rep[~query], cells[query], cells[~query], n[~query].astype(np.int64)
+            links = np.zeros(len(asks), np.int64)
             edges = []
-            if len(some):
-                # Forest of the two-sided graph: queries first, then members.
-                q, m = len(some), np.flatnonzero(linked.any(axis=0))
-                both = np.zeros((q + len(m), q + len(m)), bool)
-                both[:q, q:] = linked[np.ix_(some, m)]
-                both[q:, :q] = both[:q, q:].T
-                nodes = np.concatenate((asks[some], owns[m]))
-                edges = [(nodes[i], nodes[j]) for i, j in forest_of(both)]
+            for mask in np.unique(cell):  # a cell with the queries that visit it
+                rows, columns = np.flatnonzero(wanted & mask), np.flatnonzero(cell == mask)
+                if not len(rows):
+                    continue
+                linked = (x[rows] @ y[columns].T >= cosine) & (asks[rows][:, None] != owns[columns][None])
+                links[rows] += linked @ weight[columns]
+                some, hit = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+                if len(some):  # forest of the two-sided graph: queries first, then members
+                    both = np.zeros((len(some) + len(hit),) * 2, bool)
+                    both[: len(some), len(some) :] = linked[np.ix_(some, hit)]
+                    both[len(some) :, : len(some)] = both[: len(some), len(some) :].T
+                    nodes = np.concatenate((asks[rows][some], owns[columns][hit]))
+                    edges += [(nodes[i], nodes[j]) for i, j in forest_of(both)]
+            found = np.flatnonzero(links)
             none = [None] * len(edges)
-            yield work.batch_of(schema, rep=[*asks[some].tolist(), *none], links=[*links[some].tolist(), *none], u=[None] * len(some) + [u for u, _ in edges], v=[None] * len(some) + [v for _, v in edges])
+            yield work.batch_of(schema, rep=[*asks[found].tolist(), *none], links=[*links[found].tolist(), *none], u=[None] * len(found) + [u for u, _ in edges], v=[None] * len(found) + [v for _, v in edges])
 
     return tasks.mapInArrow(run, "rep bigint, links bigint, u bigint, v bigint")
 
@@ -199,8 +215,8 @@ def verified(visited: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id (the smallest id that links lead to) and kept, per row."""
     folder = work.workspace(vectors.sparkSession, "vectors")
-    units = work.materialize(_units(vectors, id_col, vector_col, label_col), f"{folder}/units")
-    classes = work.materialize(units.where("class is not null").groupBy("label", "class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("unit").alias("unit")), f"{folder}/classes")
+    units = work.materialize(_vectors(vectors, id_col, vector_col, label_col), f"{folder}/vectors")
+    classes = work.materialize(units.where("class is not null").groupBy("label", "class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("vector").alias("vector")), f"{folder}/classes")
     length, books = codebooks(classes)
     visited = work.materialize(visits(classes, length, books, cosine), f"{folder}/visits")
     found = work.materialize(verified(visited, cosine), f"{folder}/found")
