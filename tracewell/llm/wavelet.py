@@ -95,7 +95,7 @@ class WaveletMatrix:
 
     def count(self, value: int, lo: int = 0, hi: int | None = None) -> int:
         """Occurrences of a value among places lo to hi - 1."""
-        hi = self.n if hi is None else hi
+        lo, hi = max(0, lo), self.n if hi is None else min(hi, self.n)
         if value < 0 or value >> len(self.planes) or lo >= hi:
             return 0
         first, last = self._range(value, lo, hi)
