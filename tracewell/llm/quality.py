@@ -30,7 +30,7 @@ TRAIN_DOCUMENTS = 3000
 TRAIN_PASSAGES = 64
 HIDDEN, ATTENTION, EPOCHS, RATE, DECAY = 16, 8, 40, 0.02, 1e-4
 #: Bytes of text whose passages are encoded at a time.
-STEP_BYTES = 1_000_000
+STEP_BYTES = 200_000
 
 # Byte classes: each ASCII punctuation mark its own; then digits, lower and upper case, blanks, line ends, other bytes.
 _MARKS = [b for b in range(0x21, 0x7F) if not chr(b).isalnum()]
