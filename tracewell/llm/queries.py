@@ -30,7 +30,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_rank")
+    return warc.archived_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,5 +77,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Pages with equal payloads: the first is the response.  Base 32 by groups of 20 bits of the hexadecimal digest.
+OP3_SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, upper(sha1(h)) AS x FROM p),
+b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(8), lambda i: list_transform([('0x' || substr(x, (5 * i + 1)::INT, 5))::INT], lambda n: {" || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n >> {k}) % 32 + 1, 1)" for k in (15, 10, 5, 0))})[1]), '') AS payload_digest FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS m FROM b)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN m = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN m <> page_id THEN m END AS refers_to FROM f"""
+
+#: Pairs by the rarest shingles of each document (of two similar documents they share one), confirmed on whole sets.
+OP2_SQL = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) > 1 THEN list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i::INT] || ' ' || ws[(i + 1)::INT])) ELSE ws END AS ss FROM w),
+n AS (SELECT doc_id, len(ss)::BIGINT AS n FROM s), e AS (SELECT doc_id, hash(unnest(ss)) AS g FROM s), c AS (SELECT doc_id, n, g, row_number() OVER (PARTITION BY doc_id ORDER BY df, g) AS place FROM e JOIN n USING (doc_id) JOIN (SELECT g, count(*) AS df FROM e GROUP BY g HAVING count(*) > 1) USING (g)),
+pre AS (SELECT c.doc_id, c.n, c.g FROM c WHERE place <= n - ceil(0.8 * n) + 1),
+pairs AS (SELECT DISTINCT a.doc_id AS u, b.doc_id AS v FROM pre a JOIN pre b ON a.g = b.g AND a.doc_id < b.doc_id AND a.n * 100 >= 80 * b.n AND b.n * 100 >= 80 * a.n),
+links AS (SELECT u, v FROM pairs JOIN s a ON a.doc_id = u JOIN s b ON b.doc_id = v WHERE 100 * len(list_intersect(a.ss, b.ss)) >= 80 * (len(a.ss) + len(b.ss) - len(list_intersect(a.ss, b.ss)))),
+bo AS (SELECT u, v FROM links UNION SELECT v, u FROM links), reach AS (SELECT u, v FROM bo UNION SELECT r.u, b.v FROM reach r JOIN bo b ON b.u = r.v), m AS (SELECT u, min(v) AS m FROM reach GROUP BY u)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept FROM n LEFT JOIN m ON u = doc_id"""
+
+OP9_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT u, w FROM links UNION SELECT r.u, l.w FROM reach r JOIN links l ON l.u = r.w),
+n AS (SELECT u, count(*) AS n FROM links GROUP BY u), c AS (SELECT u, min(w) AS m FROM reach GROUP BY u)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept FROM v LEFT JOIN n ON n.u = vec_id LEFT JOIN c ON c.u = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can express; the others are tested against brute force, round trips and held-out rows."""
+    return {"op2_minhash_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op9_embedding_near_dedup": OP9_SQL}

@@ -7,8 +7,8 @@ rank counts per 512 bits.  Access, counting and finding the k-th occurrence
 read the planes through rank and select; no plain copy of the tokens exists.
 
 File layout, little-endian: 8-byte magic, header length, JSON header, then
-zstd frames at the offsets that the header gives: document ids, lengths, and
-bits and rank counts of each plane.
+zstd frames whose sizes the header gives: document ids, lengths, the ids in use,
+and bits and rank counts of each plane.
 
 Defined results: a null text has the end id only; rows with the same id stay
 apart, ordered by text; an empty table gives no shard and an empty table.
@@ -132,20 +132,25 @@ class WaveletMatrix:
         return out
 
 
-def shard_bytes(docs: list[int | None], lengths: list[int], tokens: np.ndarray, levels: int) -> bytes:
-    """One shard file; ``tokens`` are the documents' ids one after the other."""
-    matrix = WaveletMatrix.build(tokens, levels)
+def shard_bytes(docs: list[int | None], lengths: list[int], tokens: np.ndarray) -> bytes:
+    """One shard file; ``tokens`` are the documents' ids one after the other.
+
+    The matrix holds places in the shard's alphabet, so it has as many planes as the ids in use need.
+    """
+    alphabet = np.flatnonzero(np.bincount(tokens)) if len(tokens) else np.zeros(0, np.int64)
+    place = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
+    place[alphabet] = np.arange(len(alphabet))
+    matrix = WaveletMatrix.build(place[tokens], max(1, (len(alphabet) - 1).bit_length()))
     squeeze = zstandard.ZstdCompressor(level=1).compress
     known = [0 if d is None else d for d in docs]
-    parts = [np.array(known, "<i8"), np.array([d is None for d in docs], np.uint8), np.array(lengths, "<i8"), *(x for pair in zip(matrix.planes, matrix.ranks, strict=True) for x in pair)]
+    parts = [np.array(known, "<i8"), np.array([d is None for d in docs], np.uint8), np.array(lengths, "<i8"), alphabet.astype("<u4"), *(x for pair in zip(matrix.planes, matrix.ranks, strict=True) for x in pair)]
     frames = [squeeze(p.tobytes()) for p in parts]
-    sizes = [len(f) for f in frames]
-    header = json.dumps({"tokens": matrix.n, "documents": len(docs), "levels": levels, "block": BLOCK, "zeros": matrix.zeros, "frames": sizes}).encode()
+    header = json.dumps({"tokens": matrix.n, "documents": len(docs), "block": BLOCK, "zeros": matrix.zeros, "frames": [len(f) for f in frames]}).encode()
     return b"".join((MAGIC, len(header).to_bytes(4, "little"), header, *frames))
 
 
 class Shard:
-    """Reader of a shard file."""
+    """Reader of a shard file: ids by place, and counts and places of an id, from the planes."""
 
     def __init__(self, data: bytes):
         source = io.BytesIO(data)
@@ -157,8 +162,27 @@ class Shard:
         none = np.frombuffer(parts[1], np.uint8)
         self.docs = [None if gone else int(d) for d, gone in zip(np.frombuffer(parts[0], "<i8"), none, strict=True)]
         self.lengths = np.frombuffer(parts[2], "<i8")
-        planes = [np.frombuffer(p, np.uint8) for p in parts[3::2]]
-        self.matrix = WaveletMatrix(head["tokens"], planes, [np.frombuffer(p, "<u4") for p in parts[4::2]], head["zeros"])
+        self.alphabet = np.frombuffer(parts[3], "<u4")
+        planes = [np.frombuffer(p, np.uint8) for p in parts[4::2]]
+        self.matrix = WaveletMatrix(head["tokens"], planes, [np.frombuffer(p, "<u4") for p in parts[5::2]], head["zeros"])
+
+    def _symbol(self, token: int) -> int:
+        at = int(np.searchsorted(self.alphabet, token))
+        return at if at < len(self.alphabet) and self.alphabet[at] == token else -1
+
+    def token(self, at: int) -> int:
+        return int(self.alphabet[self.matrix.access(at)])
+
+    def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
+        return self.matrix.count(self._symbol(token), lo, hi)
+
+    def find(self, token: int, nth: int) -> int:
+        """Place of the nth occurrence (from 0) of an id; IndexError if there are fewer."""
+        return self.matrix.select(self._symbol(token), nth)
+
+    def tokens(self) -> np.ndarray:
+        """All ids, 32-bit."""
+        return self.alphabet[self.matrix.values(np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)]
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, vocabulary: int = 50_257, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -168,8 +192,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str =
     tokens of all shards before.
     """
     spark = docs.sparkSession
-    levels = max(1, (vocabulary - 1).bit_length())
-    dtype, code = (np.uint16, "H") if levels <= 16 else (np.uint32, "I")
+    dtype, code = (np.uint16, "H") if vocabulary <= 1 << 16 else (np.uint32, "I")
     schema = pa.schema([("partition", pa.int32()), ("shard", pa.int32()), ("uri", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
     def write(batches):
@@ -180,7 +203,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str =
 
         def close():
             uri = f"{folder}/{work.fresh_name(f'tokens-{partition:06d}-{made:06d}')}.wvm"
-            work.write_file(uri, shard_bytes(ids, lengths, np.frombuffer(b"".join(encoded), dtype), levels))
+            work.write_file(uri, shard_bytes(ids, lengths, np.frombuffer(b"".join(encoded), dtype)))
             return work.batch_of(schema, partition=[partition], shard=[made], uri=[uri], documents=[len(ids)], tokens=[size])
 
         for batch in batches:
@@ -216,7 +239,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for uri, base in zip(batch.column("uri").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 shard = Shard(work.read_file(uri))
-                wide = shard.matrix.values(np.uint16 if len(shard.matrix.planes) <= 16 else np.uint32).astype("<u4")
+                wide = shard.tokens()
                 ends = np.cumsum(shard.lengths)
                 starts = ends - shard.lengths
                 sums = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
