@@ -154,8 +154,9 @@ def test_wavelet_matrix_access_count_select():
                 assert m.select(v, nth) == places[nth]
             with pytest.raises(IndexError):
                 m.select(v, len(places))
-    shard = wavelet.Shard(wavelet.shard_bytes([3, None], [2, 1], np.array([5, 2, 2], np.uint16), 16))
-    assert shard.docs == [3, None] and shard.matrix.values().tolist() == [5, 2, 2]
+    shard = wavelet.Shard(wavelet.shard_bytes([3, None], [2, 1], np.array([50_000, 2, 2], np.uint16)))
+    assert shard.docs == [3, None] and shard.tokens().tolist() == [50_000, 2, 2] and len(shard.matrix.planes) == 1
+    assert [shard.token(i) for i in range(3)] == [50_000, 2, 2] and shard.count(2) == 2 and shard.find(2, 1) == 2 and shard.count(3) == 0
     with pytest.raises(ValueError):
         wavelet.Shard(b"nothing")
 

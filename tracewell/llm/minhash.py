@@ -17,7 +17,8 @@ only the links of a spanning forest leave a task.
 
 Defined results: documents without words (null, empty or blank texts) link
 with nothing; rows that share an id count as one document in the links, and
-each row is returned; an empty table gives an empty table.
+each row is returned; rows without an id are linked only by an equal set; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -272,7 +273,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     folder = work.workspace(docs.sparkSession, "minhash")
     described = work.materialize(describe(docs, id_col=id_col, text_col=text_col, width=width), f"{folder}/documents")
     classes = work.materialize(described.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")), f"{folder}/classes")
-    keyed = shared_keys(classes).join(classes.select("rep", "signature"), "rep")
+    named = classes.where("rep is not null").select("rep", "signature")
+    keyed = shared_keys(named).join(named, "rep")
     near = close_pairs(keyed)
     clusters = work.materialize(components(near, f"{folder}/clusters"), f"{folder}/members")
     linked = components(confirm(docs, clusters, id_col=id_col, text_col=text_col, width=width, percent=percent), f"{folder}/links")

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import work
 from .bpe import encoder
@@ -206,7 +207,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = SHA
         return table.drop_columns(["shard"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long")
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*pieces.schema.fields]).add("sequence_id", "long").add("offset", "long")
     return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(assign, schema).select(*keys, "sequence_id", "offset")
 
 

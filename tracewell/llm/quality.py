@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import work
 from .strings import PrefixHash, batches_of, mixed
@@ -212,7 +213,7 @@ def scored(docs: DataFrame, model: Model, *, text_col: str = "text", score_col:
     """The rows of ``docs`` with a score behind their columns."""
     body = "__body"
     names = docs.columns
-    fields = docs.schema.add(score_col, "double")
+    fields = StructType([*docs.schema.fields]).add(score_col, "double")
 
     def run(batches):
         for batch in batches:
