@@ -28,6 +28,11 @@ NUMBER_V2 = r"\b\d+(?:\.\d+)?\b"
 YEAR = r"\b(19|20)\d{2}\b"
 
 
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def words(text: Column) -> Column:
     """White-space separated words."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -65,7 +70,7 @@ def content_tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Parts after . ! or ? and white space where an upper-case letter or quote follows."""
-    return F.filter(F.transform(F.split(text, r'(?<=[.!?])\s+(?=[A-Z"])'), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r'(?<=[.!?])\s+(?=[A-Z"])'), lambda s: strip(s)), lambda s: s != "")
 
 
 def sentence_chunks(parts: Column, size: int = 3, step: int = 2) -> Column:
@@ -78,7 +83,7 @@ def sentence_chunks(parts: Column, size: int = 3, step: int = 2) -> Column:
 
 def paragraphs(text: Column, separator: str = "\n\n") -> Column:
     """Trimmed non-blank parts between separators."""
-    return F.filter(F.transform(F.split(text, separator), lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, separator), lambda p: strip(p)), lambda p: p != "")
 
 
 def density(text: Column, pattern: str) -> Column:
@@ -94,7 +99,12 @@ def section_level(name: Column) -> Column:
 
 
 def micro_score(sentence: Column) -> Column:
-    """Weighted signals of detail, 0 to 1, rounded to 4 digits.
+    """Weighted signals of detail, 0 to 1, rounded to 4 digits."""
+    return F.round(detail_signals(sentence), 4)
+
+
+def detail_signals(sentence: Column) -> Column:
+    """The score before it is rounded.
 
     The named-entity signal is the density of capitalized spans, as no entity recognizer is at hand.
     """
@@ -102,7 +112,7 @@ def micro_score(sentence: Column) -> Column:
     value = r"(?i)(?:F1|accuracy|BLEU|ROUGE|precision|recall)\s*(?:of|=|:)?\s*\d"
     score = 0.25 * flag(r"\d+\.\d+|\d+%") + 0.15 * flag(r"(?i)(table|tab\.)\s*\d") + 0.15 * flag(r"(?i)(figure|fig\.)\s*\d") + 0.10 * flag(r"(?i)(equation|eq\.)\s*\d")
     score = score + 0.15 * F.least(density(sentence, TITLE_SPAN) * 5, F.lit(1.0)) + 0.10 * F.least(density(sentence, YEAR_CITATION) * 10, F.lit(1.0)) + 0.10 * flag(value)
-    return F.round(score, 4)
+    return score
 
 
 def surface_metrics(text: Column) -> dict[str, Column]:
@@ -190,7 +200,7 @@ def arxiv_id(url: Column) -> Column:
 def final_answer(text: Column) -> Column:
     """What follows the last FINAL ANSWER mark on its line; NULL without one."""
     found = F.regexp_extract_all(text, F.lit(r"(?i)FINAL ANSWER\s*:?\s*([^\n]*)"))
-    return F.when(F.size(found) > 0, F.trim(F.element_at(found, -1)))
+    return F.when(F.size(found) > 0, strip(F.element_at(found, -1)))
 
 
 def choice_letter(text: Column) -> Column:
@@ -200,15 +210,15 @@ def choice_letter(text: Column) -> Column:
 
 def split_thinking(text: Column) -> tuple[Column, Column]:
     """(text inside think tags, text outside of them)."""
-    inside = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<think>(.*?)</think>")), lambda s: F.trim(s)), "\n")
-    return inside, F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
+    inside = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<think>(.*?)</think>")), lambda s: strip(s)), "\n")
+    return inside, strip(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
 
 
 def rubric_items(text: Column) -> Column:
     """Array of (points, description): what stands between one 'Points: n, Item:' header and the next."""
     header = r"(?i)Points:\s*[\d.]+\s*,\s*Item:\s*"
     points = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)Points:\s*([\d.]+)\s*,\s*Item:\s*")), lambda p: p.try_cast("double"))
-    parts = F.transform(F.slice(F.split(text, header), 2, F.greatest(F.size(points), F.lit(1))), lambda s: F.trim(s))
+    parts = F.transform(F.slice(F.split(text, header), 2, F.greatest(F.size(points), F.lit(1))), lambda s: strip(s))
     return F.arrays_zip(points.alias("points"), parts.alias("description"))
 
 

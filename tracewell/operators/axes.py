@@ -87,8 +87,8 @@ def axis_features(df: DataFrame, trace: str, order: str, vector: str, axis: np.n
     steps = df.select(trace, order, F.col(vector).alias("__v"), project(F.col(vector), axis).alias("__p"), F.row_number().over(w).alias("__i"))
     before = F.lag("__v").over(w)
     moved = F.zip_with("__v", before, lambda a, b: a.cast("double") - b.cast("double"))
-    drift = steps.select(trace, order, "__i", "__p", average_rank("__p", trace).alias("__r"), (F.col("__p") - F.lag("__p").over(w)).alias("__d"), V.dot(moved, moved).alias("__all"), (V.dot(F.col("__v"), F.col("__v")) - F.col("__p") * F.col("__p")).alias("__o2"))
-    away = F.sqrt(F.greatest(F.lit(0.0), F.col("__all") - F.col("__d") * F.col("__d")))
+    drift = steps.select(trace, order, "__i", "__p", average_rank("__p", trace).alias("__r"), (F.col("__p") - F.lag("__p").over(w)).alias("__d"), F.when(before.isNotNull(), V.dot(moved, moved)).alias("__all"), (V.dot(F.col("__v"), F.col("__v")) - F.col("__p") * F.col("__p")).alias("__o2"))
+    away = F.when(F.col("__d").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.col("__all") - F.col("__d") * F.col("__d"))))
     out = drift.groupBy(trace).agg(
         F.count("*").alias("n_steps"), F.avg("__p").alias("axis_mean"), F.var_pop("__p").alias("axis_variance"), (F.max("__p") - F.min("__p")).alias("axis_range"),
         F.avg(F.abs("__d")).alias("axis_drift_mean"), F.max(F.abs("__d")).alias("axis_drift_max"), F.signum(F.max_by("__p", "__i") - F.min_by("__p", "__i")).alias("axis_direction"),

@@ -66,7 +66,7 @@ SELECT doc_id, count(*) AS sentences, round(max(score), 4) AS top_score, round(s
 )
 def micro_score(spark, sf):
     split = docs(spark, sf).select("doc_id", F.explode(X.sentences(F.col("text"))).alias("sentence"))
-    scored = split.select("doc_id", F.round(X.micro_score(F.col("sentence")) + 1e-9, 4).alias("score"))
+    scored = split.select("doc_id", F.round(X.detail_signals(F.col("sentence")) + 1e-9, 4).alias("score"))
     return scored.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.round(F.max("score"), 4).alias("top_score"), F.round(F.sum("score"), 3).alias("sum_score"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StructType
+from pyspark.sql.types import DoubleType, FloatType, StringType, StructType
 
 
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,8 +53,10 @@ def write_features(df: DataFrame, path: str) -> None:
 
 def read_many(spark: SparkSession, paths: list[str], schema: StructType, corrupt: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
     """JSON files below some folders: (good rows with their ``file``, unreadable records with theirs)."""
-    full = StructType([*schema.fields]).add(corrupt, "string")
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).option("recursiveFileLookup", True).json(paths).withColumn("file", F.input_file_name())
+    full = StructType([*schema.fields]).add(corrupt, StringType())
+    lines = spark.read.option("recursiveFileLookup", True).text(paths).where(F.trim("value") != "")
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
+    rows = lines.select(F.input_file_name().alias("file"), parsed.alias("r")).select("r.*", "file")
     return rows.where(F.col(corrupt).isNull()).drop(corrupt), rows.where(F.col(corrupt).isNotNull()).select("file", corrupt)
 
 
