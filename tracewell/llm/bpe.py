@@ -20,7 +20,7 @@ _PLAIN = "\x00-ʯ‐-‧‰-⁞₠-₿"
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
 _NUMBER = "0-9²³¹¼-¾"
 _SPACE = "\t-\r \u0085 "
-_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+_ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
 #: Pre-tokenizer patterns over the plain characters.
 WORD_PIECES = f"{_ENDINGS}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"
 BYTE_PIECES = f"{_ENDINGS}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -32,7 +32,7 @@ _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
 _BYTE_LETTERS = {b: b if b in _PRINTABLE else 256 + _OTHERS.index(b) for b in range(256)}
 
 #: Pieces kept per generation, and characters of text cut at a time.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 CHUNK_CHARS = 1_000_000
 
 
