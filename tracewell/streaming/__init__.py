@@ -1 +1,5 @@
-"""streaming."""
+"""Trace metrics over a stream of events; an extension beside the batch operators."""
+
+from .sessions import session_jumps
+
+__all__ = ["session_jumps"]
