@@ -19,6 +19,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import on_workers
+
 _LOCAL_ROOT: list[str] = []
 
 #: Rows of an Arrow batch sent to Python.  Rows hold whole documents, so the
@@ -37,7 +39,8 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder URI for one run of one operator."""
+    """A fresh folder URI for one run of one operator; also readies the session for the operator's Python tasks."""
+    on_workers(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
