@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -18,7 +18,7 @@ from ..operators import traces as T
 from ..sources import load_table
 from .attempt_queries import _ATT, attempts
 from .registry import query
-from .retrieval_queries import _CAND, _PAIRS, candidates, gold, pair_f1, retrieved
+from .retrieval_queries import _CAND, _PAIRS, candidates, pair_f1, retrieved
 from .text_queries import DOCS, docs, labelled
 from .trace_queries import EV, levelled_events, rounded
 
