@@ -66,8 +66,8 @@ def fit(sample: np.ndarray, codewords: int = CODEWORDS, rounds: int = ROUNDS) ->
     """Codewords of a half by k-means, started from points far from each other."""
     centres = sample[:1]
     while len(centres) < min(codewords, len(sample)):
-        far = ((sample[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1) if len(sample) * len(centres) < 1 << 22 else _distances(sample, centres).min(axis=1)
-        if far.max() <= 0:
+        far = _distances(sample, centres).min(axis=1)
+        if far.max() <= 1e-12:
             break
         centres = np.concatenate((centres, sample[[int(far.argmax())]]))
     for _ in range(rounds):
@@ -85,13 +85,12 @@ def bounds(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest codeword of each row, and squared lower bounds of the distance to any point of each codeword's cell."""
     near = _distances(x, centres)
     apart = np.sqrt(_distances(centres, centres))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        # Distance to the plane between codeword k and each other codeword a, where k is the farther one.
-        out = np.zeros_like(near)
-        for a in range(len(centres)):
-            step = (near - near[:, [a]]) / (2 * apart[a])
-            step[:, a] = 0
-            out = np.maximum(out, np.nan_to_num(step))
+    out = np.zeros_like(near)
+    for a in range(len(centres)):
+        # Distance to the plane between codeword a and each other one, of which a is the nearer; very close codewords give no bound.
+        step = (near - near[:, [a]]) / (2 * np.maximum(apart[a], 1e-6))
+        step[:, apart[a] < 1e-6] = 0
+        out = np.maximum(out, step)
     return near.argmin(axis=1), out**2
 
 
