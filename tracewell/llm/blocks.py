@@ -144,7 +144,7 @@ def ask(manifest: DataFrame, questions: Callable[[bytes], Iterator[tuple[int, by
 
 
 #: Partitions of a shuffle that are spread over tasks however few bytes they have.
-MOST_PARTITIONS = 4096
+MOST_PARTITIONS = 20_000
 
 
 def answer(questions: DataFrame, buckets: int, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:

@@ -31,6 +31,8 @@ from . import work
 
 #: Bytes after which an archive file is closed; each has one run of the index.
 ARCHIVE_BYTES = 64_000_000
+#: Index entries that one merge task takes, about.
+RANGE_ENTRIES = 200_000
 #: Start of the default capture times; a page is captured its id in seconds later, modulo ten years.
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 SPAN_SECONDS = 315_360_000
@@ -216,7 +218,9 @@ def merge_runs(runs: DataFrame, folder: str) -> DataFrame:
         if rows:
             yield flush()
 
-    dealt = runs.repartitionByRange(work.parallelism(spark), "url_key", "timestamp", "page_id")
+    # As many ranges as keep a range's entries in a task's memory.
+    ranges = max(work.parallelism(spark), -(-runs.count() // RANGE_ENTRIES))
+    dealt = runs.repartitionByRange(ranges, "url_key", "timestamp", "page_id")
     merged = work.materialize(dealt.mapInArrow(merge, f"partition int, place bigint, {INDEX_DDL}"), f"{folder}/merged")
     sizes = merged.groupBy("partition").agg(F.count("*").alias("n"))
     base = sizes.select("partition", (F.sum("n").over(Window.orderBy("partition")) - F.col("n")).alias("base"))
