@@ -8,6 +8,8 @@ document id.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,14 +184,34 @@ def threshold_sweep(retrieved: DataFrame, gold: DataFrame, pairs: DataFrame, thr
     return out
 
 
-def neighbour_purity(vectors: DataFrame, label: str, k: int = 15, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Share of each vector's k nearest others, by Euclidean distance, that have its label.
+def neighbour_purity(vectors: DataFrame, label: str, k: int = 15, id_col: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """Share of each vector's k nearest others, by Euclidean distance (rounded), that have its label.
 
-    Exact and quadratic by definition, so ``queries`` in blocks are compared with all rows; distances are rounded.
+    Exact, and quadratic by definition: every vector is a query against all rows.  The rows are dealt into
+    blocks, a task takes one block of queries and one of rows, and only the k nearest of each task leave it.
     """
-    a = vectors.select(F.col(id_col).alias("__i"), F.col(label).alias("__l"), F.col(vector).alias("__v"))
-    b = vectors.select(F.col(id_col).alias("__j"), F.col(label).alias("__m"), F.col(vector).alias("__w"))
-    distance = F.round(F.sqrt(V.total(F.zip_with("__v", "__w", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))))), 6)
-    near = a.join(b, F.col("__i") != F.col("__j")).select("__i", "__j", (F.col("__l") == F.col("__m")).alias("__same"), distance.alias("__d"))
-    w = Window.partitionBy("__i").orderBy("__d", "__j")
-    return near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).groupBy(F.col("__i").alias(id_col)).agg(F.avg(F.col("__same").cast("double")).alias("purity"))
+    blocks = max(1, -(-vectors.count() // block))
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    own, other = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    asks = rows.select(own.alias("q"), other.alias("d"), F.lit(True).alias("asks"), "id", "label", "v")
+    kept = rows.select(other.alias("q"), own.alias("d"), F.lit(False).alias("asks"), "id", "label", "v")
+
+    def nearest(table: pa.Table) -> pa.Table:
+        side = table.column("asks").to_numpy()
+        ids, labels = table.column("id").to_numpy(), np.array(table.column("label").to_pylist(), object)
+        x = np.array(table.column("v").to_pylist(), float)
+        (a, b), (ai, bi), (al, bl) = ((c[side], c[~side]) for c in (x, ids, labels))
+        out: dict[str, list] = {"id": [], "other": [], "same": [], "distance": []}
+        for i in range(len(a)):
+            distance = np.round(np.sqrt(((b - a[i]) ** 2).sum(axis=1)), 6)
+            distance[bi == ai[i]] = np.inf
+            near = [j for j in np.lexsort((bi, distance))[:k].tolist() if np.isfinite(distance[j])]
+            out["id"] += [ai[i]] * len(near)
+            out["other"] += bi[near].tolist()
+            out["same"] += (bl[near] == al[i]).tolist()
+            out["distance"] += distance[near].tolist()
+        return pa.table({"id": pa.array(out["id"], pa.int64()), "other": pa.array(out["other"], pa.int64()), "same": pa.array(out["same"], pa.bool_()), "distance": pa.array(out["distance"], pa.float64())})
+
+    near = asks.unionByName(kept).groupBy("q", "d").applyInArrow(nearest, "id bigint, other bigint, same boolean, distance double")
+    w = Window.partitionBy("id").orderBy("distance", "other")
+    return near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).groupBy(F.col("id").alias(id_col)).agg(F.avg(F.col("same").cast("double")).alias("purity"))
