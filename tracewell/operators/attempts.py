@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .statistics import running_sums
+
 
 def best_attempt(df: DataFrame, problem: str, score: str, answered: str, run_order: str) -> DataFrame:
     """One attempt per problem: with a score first, then the higher score, then answered ones, then the earlier run."""
@@ -37,17 +39,11 @@ def selection_summary(df: DataFrame, chosen: DataFrame, problem: str, correct: s
 
 
 def prefix_totals(df: DataFrame, score: str, target: str, tie: str) -> DataFrame:
-    """place (from 1 by descending score), successes so far and n, with running sums in two steps.
-
-    Rows are dealt into ranges of the score, sums of ranges are carried over, and each range numbers its own rows.
-    """
-    ranged = df.select(score, tie, target).repartitionByRange(F.col(score).desc(), F.col(tie)).withColumn("__part", F.spark_partition_id())
-    parts = ranged.groupBy("__part").agg(F.count("*").alias("__rows"), F.sum(target).alias("__hits"))
-    over = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    carried = parts.select("__part", F.coalesce(F.sum("__rows").over(over), F.lit(0)).alias("__rows0"), F.coalesce(F.sum("__hits").over(over), F.lit(0)).alias("__hits0"), F.sum("__rows").over(whole).alias("n"))
-    w = Window.partitionBy("__part").orderBy(F.col(score).desc(), tie)
-    return ranged.join(F.broadcast(carried), "__part").select(tie, score, target, (F.col("__rows0") + F.row_number().over(w)).alias("place"), (F.col("__hits0") + F.sum(target).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("hits"), "n")
+    """place (from 1 by descending score), hits (successes so far) and n, by running sums over ranges of the score."""
+    rows = df.select(score, tie, F.col(target).cast("bigint").alias(target)).withColumn("row", F.lit(1).cast("bigint"))
+    whole = rows.agg(F.count("*").alias("n"))
+    placed = running_sums(rows, score, ["row", target], [], descending=True, ties=[tie]).crossJoin(F.broadcast(whole))
+    return placed.select(tie, score, target, (F.col("row_before") + 1).alias("place"), (F.col(f"{target}_before") + F.col(target)).alias("hits"), "n")
 
 
 def coverage_risk(df: DataFrame, score: str, target: str, tie: str, points: int = 20) -> DataFrame:

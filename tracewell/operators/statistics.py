@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 
 def average_rank(value: str | Column, *group: str) -> Column:
-    """Rank from 1, ties with their average; NULLs should be dropped before."""
+    """Rank from 1, ties with their average; NULLs should be dropped before.
+
+    A group is ranked in one task, so groups should be of moderate size.
+    """
     value = F.col(value) if isinstance(value, str) else value
     w = Window.partitionBy(*group)
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*group, value)) - 1) / F.lit(2.0)
@@ -36,23 +39,60 @@ def pearson(df: DataFrame, x: str, y: str, group: list[str] | None = None) -> Da
     return full.groupBy(*_grouped(group)).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
 
 
+#: Ranges of values that running sums over a whole table are dealt into.
+RANGES = 64
+
+
+def value_range(df: DataFrame, value: str, ranges: int = RANGES) -> Column:
+    """Number of the range that a value is in, by approximate quantiles of the column; equal values share one.
+
+    The quantiles, at most ``ranges``, are computed once and become literals, so the ranges are the same wherever the
+    expression is evaluated.
+    """
+    probabilities = [k / ranges for k in range(1, ranges)]
+    cuts = df.agg(F.percentile_approx(value, F.array(*(F.lit(p) for p in probabilities)), 1000)).first()[0] or []
+    return F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))).cast("array<double>"), lambda c: c < F.col(value)))
+
+
+def running_sums(df: DataFrame, value: str, sums: list[str], group: list[str], descending: bool = False, ties: list[str] | None = None) -> DataFrame:
+    """Columns <sum>_before: each sum over all rows before a row in the order of ``value`` (and ties), per group.
+
+    In two steps, so that no task sees all rows of a group: sums of ranges are carried over, and each range adds up its own rows.
+    """
+    ranged = df.withColumn("__range", value_range(df, value) * (-1 if descending else 1))
+    parts = ranged.groupBy(*group, "__range").agg(*(F.sum(c).alias(f"__{c}") for c in sums))
+    earlier = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(*group, "__range", *(F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__{c}") for c in sums))
+    order = [F.col(value).desc() if descending else F.col(value), *(ties or [])]
+    own = Window.partitionBy(*group, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(carried, [*group, "__range"])
+    return joined.select("*", *((F.col(f"__{c}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(f"{c}_before") for c in sums)).drop("__range", *(f"__{c}" for c in sums))
+
+
+def _by_score(df: DataFrame, target: str, score: str, group: list[str]) -> DataFrame:
+    """Positives and negatives of every distinct score."""
+    full = df.where(F.col(score).isNotNull() & F.col(target).isNotNull())
+    return full.groupBy(*group, F.col(score).alias("__s")).agg(F.count_if(F.col(target) == 1).alias("pos"), F.count_if(F.col(target) == 0).alias("neg"))
+
+
 def auc(df: DataFrame, target: str, score: str, group: list[str] | None = None) -> DataFrame:
-    """Exact ROC AUC per group from average ranks; NULL if a class is missing."""
+    """Exact ROC AUC per group: positives above negatives, ties half; NULL if a class is missing."""
     group = _grouped(group)
-    ranked = df.where(F.col(score).isNotNull() & F.col(target).isNotNull()).select(*group, F.col(target).alias("__t"), average_rank(score, *group).alias("__r"))
-    sums = ranked.groupBy(*group).agg(F.count_if(F.col("__t") == 1).alias("positives"), F.count_if(F.col("__t") == 0).alias("negatives"), F.coalesce(F.sum(F.when(F.col("__t") == 1, F.col("__r"))), F.lit(0.0)).alias("__s"))
+    counts = _by_score(df, target, score, group)
+    below = running_sums(counts, "__s", ["neg"], group)
+    won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / F.lit(2.0)))
+    sums = below.groupBy(*group).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), won.alias("__won"))
     p, n = F.col("positives").cast("double"), F.col("negatives").cast("double")
-    return sums.withColumn("auc", F.when((p > 0) & (n > 0), (F.col("__s") - p * (p + 1) / 2) / (p * n))).drop("__s")
+    return sums.withColumn("auc", F.when((p > 0) & (n > 0), F.col("__won") / (p * n))).drop("__won")
 
 
 def average_precision(df: DataFrame, target: str, score: str, group: list[str] | None = None) -> DataFrame:
     """Sum of precision times the step in recall over distinct scores, highest first."""
     group = _grouped(group)
-    per_score = df.where(F.col(score).isNotNull()).groupBy(*group, F.col(score).alias("__s")).agg(F.sum(F.col(target).cast("double")).alias("__p"), F.count("*").alias("__n"))
-    w = Window.partitionBy(*group).orderBy(F.col("__s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*group)
-    points = per_score.select(*group, "__p", (F.sum("__p").over(w) / F.sum("__n").over(w)).alias("__precision"), F.sum("__p").over(whole).alias("__all"))
-    return points.groupBy(*group).agg(F.sum(F.when(F.col("__all") > 0, F.col("__precision") * F.col("__p") / F.col("__all"))).alias("average_precision"))
+    above = running_sums(_by_score(df, target, score, group), "__s", ["pos", "neg"], group, descending=True)
+    hits = F.col("pos_before") + F.col("pos")
+    precision = hits / (hits + F.col("neg_before") + F.col("neg"))
+    return above.groupBy(*group).agg(F.when(F.sum("pos") > 0, F.sum(precision * F.col("pos")) / F.sum("pos")).alias("average_precision"))
 
 
 def binary_metrics(df: DataFrame, target: str, probability: str, threshold: float = 0.5, group: list[str] | None = None) -> DataFrame:

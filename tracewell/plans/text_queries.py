@@ -143,11 +143,12 @@ def section_levels(spark, sf):
     return rows.select("section_name", X.section_level(F.col("section_name")).alias("level"))
 
 
-@query("q_fulltext_concat", f"SELECT source, md5(string_agg('[' || lang || '] ' || text, chr(10) ORDER BY doc_id)) AS digest, sum(words)::BIGINT AS words FROM ({DOCS}) GROUP BY source HAVING sum(words) BETWEEN 100 AND 10000000 AND bool_or(words < 100) AND bool_or(words >= 300)")
+@query("q_fulltext_concat", f"SELECT doc_id // 25 AS paper, md5(string_agg('[' || lang || '] ' || text, chr(10) ORDER BY doc_id)) AS digest, sum(words)::BIGINT AS words FROM ({DOCS}) GROUP BY 1 HAVING sum(words) BETWEEN 100 AND 10000000 AND bool_or(words < 100) AND bool_or(words >= 300)")
 def fulltext_concat(spark, sf):
-    headed = docs(spark, sf).select("source", "doc_id", "words", F.concat(F.lit("["), "lang", F.lit("] "), "text").alias("part"))
-    whole = headed.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "part"))), lambda s: s["part"]), "\n").alias("whole"), F.sum("words").alias("words"), F.bool_or(F.col("words") < 100).alias("short"), F.bool_or(F.col("words") >= 300).alias("long"))
-    return whole.where(F.col("words").between(100, 10_000_000) & F.col("short") & F.col("long")).select("source", F.md5("whole").alias("digest"), "words")
+    """A paper is 25 documents; its size is bounded, as one row holds its text."""
+    headed = docs(spark, sf).select(F.floor(F.col("doc_id") / 25).alias("paper"), "doc_id", "words", F.concat(F.lit("["), "lang", F.lit("] "), "text").alias("part"))
+    whole = headed.groupBy("paper").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "part"))), lambda s: s["part"]), "\n").alias("whole"), F.sum("words").alias("words"), F.bool_or(F.col("words") < 100).alias("short"), F.bool_or(F.col("words") >= 300).alias("long"))
+    return whole.where(F.col("words").between(100, 10_000_000) & F.col("short") & F.col("long")).select("paper", F.md5("whole").alias("digest"), "words")
 
 
 @query("q_json_props", "SELECT event_id, json_extract_string(props, '$.' || k[1]) AS first_prop, len(k)::INT AS n_props FROM (SELECT event_id, props, list_sort(json_keys(props)) AS k FROM events)")
