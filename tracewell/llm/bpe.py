@@ -32,16 +32,16 @@ _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
 _BYTE_LETTERS = {b: b if b in _PRINTABLE else 256 + _OTHERS.index(b) for b in range(256)}
 
 #: Pieces kept per generation, and characters of text cut at a time.
-CACHE_PIECES = 600_000
+CACHE_PIECES = {"word": 300_000, "byte": 600_000}
 CHUNK_CHARS = 1_000_000
 
 
 class PieceCache(dict):
     """piece -> ids; a missing piece is taken from the generation before, or merged."""
 
-    def __init__(self, merge):
+    def __init__(self, merge, most: int):
         super().__init__()
-        self.merge = merge
+        self.merge, self.most = merge, most
         self.old: dict[str, bytes] = {}
         self.weight = 0
 
@@ -51,7 +51,7 @@ class PieceCache(dict):
             ids = self.merge(piece)
         self[piece] = ids
         self.weight += 1 + len(piece) // 32
-        if self.weight > CACHE_PIECES:
+        if self.weight > self.most:
             self.old, self.weight = dict(self), 0
             self.clear()
         return ids
@@ -80,7 +80,7 @@ class PieceEncoder:
         self.strange = re.compile(f"[^{_PLAIN}]").search
         # A cut is only made in front of a space between two other characters: a piece starts there.
         self.cut = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])").search
-        self.ids_of = PieceCache(self.merge).__getitem__
+        self.ids_of = PieceCache(self.merge, CACHE_PIECES[kind]).__getitem__
 
     def odd(self, text: str, lowered: str) -> bool:
         """Whether the pattern may not be equivalent, or a special token may occur."""
