@@ -315,6 +315,66 @@ def test_pitman_yor_probabilities_sum_to_one():
     assert pitmanyor.State.read(state.pack()).pair_tables.tolist() == state.pair_tables.tolist()
 
 
+def test_pitman_yor_gives_every_context_a_restaurant(spark, monkeypatch):
+    """Scores as of a plain sampler over all contexts, however rare beside the 36,000 training tokens."""
+    monkeypatch.setattr(blocks.bucket_count, "__defaults__", (60_000,))
+    draw = random.Random(11)
+    frequent = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(draw.choice(frequent) for _ in range(440))) for i in range(100)]
+    # Each r word comes two or three times, always before its own s word.
+    rows += [(1000 + i, f"r{i % 40} s{i % 40}") for i in range(120)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    ids = [d for d in range(5000, 6000) if held(d)]
+    rows += [(ids[0], "r1 s1"), (ids[1], "r1 s2"), (ids[2], "unheard s1"), (ids[3], "r1 unheard"), (ids[4], None)]
+    out = as_map(pitmanyor.text_scores(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)))
+
+    pairs = Counter()
+    for d, t in rows:
+        if not held(d):
+            pairs.update(zip([None, *(t or "").split()], [*(t or "").split(), None], strict=True))
+    count = Counter()
+    for (_, w), n in pairs.items():
+        count[w] += n
+    assert sum(count.values()) > 30_000 and 2 <= count["r1"] <= 3
+    discount = lambda c: pitmanyor._discount(*(sum(n == k for n in c.values()) for k in (1, 2)))
+    upper, lower = discount(count), discount(pairs)
+    tables, top = dict.fromkeys(pairs, 1), dict.fromkeys(count, 1)
+
+    def sums():
+        own, customers = Counter(), Counter()
+        for (u, w), t in tables.items():
+            own[u] += t
+            customers[w] += t
+        return own, customers
+
+    def parent(w, customers, before):
+        return (max(customers[w] - upper * before.get(w, 0), 0) + (1 + upper * sum(before.values())) / (len(count) + 1)) / (1 + customers.total())
+
+    def seat(n, fresh, d):
+        t = 1
+        for k in range(1, n):
+            t += draw.random() < fresh / (fresh + k - d * t)
+        return t
+
+    mean = Counter()
+    for step in range(12):
+        own, customers = sums()
+        above = {w: parent(w, customers, top) for w in count}
+        tables = {(u, w): seat(n, (1 + lower * own[u]) * above[w], lower) for (u, w), n in pairs.items()}
+        customers = sums()[1]
+        top_tables = sum(top.values())
+        top = {w: seat(customers[w], (1 + upper * top_tables) / (len(count) + 1), upper) for w in count}
+        if step >= 2:
+            own, customers = sums()
+            above = {w: parent(w, customers, top) for w in [*count, "unheard"]}
+            for u, w in {p for _, t in rows for p in zip([None, *(t or "").split()], [*(t or "").split(), None], strict=True)}:
+                mean[u, w] += (max(pairs[u, w] - lower * tables.get((u, w), 0), 0) + (1 + lower * own[u]) * above[w]) / (1 + count[u]) / 10
+    for d, t in rows:
+        expected = sum(np.log10(mean[p]) for p in zip([None, *(t or "").split()], [*(t or "").split(), None], strict=True))
+        assert abs(out[d].score - expected) < 0.02 * abs(expected) + 0.05, (t, out[d].score, expected)
+    assert out[ids[0]].score > out[ids[1]].score + 0.5
+
+
 def quality_rows():
     draw = random.Random(8)
     words = ["".join(draw.choice("abcdefghilmnoprstu") for _ in range(draw.randint(2, 9))) for _ in range(400)]

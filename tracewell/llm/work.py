@@ -81,6 +81,12 @@ def read_file(uri: str, offset: int = 0, size: int | None = None) -> bytes:
         return source.read_at(size if size is not None else source.size() - offset, offset)
 
 
+def remove(spark: SparkSession, uri: str) -> None:
+    """Remove a working folder that no later step reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def open_file(uri: str):
     """Random-access handle of a file in shared storage."""
     system, path = _filesystem(uri)
