@@ -31,3 +31,20 @@ def test_entry(spark):
 
     assert len(__spark_entry__.entry(spark).collect()) > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_part_is_compared(spark):
+    part = spark.read.parquet(f"{DATA}/part.parquet").collect()
+    ratios = plans.queries()["q_similarity_ratio"](spark, DATA).collect()
+    assert sorted(r.p_partkey for r in ratios) == sorted(r.p_partkey for r in part)
+    near = lambda x, y: abs(x - y) <= 0.02 * abs(y)
+    found = {r.x: r for r in plans.queries()["q_best_fuzzy_match"](spark, DATA).collect()}
+    assert len(found) == len(part)
+    for a in part:
+        scores = []
+        for b in part:
+            if a.p_brand == b.p_brand:
+                x, y, s, t = a.p_retailprice, b.p_retailprice / 100, a.p_type.lower(), b.p_type.lower()
+                scores.append((1 + (s in t or t in s) + any(near(z, y) for z in (x, x * 100, x * 0.01)), -b.p_partkey))
+        score, key = max(scores)
+        assert (found[a.p_partkey].score, found[a.p_partkey].matched) == (score, -key)
