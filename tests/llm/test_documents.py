@@ -94,6 +94,15 @@ def test_packing_is_whole_and_gapless(docs, rows, empty):
     assert all(crc(r.ids) == r.ids_crc32 for r in with_ids)
 
 
+def test_local_search_reaches_givers_behind_the_emptiest():
+    """Twenty emptiest bins with one large piece offer nothing; the next one runs empty into the fuller ones."""
+    lengths = [89] * 20 + [6] * 15 + [94] * 15
+    start = [[i] for i in range(20)] + [list(range(20, 35))] + [[i] for i in range(35, 50)]
+    found = packing.local_search(start, lengths, 100)
+    assert sorted(i for b in found for i in b) == list(range(50))
+    assert sorted(sum(lengths[i] for i in b) for b in found) == [89] * 20 + [100] * 15
+
+
 def test_local_search_empties_bins():
     draw = np.random.default_rng(3)
     for lengths in (draw.integers(300, 900, 3000).tolist(), draw.integers(600, 1400, 3000).tolist(), [1500] * 50, [2048] * 3, [1], []):

@@ -93,17 +93,29 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 class _Bin:
     """A sequence in the search: items by ascending length."""
 
-    __slots__ = ("fill", "items")
+    __slots__ = ("fill", "items", "known")
 
     def __init__(self, items: list[tuple[int, int]]):
         self.items = sorted(items)
         self.fill = sum(x[0] for x in items)
+        self.known: tuple[int, int] | None = None
+
+    def lengths(self) -> tuple[int, int]:
+        """Lengths of single items and of two together, as bits."""
+        if self.known is None:
+            one = two = 0
+            for size, _ in self.items:
+                two |= one << size
+                one |= 1 << size
+            self.known = one, two
+        return self.known
 
     def swap(self, out: list[tuple[int, int]], into: list[tuple[int, int]]) -> None:
         for x in out:
             self.items.remove(x)
         for x in into:
             insort(self.items, x)
+        self.known = None
         self.fill += sum(x[0] for x in into) - sum(x[0] for x in out)
 
 
@@ -152,33 +164,60 @@ def _improve(giver: _Bin, taker: _Bin, capacity: int) -> bool:
     return True
 
 
+def _wanted(taker: _Bin, capacity: int) -> tuple[int, int]:
+    """Lengths of an item, and of two together, that raise the taker's fill in some exchange of :func:`_improve`, as bits."""
+
+    def above(bits: int) -> int:  # every bit moved by 1 to room places
+        out, width = bits << 1, 1
+        while width < room:
+            step = min(width, room - width)
+            out |= out << step
+            width += step
+        return out
+
+    room = capacity - taker.fill
+    one, two = taker.lengths()
+    return above(1 | one | two), above(one)
+
+
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int, neighbours: int = NEIGHBOURS, patience: int = PATIENCE) -> list[list[int]]:
     """Empty underfull bins into fuller ones.
 
-    From the fullest on, each underfull bin is offered exchanges with the emptiest ones.  The search ends
+    From the fullest on, each underfull bin is offered exchanges with the emptiest ones, and with all others
+    in a round after one that moved nothing or after ``patience`` rounds that emptied none.  The search ends
     when the bins are as few as their sum allows, when no exchange raises the squared fill any more, or
-    after ``patience`` rounds that emptied none.
+    when ``patience`` rounds and one with all others emptied none.
     """
     done = [b for b in bins if sum(lengths[i] for i in b) == capacity]
     under = [_Bin([(lengths[i], i) for i in b]) for b in bins if sum(lengths[i] for i in b) < capacity]
-    idle, moved = 0, True
-    while moved and idle < patience and len(under) > -(-sum(b.fill for b in under) // capacity):
+    idle, wide = 0, False
+    while len(under) > -(-sum(b.fill for b in under) // capacity):
         moved = False
         under.sort(key=lambda b: b.fill)
         for at in range(len(under) - 1, 0, -1):
             taker, offers = under[at], 0
+            wanted = _wanted(taker, capacity) if wide else None
             for giver in under[:at]:
-                if taker.fill == capacity or offers == neighbours:
+                if taker.fill == capacity or offers == neighbours and not wide:
                     break
                 if not giver.items or giver.fill > taker.fill:
                     continue
                 offers += 1
+                if wide:
+                    one, two = giver.lengths()
+                    if not (one & wanted[0] or two & wanted[1]):
+                        continue
                 while giver.items and taker.fill < capacity and giver.fill <= taker.fill and _improve(giver, taker, capacity):
                     moved = True
+                if wide:
+                    wanted = _wanted(taker, capacity)
         left = [b for b in under if b.items]
         idle = 0 if len(left) < len(under) else idle + 1
         done += [[i for _, i in b.items] for b in left if b.fill == capacity]
         under = [b for b in left if b.fill < capacity]
+        if wide and (not moved or idle > patience):
+            break
+        wide = not moved or idle >= patience
     return done + [[i for _, i in b.items] for b in under]
 
 
