@@ -21,9 +21,9 @@ _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
 _NUMBER = "0-9²³¹¼-¾"
 _SPACE = "\t-\r \u0085 "
 _ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
-#: Pre-tokenizer patterns over the plain characters.
-WORD_PIECES = f"{_ENDINGS}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"
-BYTE_PIECES = f"{_ENDINGS}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+#: Pre-tokenizer patterns over the plain characters; letters, the most frequent, are tried first.
+WORD_PIECES = f"[{_LETTER}]+|{_ENDINGS}|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"
+BYTE_PIECES = f" ?[{_LETTER}]+|{_ENDINGS}| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 # The byte alphabet of byte-level vocabularies: printable Latin-1 characters stand for
 # themselves, the other bytes for the characters from U+0100 on.
@@ -88,7 +88,12 @@ class PieceEncoder:
 
     def merge(self, piece: str) -> bytes:
         """Ids of one piece of plain characters; it needs no further normalizing or cutting."""
-        letters = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        if piece.isascii() and piece.isalnum():
+            letters = piece
+        elif piece.isascii() and piece[0] == " " and piece[1:].isalnum():
+            letters = chr(_BYTE_LETTERS[0x20]) + piece[1:]
+        else:
+            letters = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
         return array(self.typecode, [token.id for token in self.tokenizer.model.tokenize(letters)]).tobytes()
 
     def _whole(self, text: str) -> bytes:

@@ -57,9 +57,9 @@ class WaveletMatrix:
             bits[: len(packed)] = packed
             ranks.append(np.concatenate(([0], np.cumsum(np.bitwise_count(bits.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)))).astype(np.uint32))
             planes.append(bits)
-            low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
+            low = np.compress(~ones, values)
             zeros.append(len(low))
-            values = np.concatenate((values.take(low), values.take(high)))
+            values = np.concatenate((low, np.compress(ones, values)))
         return cls(n, planes, ranks, zeros)
 
     def _rank1(self, k: int, at: int) -> int:
@@ -124,10 +124,11 @@ class WaveletMatrix:
         out = np.zeros(self.n, dtype)
         for k in range(len(self.planes) - 1, -1, -1):
             ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
-            low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
-            before = np.empty(self.n, dtype)
-            before[low] = out[: len(low)]
-            before[high] = out[len(low) :] | dtype(1 << (len(self.planes) - 1 - k))
+            before, low = np.empty(self.n, dtype), self.zeros[k]
+            if low:
+                np.place(before, ~ones, out[:low])
+            if low < self.n:
+                np.place(before, ones, out[low:] | dtype(1 << (len(self.planes) - 1 - k)))
             out = before
         return out
 
