@@ -7,12 +7,14 @@ documents' labels alone, weighs a document's passages, and the weighted
 representation gives the score.
 
 The model is fitted in the driver on at most ``TRAIN_DOCUMENTS`` labelled
-documents, of which at most ``TRAIN_PASSAGES`` evenly spaced passages each are
-used; scoring reads every passage of every document.
+documents, with all their passages; scoring reads every passage of every
+document.  A score is computed in a fixed order of the document's own passages,
+so it does not depend on the rows that share a batch.
 
 Defined results: a text without words (null, empty, blank) has one all-zero
 passage; labels that are null or of unknown documents teach nothing; without
-two classes of labels every score is the share of label 1 (0.5 without any).
+two classes of labels every score is the share of label 1 (0.5 without any);
+rows of a repeated id are scored each; input columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import work
-from .strings import PrefixHash, batches_of, mixed
+from .strings import batches_of, mixed, word_hashes
 
 PASSAGE_WORDS = 48
+#: Bound on the labelled rows that the model is fitted on.
 TRAIN_DOCUMENTS = 3000
-TRAIN_PASSAGES = 64
 HIDDEN, ATTENTION, EPOCHS, RATE, DECAY = 16, 8, 40, 0.02, 1e-4
 #: Bytes of text whose passages are encoded at a time.
 STEP_BYTES = 200_000
@@ -71,7 +73,7 @@ def passages(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edges = starts[begin]
     sizes = np.diff(np.append(edges, len(data)))
     counts = np.bincount(np.repeat(np.arange(len(begin)), sizes) * CLASSES + _CLASS[data[edges[0] :]], minlength=len(begin) * CLASSES).reshape(-1, CLASSES)
-    hashes = _word_hashes(data, starts, ends)
+    hashes = word_hashes(data, starts, ends)
     again = np.zeros(len(starts), bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & ~first[1:]
     kinds = _distinct(passage, hashes)
@@ -96,24 +98,20 @@ def passages(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return features, bags
 
 
-def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of words; of each only the first and last 64 KB count."""
-    out = np.zeros(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        last = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 20), "right")))
-        base, end = int(starts[at]), int(min(ends[last - 1], starts[at] + (1 << 20)))
-        out[at:last] = PrefixHash(data[base:end]).of(starts[at:last] - base, np.minimum(ends[at:last], end) - base)
-        at = last
-    return out
-
-
 def _distinct(passage: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """The passage of each distinct (passage, word)."""
     both = np.unique(mixed(hashes) & np.uint64((1 << 40) - 1) | passage.astype(np.uint64) << np.uint64(40))
     return both >> np.uint64(40)
 
 
+def product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Matrix product whose rows are each summed in the order of the columns of x, whatever rows are beside them."""
+    out = x[:, :1] * w[0]
+    for k in range(1, len(w)):
+        out += x[:, k : k + 1] * w[k]
+    return out
+
+
 class Model:
     """Parameters as arrays, so that a task's closure holds a few kilobytes."""
 
@@ -124,22 +122,22 @@ class Model:
         scaled = lambda a, b: draw.normal(0, 1 / np.sqrt(a), (a, b))
         self.weights = {"encode": scaled(features, HIDDEN), "encode_bias": np.zeros(HIDDEN), "content": scaled(HIDDEN, ATTENTION), "gate": scaled(HIDDEN, ATTENTION), "attend": scaled(ATTENTION, 1), "score": scaled(HIDDEN, 1), "score_bias": np.zeros(1)}
 
-    def forward(self, x: np.ndarray, bags: np.ndarray) -> dict[str, np.ndarray]:
+    def forward(self, x: np.ndarray, bags: np.ndarray, product=product) -> dict[str, np.ndarray]:
         w = self.weights
         x = (x - self.mean) / self.scale
         starts = np.cumsum(bags) - bags
         bag = np.repeat(np.arange(len(bags)), bags)
-        encoded = np.tanh(x @ w["encode"] + w["encode_bias"])
-        content, gate = np.tanh(encoded @ w["content"]), 1 / (1 + np.exp(-(encoded @ w["gate"])))
-        raw = ((content * gate) @ w["attend"])[:, 0]
+        encoded = np.tanh(product(x, w["encode"]) + w["encode_bias"])
+        content, gate = np.tanh(product(encoded, w["content"])), 1 / (1 + np.exp(-product(encoded, w["gate"])))
+        raw = product(content * gate, w["attend"])[:, 0]
         raw = np.exp(raw - np.maximum.reduceat(raw, starts)[bag])
         attention = raw / np.add.reduceat(raw, starts)[bag]
         pooled = np.add.reduceat(attention[:, None] * encoded, starts, axis=0)
-        score = 1 / (1 + np.exp(-np.clip((pooled @ w["score"])[:, 0] + w["score_bias"][0], -40, 40)))
+        score = 1 / (1 + np.exp(-np.clip(product(pooled, w["score"])[:, 0] + w["score_bias"][0], -40, 40)))
         return {"x": x, "bag": bag, "starts": starts, "encoded": encoded, "content": content, "gate": gate, "attention": attention, "pooled": pooled, "score": score}
 
     def gradients(self, x: np.ndarray, bags: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        w, f = self.weights, self.forward(x, bags)
+        w, f = self.weights, self.forward(x, bags, np.matmul)
         error = ((f["score"] - target) * weight / weight.sum())[:, None]
         pooled = error @ w["score"].T
         from_pool = pooled[f["bag"]]
@@ -196,9 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             packed = []
             for part in batches_of(bodies, STEP_BYTES):
                 x, bags = passages(bodies[part])
-                for own in np.split(x, np.cumsum(bags)[:-1]):
-                    keep = np.linspace(0, len(own) - 1, min(len(own), TRAIN_PASSAGES)).round().astype(int)
-                    packed.append(own[keep].tobytes())
+                packed += [own.tobytes() for own in np.split(x, np.cumsum(bags)[:-1])]
             yield work.batch_of(schema, label=batch.column(0).to_pylist(), passages=packed)
 
     # The chosen labels are bounded by ``most``, so they are broadcast.
@@ -210,9 +206,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def scored(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """The rows of ``docs`` with a score behind their columns."""
-    body = "__body"
+    """The rows of ``docs`` with a score behind their columns; ``score_col`` must be a new name."""
     names = docs.columns
+    if score_col in names:
+        raise ValueError(f"the input has a column {score_col} already")
     fields = StructType([*docs.schema.fields]).add(score_col, "double")
 
     def run(batches):
@@ -221,7 +218,7 @@ def scored(docs: DataFrame, model: Model, *, text_col: str = "text", score_col:
             found = [model.scores(*passages(bodies[part])) for part in batches_of(bodies, STEP_BYTES)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(found) if found else np.zeros(0))], names=[*names, score_col])
 
-    return docs.withColumn(body, F.col(text_col).cast("binary")).mapInArrow(run, fields)
+    return docs.select("*", F.col(text_col).cast("binary").alias(work.unused(docs, "body"))).mapInArrow(run, fields)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:

@@ -72,7 +72,11 @@ def words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
     stops = np.cumsum([len(b) + 1 for b in bodies])
     counts = np.diff(np.searchsorted(starts, stops), prepend=0)
-    data = _LOWER[data]
+    return word_hashes(_LOWER[data], starts, ends), counts
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the whole words of ``data`` from each start to each end."""
     hashes = np.zeros(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -84,7 +88,7 @@ def words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         at = last
     for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
         hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
-    return hashes, counts
+    return hashes
 
 
 def pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:

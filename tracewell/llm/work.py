@@ -2,7 +2,7 @@
 
 * Intermediate tables and block files live under ``spark.checkpoint.dir``,
   which every executor and the driver can reach.  Only where that setting is
-  missing (tests, a laptop) a local temporary folder is used instead.
+  missing and the session is local (tests, a laptop) a temporary folder is used.
 * A written table cuts lineage: after :func:`materialize` a lost executor costs
   a re-read, not a recomputation.
 * Files written by tasks carry a fresh random name and become visible through
@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,10 +30,13 @@ BATCH_ROWS = 500
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, else a local one."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where all of them are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _LOCAL_ROOT:
         _LOCAL_ROOT.append("file://" + tempfile.mkdtemp(prefix="tracewell-"))
     return _LOCAL_ROOT[0]
@@ -97,5 +101,13 @@ def fresh_name(prefix: str = "part") -> str:
     return f"{prefix}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
