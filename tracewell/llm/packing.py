@@ -180,7 +180,7 @@ def _wanted(taker: _Bin, capacity: int) -> tuple[int, int]:
     return above(1 | one | two), above(one)
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, neighbours: int = NEIGHBOURS, patience: int = PATIENCE) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, neighbours: int = NEIGHBOURS, patience: float = PATIENCE) -> list[list[int]]:
     """Empty underfull bins into fuller ones.
 
     From the fullest on, each underfull bin is offered exchanges with the emptiest ones, and with all others
@@ -221,33 +221,36 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, neigh
     return done + [[i for _, i in b.items] for b in under]
 
 
-def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+def pack_lengths(lengths: list[int], capacity: int = CAPACITY, patience: float = PATIENCE) -> list[list[int]]:
     """Bins of item positions for positive lengths of at most ``capacity``."""
-    return local_search(best_fit(lengths, capacity), lengths, capacity)
+    return local_search(best_fit(lengths, capacity), lengths, capacity, patience=patience)
 
 
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, patience: float = PATIENCE) -> DataFrame:
     """Add sequence_id and offset to a table of pieces.
 
-    The table is counted and read twice, so pass a written one.
+    The table is counted and read twice, so pass a written one.  With an infinite ``patience`` the search
+    only ends when no exchange raises the squared fill, however many rounds empty no sequence.
     """
     shards = max(1, -(-pieces.count() // shard_pieces))
     keys = pieces.schema.fieldNames()
 
     def assign(table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_pylist()
-        shard = table.column("shard")[0].as_py()
+        shard = table.column(own)[0].as_py()
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for number, items in enumerate(pack_lengths(lengths, capacity)):
+        for number, items in enumerate(pack_lengths(lengths, capacity, patience)):
             at = 0
             for i in sorted(items):
                 sequence[i], offset[i] = (shard << 32) + number, at
                 at += lengths[i]
-        return table.drop_columns(["shard"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        return table.drop_columns([own]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long")
+    # The row's place in the written table is hashed too, so that repeated rows are dealt out.
+    own = work.unused(pieces, "shard")
+    shard = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)).cast("long")
     schema = StructType([*pieces.schema.fields]).add("sequence_id", "long").add("offset", "long")
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(assign, schema).select(*keys, "sequence_id", "offset")
+    return pieces.withColumn(own, shard).groupBy(own).applyInArrow(assign, schema).select(*keys, "sequence_id", "offset")
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
