@@ -19,10 +19,15 @@ smaller document, or further left in the same one) is removed, byte by byte.
 No step compares pairs.  A trigger with more than ``HOT_PHRASES`` different
 phrases is not kept in one task: its windows are dealt out by their own hash.
 
-Defined results: null and empty texts have nothing to remove; repeated rows of
-one id count by their row order in the id's block; texts below LENGTH bytes
-stay whole; the result does not depend on how documents are put into blocks
-as long as ids differ.
+The parse needs no suffix array of its own: it would order equal windows by
+what follows them, but which of them comes first is a matter of (id, start).
+
+Defined results: null and empty texts have nothing to remove; texts below
+LENGTH bytes stay whole; "earlier" is a smaller id, or the same id and a
+smaller start, so of rows that share an id equal strings at the same start
+don't remove each other, and rows without an id share one that is smaller than
+all.  The result does not depend on how documents are put into blocks, nor on
+the order in which rows or payloads arrive.
 """
 
 from __future__ import annotations
@@ -93,24 +98,18 @@ def phrases(data: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(f) for f in found)
 
 
-def first_of_each(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, starts, group): rows sorted by the keys (the last sorts last), where each group begins in it, and the group of each sorted row.
+def earliest(doc: np.ndarray | None, at: np.ndarray | None, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, the row of equal keys with the smallest (doc, at), and whether that is an earlier place.
 
-    Rows equal in all keys form a group and stay in their given order.
+    Without doc and at, rows are given in the order of their places, all different.
     """
-    order = np.lexsort(keys[::-1])
+    order = np.lexsort(keys[::-1] if doc is None else (at, doc, *keys[::-1]))
     new = np.ones(len(order), bool)
     if len(order):
         new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    return order, np.flatnonzero(new), np.cumsum(new) - 1
-
-
-def repeated(*keys: np.ndarray) -> np.ndarray:
-    """Whether each row's keys occur in an earlier row."""
-    order, starts, _ = first_of_each(*keys)
-    out = np.ones(len(order), bool)
-    out[order[starts]] = False
-    return out
+    rep = np.empty(len(order), np.int64)
+    rep[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return rep, rep != np.arange(len(rep)) if doc is None else (doc != doc[rep]) | (at != at[rep])
 
 
 def equal_windows(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +147,11 @@ class Block:
         self.data = np.frombuffer(body, np.uint8)
         self.stops = np.cumsum(self.lengths)
         self.first, self.count, self.trigger, self.hash, self.periodic = phrases(self.data, self.stops)
-        self.copy = repeated(self.trigger, self.hash)
+        #: Whether rows share an id: then the order of places isn't that of rows.
+        self.shared = bool(((self.docs[1:] == self.docs[:-1]) & (self.none[1:] == self.none[:-1])).any())
+        self.rep, self.copy = self.earliest(self.first, self.trigger, self.hash)
+        #: Phrases at the same place of rows that share an id fare like their representative.
+        self.twins = np.flatnonzero(~self.copy & (self.rep != np.arange(len(self.rep))))
 
     @staticmethod
     def make(ids: list, bodies: list[bytes], rest: pa.Table) -> tuple[bytes, int]:
@@ -166,9 +169,13 @@ class Block:
         own = np.where(self.none[row] != 0, np.iinfo(np.int64).min, self.docs[row])
         return own, places - (self.stops - self.lengths)[row]
 
+    def earliest(self, places: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """:func:`earliest` of the block's phrases or windows, which begin at ``places``."""
+        return earliest(*(self.parse_order(places) if self.shared else (None, None)), *keys)
+
     def by_trigger(self, buckets: int):
         """The block's different phrases, by bucket of their trigger: (bucket, their places in the phrase arrays)."""
-        own = np.flatnonzero(~self.copy)
+        own = np.flatnonzero(self.rep == np.arange(len(self.rep)))
         bucket = (self.trigger[own] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(own) else []:
@@ -184,15 +191,13 @@ def judge_phrases(payloads: list[bytes]) -> list[bytes]:
     parts = [expand(p) for p in payloads]
     kinds = ("<u4", "<u8", "<i8", "<i4", "?")
     trigger, hash_, doc, at, periodic = (np.concatenate([np.frombuffer(p[i], kind) for p in parts]) for i, kind in enumerate(kinds))
-    order, starts, group = first_of_each(trigger, hash_)
-    # The first of a group by parse order.
-    by_place = np.lexsort((at[order], doc[order], group))
-    first = order[by_place[starts]]
-    verdict = np.full(len(order), COPY, np.uint8)
-    _, trigger_starts, of = first_of_each(trigger[first])
-    several = np.bincount(of, minlength=len(trigger_starts))[of]
-    ranked = first[np.argsort(trigger[first], kind="stable")]
-    verdict[ranked] = np.where(several > HOT_PHRASES, HOT_EDGE, np.where((several > 1) | periodic[ranked], EDGE, UNIQUE))
+    rep, later = earliest(doc, at, trigger, hash_)
+    first = np.flatnonzero(rep == np.arange(len(rep)))
+    _, place, counts = np.unique(trigger[first], return_inverse=True, return_counts=True)
+    verdict = np.full(len(rep), COPY, np.uint8)
+    several = counts[place]
+    verdict[first] = np.where(several > HOT_PHRASES, HOT_EDGE, np.where((several > 1) | periodic[first], EDGE, UNIQUE))
+    verdict[~later] = verdict[rep[~later]]
     ends = np.cumsum([len(p[0]) // 4 for p in parts])
     return [squeeze(v) for v in np.split(verdict, ends[:-1])]
 
@@ -206,10 +211,7 @@ def judge_windows(payloads: list[bytes]) -> list[bytes]:
     counts = sizes - LENGTH + 1
     of = np.repeat(np.arange(len(sizes)), counts)
     start = at[of] + (places - (np.cumsum(sizes) - sizes)[of])
-    order = np.lexsort((start, doc[of], class_))
-    out = np.ones(len(order), bool)
-    sorted_ = class_[order]
-    out[order[np.concatenate(([True], sorted_[1:] != sorted_[:-1]))]] = False
+    _, out = earliest(doc[of], start, class_)
     ends = np.cumsum([int((np.frombuffer(p[0], "<i4").astype(np.int64) - LENGTH + 1).sum()) for p in parts])
     return [squeeze(np.packbits(v)) for v in np.split(out, ends[:-1])]
 
@@ -232,15 +234,18 @@ class Edges:
     """What a block asks about windows: its edge phrases, and the different windows of hot triggers one by one."""
 
     def __init__(self, block: Block, verdict: np.ndarray, buckets: int):
-        own, hot = np.flatnonzero(verdict == EDGE), np.flatnonzero(verdict == HOT_EDGE)
+        asks = block.rep == np.arange(len(block.rep))
+        own, hot = np.flatnonzero(asks & (verdict == EDGE)), np.flatnonzero(asks & (verdict == HOT_EDGE))
         windows = windows_of(block.first[hot], block.count[hot])
         hashes = window_hashes(block.data, windows) if len(hot) else np.zeros(0, np.uint64)
-        again = repeated(hashes)
-        #: Hot windows that the block itself has further left.
+        rep, again = block.earliest(windows, hashes)
+        #: Hot windows that the block itself has earlier, and those that fare like another one.
         self.again = windows[again]
-        first = np.concatenate((block.first[own], windows[~again]))
-        count = np.concatenate((block.count[own], np.ones(np.count_nonzero(~again), np.int64)))
-        bucket = (np.concatenate((block.trigger[own], hashes[~again])) % np.uint64(buckets)).astype(np.int64)
+        first_of = rep == np.arange(len(rep))
+        self.alike = windows[~again & ~first_of], windows[rep[~again & ~first_of]]
+        first = np.concatenate((block.first[own], windows[first_of]))
+        count = np.concatenate((block.count[own], np.ones(np.count_nonzero(first_of), np.int64)))
+        bucket = (np.concatenate((block.trigger[own], hashes[first_of])) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         self.parts = [(int(bucket[x[0]]), first[x], count[x]) for x in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(x)]
 
@@ -266,6 +271,7 @@ def duplicate_spans(docs: DataFrame, per_block, ddl, *, id_col: str = "doc_id",
         verdict = np.full(len(block.first), COPY, np.uint8)
         for bucket, own in block.by_trigger(buckets):
             verdict[own] = np.frombuffer(expand(told[bucket])[0], np.uint8)
+        verdict[block.twins] = verdict[block.rep[block.twins]]
         return verdict
 
     packed = pa.schema([("uri", pa.string()), ("bucket", pa.int64()), ("payload", pa.binary())])
@@ -297,6 +303,10 @@ def duplicate_spans(docs: DataFrame, per_block, ddl, *, id_col: str = "doc_id",
             gone.append(windows_of(first, count)[repeats])
         windows = np.zeros(len(block.data) + 1, bool)
         windows[np.concatenate(gone)] = True
+        windows[edges_.alike[0]] = windows[edges_.alike[1]]
+        for twin in block.twins.tolist():
+            a, b, n = block.first[twin], block.first[block.rep[twin]], block.count[twin]
+            windows[a : a + n] = windows[b : b + n]
         rises = np.diff(windows.astype(np.int8), prepend=0)
         # A run of windows covers its own places and LENGTH - 1 bytes more.
         mark = np.bincount(np.flatnonzero(rises == 1), minlength=len(windows)) - np.bincount(np.flatnonzero(rises == -1) + LENGTH - 1, minlength=len(windows))
@@ -336,6 +346,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # The text's place among the carried columns is held by a null.
     names = docs.columns
-    held = docs.withColumn("__place", F.lit(None).cast("boolean"))
-    carry = tuple("__place" if n == text_col else n for n in names)
+    place = work.unused(docs, "place")
+    held = docs.withColumn(place, F.lit(None).cast("boolean"))
+    carry = tuple(place if n == text_col else n for n in names)
     return duplicate_spans(held, cut, schema, id_col=id_col, text_col=text_col, carry=carry)
