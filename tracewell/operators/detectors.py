@@ -13,6 +13,7 @@ from .statistics import auc
 
 QUANTILE, LEAST_SUCCESSES, TRUNCATION_THRESHOLD, LEAST_ROWS = 0.90, 3, 0.5, 20
 
+# The detectors' names and the columns they look at.
 #: Detector -> (feature column, score from it); the higher the score, the more failure-like.
 DETECTORS = {
     "premature_exit": ("reasoning_n_chunks", lambda c: -c),
@@ -30,8 +31,12 @@ DETECTORS = {
 
 
 def scores(features: DataFrame, key: str, target: str, detectors: dict | None = None) -> DataFrame:
-    """Long table (key, target, detector, score) of the detectors whose columns the table has."""
-    found = [F.struct(F.lit(name).alias("detector"), score(F.col(column)).cast("double").alias("score")) for name, (column, score) in (detectors or DETECTORS).items() if column in features.columns]
+    """Long table (key, target, detector, score) of the detectors; a missing feature column is an error."""
+    chosen = DETECTORS if detectors is None else detectors
+    missing = sorted({column for column, _ in chosen.values()} - set(features.columns))
+    if missing:
+        raise ValueError(f"no columns {', '.join(missing)} for the detectors")
+    found = [F.struct(F.lit(name).alias("detector"), score(F.col(column)).cast("double").alias("score")) for name, (column, score) in chosen.items()]
     return features.select(key, target, F.explode(F.array(*found)).alias("d")).select(key, target, "d.detector", "d.score")
 
 
@@ -44,7 +49,7 @@ def thresholds(long: DataFrame, target: str) -> DataFrame:
 
 def flags(long: DataFrame, target: str) -> DataFrame:
     """The long table with threshold and flag: a score strictly above; NULL scores aren't flagged."""
-    return long.join(F.broadcast(thresholds(long, target)), "detector").withColumn("flag", F.coalesce(F.col("score") > F.col("threshold"), F.lit(False)))
+    return long.join(thresholds(long, target), "detector").withColumn("flag", F.coalesce(F.col("score") > F.col("threshold"), F.lit(False)))
 
 
 def evaluate(flagged: DataFrame, target: str) -> DataFrame:

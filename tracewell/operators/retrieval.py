@@ -74,12 +74,24 @@ def bm25(documents: DataFrame, queries: DataFrame, group: str, doc_id: str = "do
     sizes = documents.select(group, F.size(split).alias("__size")).groupBy(group).agg(F.count("*").alias("__docs"), F.avg("__size").alias("__avgdl"))
     found = terms.groupBy(group, "token").agg(F.count("*").alias("__df")).join(sizes, group)
     raw = F.log(F.col("__docs") - F.col("__df") + 0.5) - F.log(F.col("__df") + 0.5)
-    idf = found.withColumn("__raw", raw).withColumn("__idf", F.when(F.col("__raw") < 0, IDF_FLOOR * F.avg("__raw").over(Window.partitionBy(group))).otherwise(F.col("__raw"))).select(group, "token", "__idf", "__avgdl")
+    found = found.withColumn("__raw", raw)
+    means = found.groupBy(group).agg(F.avg("__raw").alias("__mean"))
+    idf = found.join(means, group).select(group, "token", F.when(F.col("__raw") < 0, IDF_FLOOR * F.col("__mean")).otherwise(F.col("__raw")).alias("__idf"), "__avgdl")
     asked = queries.select(group, query_id, F.explode(split).alias("token")).groupBy(group, query_id, "token").agg(F.count("*").alias("__times"))
     weight = F.col("n") * (BM25_K1 + 1) / (F.col("n") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("size") / F.col("__avgdl")))
     return asked.join(idf, [group, "token"]).join(terms, [group, "token"]).groupBy(group, query_id, doc_id).agg(F.sum(F.col("__times") * F.col("__idf") * weight).alias("bm25"))
 
 
+def against_all(queries: DataFrame, rows: DataFrame, row_id: str) -> DataFrame:
+    """Every query beside every row: a stated query set, in blocks.
+
+    The rows are dealt into as many blocks as a shuffle has partitions, and the queries are sent to each.
+    """
+    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("__block", F.pmod(F.xxhash64(row_id), F.lit(blocks)).cast("int"))
+    return queries.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "__block").drop("__block")
+
+
 def min_max(score: str, *group: str) -> Column:
     """Score scaled to 0..1 inside a candidate group; 0 where all are equal."""
     w = Window.partitionBy(*group)
@@ -189,7 +201,11 @@ def neighbour_purity(vectors: DataFrame, label: str, k: int = 15, id_col: str =
 
     Exact, and quadratic by definition: every vector is a query against all rows.  The rows are dealt into
     blocks, a task takes one block of queries and one of rows, and only the k nearest of each task leave it.
+    Vectors that are null, or hold null or non-finite components, are nobody's neighbours and have the purity
+    NULL; vectors of another length are no neighbours.
     """
+    whole = F.col(vector).isNotNull() & F.forall(F.col(vector).cast("array<double>"), lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    every, vectors = vectors.select(id_col), vectors.where(whole)
     blocks = max(1, -(-vectors.count() // block))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
     own, other = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
@@ -199,11 +215,15 @@ def neighbour_purity(vectors: DataFrame, label: str, k: int = 15, id_col: str =
     def nearest(table: pa.Table) -> pa.Table:
         side = table.column("asks").to_numpy()
         ids, labels = table.column("id").to_numpy(), np.array(table.column("label").to_pylist(), object)
-        x = np.array(table.column("v").to_pylist(), float)
+        x = np.empty(len(ids), object)
+        x[:] = [np.array(v, float) for v in table.column("v").to_pylist()]
         (a, b), (ai, bi), (al, bl) = ((c[side], c[~side]) for c in (x, ids, labels))
+        sizes = np.array([len(v) for v in b], np.int64)
         out: dict[str, list] = {"id": [], "other": [], "same": [], "distance": []}
         for i in range(len(a)):
-            distance = np.round(np.sqrt(((b - a[i]) ** 2).sum(axis=1)), 6)
+            distance = np.full(len(b), np.inf)
+            same = sizes == len(a[i])
+            distance[same] = np.round(np.sqrt(((np.stack(b[same]) - a[i]) ** 2).sum(axis=1)), 6) if same.any() else np.inf
             distance[bi == ai[i]] = np.inf
             near = [j for j in np.lexsort((bi, distance))[:k].tolist() if np.isfinite(distance[j])]
             out["id"] += [ai[i]] * len(near)
@@ -214,4 +234,5 @@ def neighbour_purity(vectors: DataFrame, label: str, k: int = 15, id_col: str =
 
     near = asks.unionByName(kept).groupBy("q", "d").applyInArrow(nearest, "id bigint, other bigint, same boolean, distance double")
     w = Window.partitionBy("id").orderBy("distance", "other")
-    return near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).groupBy(F.col("id").alias(id_col)).agg(F.avg(F.col("same").cast("double")).alias("purity"))
+    found = near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).groupBy(F.col("id").alias(id_col)).agg(F.avg(F.col("same").cast("double")).alias("purity"))
+    return every.join(found, id_col, "left")

@@ -20,17 +20,18 @@ from .registry import query
 from .text_queries import docs, labelled
 from .trace_queries import levelled_events, rounded, traces_of_values
 
-# Attempts: an event is an attempt of its user (run = place among the user's events modulo 5, the first of each run counts);
-# it is correct for click and purchase, has an answer unless it is an error, and its score is the value unless it is a view.
+# Attempts: a problem is five successive events of a user, which are its runs 0 to 4 (the last problem may have fewer);
+# an attempt is correct for click and purchase, has an answer unless it is an error, and its score is the value unless it is a view.
 _ATT = """WITH r AS (SELECT user_id, event_id, event_type, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS run_order FROM events),
-att AS (SELECT user_id AS id, event_id, run_order, CASE WHEN event_type <> 'error' THEN event_type END AS answer, event_type <> 'error' AS answered, event_type IN ('click', 'purchase') AS correct, CASE WHEN event_type <> 'view' THEN value END AS score FROM r WHERE run_order < 5)"""
+att AS (SELECT user_id || '-' || (run_order // 5) AS id, user_id % 3 AS subject, event_id, run_order % 5 AS run_order, CASE WHEN event_type <> 'error' THEN event_type END AS answer, event_type <> 'error' AS answered, event_type IN ('click', 'purchase') AS correct, CASE WHEN event_type <> 'view' THEN value END AS score FROM r)"""
 
 
 def attempts(spark, sf) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     kind = F.col("event_type")
-    rows = load_table(spark, sf, "events").withColumn("run_order", (F.row_number().over(w) - 1).cast("int")).where("run_order < 5")
-    return rows.select(F.col("user_id").alias("id"), "event_id", "run_order", F.when(kind != "error", kind).alias("answer"), (kind != "error").alias("answered"), kind.isin("click", "purchase").alias("correct"), F.when(kind != "view", F.col("value")).alias("score"))
+    rows = load_table(spark, sf, "events").withColumn("place", (F.row_number().over(w) - 1).cast("int"))
+    problem = F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("place") / 5).cast("string"))
+    return rows.select(problem.alias("id"), (F.col("user_id") % 3).alias("subject"), "event_id", (F.col("place") % 5).alias("run_order"), F.when(kind != "error", kind).alias("answer"), (kind != "error").alias("answered"), kind.isin("click", "purchase").alias("correct"), F.when(kind != "view", F.col("value")).alias("score"))
 
 
 _BEST = "b AS (SELECT * FROM att QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC NULLS LAST, answered DESC, run_order) = 1)"
@@ -47,9 +48,9 @@ def selection_summary(spark, sf):
     return rounded(A.selection_summary(rows, A.best_attempt(rows, "id", "score", "answered", "run_order"), "id", "correct"))
 
 
-@query("q_pass_at_k", f"{_ATT}, p AS (SELECT id, id % 3 AS subject, avg(correct::INT) AS m, max(correct::INT) AS a FROM att GROUP BY id) SELECT subject, count(*) AS problems, round(avg(m), 6) AS pass_at_1, round(avg(a), 6) AS pass_at_k FROM p GROUP BY subject")
+@query("q_pass_at_k", f"{_ATT}, p AS (SELECT id, any_value(subject) AS subject, avg(correct::INT) AS m, max(correct::INT) AS a FROM att GROUP BY id) SELECT subject, count(*) AS problems, round(avg(m), 6) AS pass_at_1, round(avg(a), 6) AS pass_at_k FROM p GROUP BY subject")
 def pass_at_k(spark, sf):
-    return rounded(A.pass_at_k(attempts(spark, sf).withColumn("subject", F.col("id") % 3), "id", "correct", "subject"))
+    return rounded(A.pass_at_k(attempts(spark, sf), "id", "correct", "subject"))
 
 
 @query("q_plurality_vote", f"{_ATT}, n AS (SELECT id, count(*) AS n FROM att GROUP BY id), v AS (SELECT id, answer, count(*) AS votes, min(run_order) AS f, avg(correct::INT) AS r FROM att WHERE answer IS NOT NULL GROUP BY ALL), t AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY votes DESC, f) = 1) SELECT id, answer, coalesce(votes, 0)::BIGINT AS votes, round(coalesce(votes, 0) / n, 6) AS consistency, coalesce(r >= 0.5, false) AS vote_correct FROM n LEFT JOIN t USING (id)")
@@ -95,25 +96,32 @@ def detector_features(spark, sf) -> DataFrame:
     t = traces_of_values(spark, sf).withColumn("cut", (F.size("raw") / 2).cast("int")).where("cut > 0")
     halves = t.select("user_id", "xs", F.expr("slice(raw, 1, cut)").alias("r"), F.expr("slice(raw, cut + 1, size(raw))").alias("a"), F.size("raw").alias("reasoning_n_chunks"))
     features, cross = V.trajectory_features(F.col("xs"), "reasoning"), V.cross_features(F.col("r"), F.col("a"))
-    wide = halves.select("user_id", "reasoning_n_chunks", *(features[f"reasoning_{n}"].alias(f"reasoning_{n}") for n in ("direction_changes", "monotonicity", "fall_from_peak")), *(c.alias(n) for n, c in cross.items()))
-    outcome = load_table(spark, sf, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "purchase") > F.count("*") / 5).cast("int").alias("target"))
-    rounded_ = [F.round(c, 6).alias(c) if c not in ("user_id", "reasoning_n_chunks") else F.col(c) for c in wide.columns]
+    of_answer = V.trajectory_features(F.col("ys"), "answer")
+    halves = halves.withColumn("ys", V.interpolate(V.centred(F.col("a")), 20))
+    wide = halves.select("user_id", "reasoning_n_chunks", *(features[f"reasoning_{n}"].alias(f"reasoning_{n}") for n in ("direction_changes", "monotonicity", "fall_from_peak")), *(of_answer[f"answer_{n}"].alias(f"answer_{n}") for n in ("direction_changes", "max_rise", "monotonicity")), *(c.alias(n) for n, c in cross.items()))
+    # A trace that ends in an error was cut off.
+    status = F.when(F.max_by("event_type", F.struct("ts", "event_id")) == "error", "exit_cost").otherwise("submitted")
+    outcome = load_table(spark, sf, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "purchase") > F.count("*") / 5).cast("int").alias("target"), X.truncated(status).alias("truncated"))
+    rounded_ = [F.round(c, 6).alias(c) if c not in ("user_id", "reasoning_n_chunks") else F.col(c) for c in wide.columns]  # ties are ties in any engine
     return wide.select(*rounded_).join(outcome, "user_id")
 
 
 def _features_sql() -> str:
-    from .trace_queries import _FEAT
+    from .trace_queries import _ARR, _FEAT
 
     base = _FEAT.replace("WITH ev", "ev", 1)
     head, _, tail = base.rpartition("SELECT user_id, round(max(x) FILTER (WHERE j = 0)")
     feats = f"f AS (SELECT user_id, round(max(x) FILTER (WHERE j = 0){tail})"
-    return f"""WITH {head.rstrip()}, {feats},
+    # The same features of the second halves: an inner table of the arrays takes the place of the outer one.
+    answers = f"fa AS (WITH a AS (SELECT user_id, n - n // 2 AS n, xs[(n // 2)::INT + 1:] AS xs FROM a0 WHERE n // 2 > 0){_FEAT[len(_ARR):]})"
+    return f"""WITH {head.rstrip()}, {feats}, a0 AS (SELECT * FROM a), {answers},
 xx AS (SELECT user_id, xs[1:(n // 2)::INT] AS r, xs[(n // 2)::INT + 1:] AS a, n FROM a WHERE n // 2 > 0),
-w AS (SELECT f.user_id, xx.n AS nc, r_direction_changes AS dc, r_monotonicity AS mo, r_fall_from_peak AS ff, round(xx.a[1] - xx.r[-1], 6) AS ad, round((list_max(xx.a) - list_min(xx.a)) - (list_max(xx.r) - list_min(xx.r)), 6) AS ov FROM f JOIN xx USING (user_id)),
-o AS (SELECT user_id, (count(*) FILTER (WHERE event_type = 'purchase') > count(*) / 5)::INT AS target FROM events GROUP BY user_id),
+w AS (SELECT f.user_id, xx.n AS nc, f.r_direction_changes AS dc, f.r_monotonicity AS mo, f.r_fall_from_peak AS ff, round(xx.a[1] - xx.r[-1], 6) AS ad, round((list_max(xx.a) - list_min(xx.a)) - (list_max(xx.r) - list_min(xx.r)), 6) AS ov, fa.r_direction_changes AS adc, fa.r_max_rise AS amr, fa.r_monotonicity AS amo FROM f JOIN xx USING (user_id) JOIN fa USING (user_id)),
+o AS (SELECT user_id, (arg_max(event_type, (ts, event_id)) = 'error')::INT AS tr, (count(*) FILTER (WHERE event_type = 'purchase') > count(*) / 5)::INT AS target FROM events GROUP BY user_id),
 l AS (SELECT user_id, target, 'premature_exit' AS detector, -nc::DOUBLE AS score FROM w JOIN o USING (user_id) UNION ALL SELECT user_id, target, 'rambling_overlong', nc::DOUBLE FROM w JOIN o USING (user_id) UNION ALL SELECT user_id, target, 'thrashing', dc::DOUBLE FROM w JOIN o USING (user_id)
- UNION ALL SELECT user_id, target, 'no_commitment', -mo FROM w JOIN o USING (user_id) UNION ALL SELECT user_id, target, 'derailment_late', ff FROM w JOIN o USING (user_id) UNION ALL SELECT user_id, target, 'answer_drift', abs(ad) FROM w JOIN o USING (user_id) UNION ALL SELECT user_id, target, 'answer_overrange', ov FROM w JOIN o USING (user_id)),
-th AS (SELECT detector, CASE WHEN count(*) FILTER (WHERE target = 1) >= 3 THEN quantile_cont(score, 0.9) FILTER (WHERE target = 1) ELSE quantile_cont(score, 0.9) END AS threshold FROM l GROUP BY detector),
+ UNION ALL SELECT user_id, target, 'no_commitment', -mo FROM w JOIN o USING (user_id) UNION ALL SELECT user_id, target, 'derailment_late', ff FROM w JOIN o USING (user_id) UNION ALL SELECT user_id, target, 'answer_drift', abs(ad) FROM w JOIN o USING (user_id) UNION ALL SELECT user_id, target, 'answer_overrange', ov FROM w JOIN o USING (user_id)
+ UNION ALL SELECT user_id, target, 'answer_meandering', adc::DOUBLE FROM w JOIN o USING (user_id) UNION ALL SELECT user_id, target, 'answer_volatility', amr FROM w JOIN o USING (user_id) UNION ALL SELECT user_id, target, 'answer_uncommitted', -amo FROM w JOIN o USING (user_id) UNION ALL SELECT user_id, target, 'truncation_abort', tr::DOUBLE FROM w JOIN o USING (user_id)),
+th AS (SELECT detector, CASE WHEN detector = 'truncation_abort' THEN 0.5::DOUBLE WHEN count(*) FILTER (WHERE target = 1) >= 3 THEN quantile_cont(score, 0.9) FILTER (WHERE target = 1) ELSE quantile_cont(score, 0.9) END AS threshold FROM l GROUP BY detector),
 fl AS (SELECT *, coalesce(score > threshold, false) AS flag FROM l JOIN th USING (detector))"""
 
 
@@ -169,10 +177,10 @@ def all_pairs(spark, sf):
     return H.pairs_within(load_table(spark, sf, "conversations"), "conv_id", "turn")
 
 
-@query("q_alignment_check", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'only_left' WHEN a.doc_id IS NULL THEN 'only_right' ELSE 'differs' END AS problem FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 4 <> 0) a FULL JOIN (SELECT doc_id, toxic FROM labels WHERE doc_id % 6 <> 0) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.quality IS DISTINCT FROM b.toxic")
+@query("q_alignment_check", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'only_left' WHEN a.doc_id IS NULL THEN 'only_right' ELSE 'differs' END AS problem FROM (SELECT doc_id, (n_chars >= 500)::INT AS v FROM documents) a FULL JOIN (SELECT doc_id, quality AS v FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.v IS DISTINCT FROM b.v")
 def alignment_check(spark, sf):
-    labels = load_table(spark, sf, "labels")
-    return H.misaligned(labels.where("doc_id % 4 <> 0").select("doc_id", F.col("quality").alias("v")), labels.where("doc_id % 6 <> 0").select("doc_id", F.col("toxic").alias("v")), "doc_id", "v")
+    documents = load_table(spark, sf, "documents").select("doc_id", (F.col("n_chars") >= 500).cast("int").alias("v"))
+    return H.misaligned(documents, load_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("v")), "doc_id", "v")
 
 
 @query("q_multi_key_lookup", "WITH d AS (SELECT doc_id, doc_id + 100000 AS k1, doc_id * 2 AS k2, doc_id AS k3 FROM documents) SELECT d.doc_id, coalesce(a.quality, b.quality, c.quality) AS quality FROM d LEFT JOIN labels a ON a.doc_id = k1 LEFT JOIN labels b ON b.doc_id = k2 LEFT JOIN labels c ON c.doc_id = k3")
@@ -194,9 +202,9 @@ def questions(spark, sf):
     return H.questions(e, "evidence").select("user_id", F.array_join("gold_evidence", ",").alias("gold"))
 
 
-@query("q_annotator_majority", "WITH v AS (SELECT user_id, list(value > 50 ORDER BY ts, event_id)[1:4] AS v FROM events GROUP BY user_id) SELECT user_id, CASE WHEN len(list_filter(v, lambda x: x)) > len(list_filter(v, lambda x: NOT x)) THEN true WHEN len(list_filter(v, lambda x: x)) < len(list_filter(v, lambda x: NOT x)) THEN false ELSE v[1] END AS verdict FROM v")
+@query("q_annotator_majority", "WITH v AS (SELECT user_id, list(value > 50 ORDER BY ts, event_id) AS v FROM events GROUP BY user_id) SELECT user_id, CASE WHEN len(list_filter(v, lambda x: x)) > len(list_filter(v, lambda x: NOT x)) THEN true WHEN len(list_filter(v, lambda x: x)) < len(list_filter(v, lambda x: NOT x)) THEN false ELSE v[1] END AS verdict FROM v")
 def annotator_majority(spark, sf):
-    votes = load_table(spark, sf, "events").groupBy("user_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"] > 50), 1, 4).alias("v"))
+    votes = load_table(spark, sf, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"] > 50).alias("v"))
     return votes.select("user_id", H.annotator_majority(F.col("v")).alias("verdict"))
 
 

@@ -120,10 +120,10 @@ def token_cost(spark, sf):
     return retrieved(spark, sf).join(sizes, ["query_id", "doc_id"]).groupBy("query_id").agg(F.sum("n").alias("tokens"))
 
 
-@query("q_question_levels", f"{_PAIRS}, b AS (SELECT query_id, gold_id, arg_max(doc_id, (round(f1, 9), -doc_id)) AS doc_id, max(round(f1, 9)) AS f1 FROM pairs GROUP BY ALL) SELECT query_id, gold_id, doc_id, round(f1, 6) AS f1 FROM b WHERE f1 > 0.5")
+@query("q_question_levels", f"{_PAIRS}, b AS (SELECT query_id, gold_id, arg_min(doc_id, (-round(f1, 9), doc_id)) AS doc_id, max(round(f1, 9)) AS f1 FROM pairs GROUP BY ALL) SELECT query_id, gold_id, doc_id, round(f1, 6) AS f1 FROM b WHERE f1 > 0.5")
 def question_levels(spark, sf):
     scored = pair_f1(spark, sf).withColumn("f1", F.round("f1", 9))
-    best = scored.groupBy("query_id", "gold_id").agg(F.max_by("doc_id", F.struct(F.col("f1"), -F.col("doc_id"))).alias("doc_id"), F.max("f1").alias("f1"))
+    best = scored.groupBy("query_id", "gold_id").agg(F.min_by("doc_id", F.struct((-F.col("f1")).alias("f"), "doc_id")).alias("doc_id"), F.max("f1").alias("f1"))
     return rounded(best.where("f1 > 0.5"))
 
 
@@ -133,11 +133,11 @@ def retrieval_summary(spark, sf):
     return rounded(swept.groupingSets([["k"], ["k", "query_id"]], "k", "query_id").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score")))
 
 
-@query("q_anchor_pairs", "SELECT p.p_partkey AS chunk, a.tier, abs(p.p_size - a.size)::INT AS distance FROM part p, (VALUES (1, 5), (2, 25), (3, 45)) a(tier, size) WHERE p.p_partkey % 10 = 0")
+@query("q_anchor_pairs", "SELECT p.p_partkey AS chunk, a.tier, abs(p.p_size - a.size)::INT AS distance FROM part p, (VALUES (1, 5), (2, 25), (3, 45)) a(tier, size)")
 def anchor_pairs(spark, sf):
     # The anchors are a literal list.
     anchors = spark.createDataFrame([(1, 5), (2, 25), (3, 45)], "tier int, size int")
-    return load_table(spark, sf, "part").where("p_partkey % 10 = 0").crossJoin(F.broadcast(anchors)).select(F.col("p_partkey").alias("chunk"), "tier", F.abs(F.col("p_size") - F.col("size")).alias("distance"))
+    return load_table(spark, sf, "part").crossJoin(F.broadcast(anchors)).select(F.col("p_partkey").alias("chunk"), "tier", F.abs(F.col("p_size") - F.col("size")).alias("distance"))
 
 
 @query("q_label_alignment", "SELECT count(*) FILTER (WHERE quality = toxic) AS same, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS only_first, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS only_second, round(avg((quality = toxic)::INT), 6) AS agreement FROM labels")

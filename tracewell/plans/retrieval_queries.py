@@ -14,34 +14,44 @@ from .registry import query
 from .trace_queries import rounded
 
 # Questions: one per source, 0 to 19.  Gold passages of question q are the benchmark items with item_id % 20 = q;
-# its text is that of the smallest of them; its documents are the paragraphs of source q.
+# its text is that of the smallest of them; its documents are the paragraphs of source q, named document:paragraph.
 
 
 def paragraphs(spark, sf) -> DataFrame:
     rows = load_table(spark, sf, "documents").select("doc_id", F.regexp_extract("source", r"\d+", 0).cast("int").alias("query_id"), F.posexplode(X.paragraphs(F.col("text"), "\n")).alias("p", "text"))
-    return rows.select("query_id", (F.col("doc_id") * 1000 + F.col("p")).alias("doc_id"), "text")
+    return rows.select("query_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("p").cast("string")).alias("doc_id"), "text")
 
 
 def gold(spark, sf) -> DataFrame:
     return load_table(spark, sf, "benchmark").select((F.col("item_id") % 20).cast("int").alias("query_id"), F.col("item_id").alias("gold_id"), "text")
 
 
-def pair_f1(spark, sf) -> DataFrame:
+def pair_f1(spark, sf, among: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    """Overlap of paragraphs (those ``among`` some, if given) and gold passages (``items``, if given) of a question."""
     split = X.tokens(F.col("text"))
-    left = R.token_counts(paragraphs(spark, sf), ["query_id", "doc_id"], split)
-    right = R.token_counts(gold(spark, sf), ["query_id", "gold_id"], split)
+    rows = paragraphs(spark, sf)
+    if among is not None:
+        rows = rows.join(among.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    left = R.token_counts(rows, ["query_id", "doc_id"], split)
+    right = R.token_counts(gold(spark, sf) if items is None else items, ["query_id", "gold_id"], split)
     return R.overlap_f1(left, right, "query_id", "doc_id", "gold_id")
 
 
 def retrieved(spark, sf, k: int = 10) -> DataFrame:
     """The k paragraphs of each source that overlap most with the question's text."""
-    first = gold(spark, sf).groupBy("query_id").agg(F.min("gold_id").alias("gold_id"))
-    scores = pair_f1(spark, sf).join(F.broadcast(first), ["query_id", "gold_id"], "left_semi").withColumn("score", F.round("f1", 9))
+    first = gold(spark, sf).groupBy("query_id").agg(F.min("gold_id").alias("gold_id"), F.min_by("text", "gold_id").alias("text"))
+    scores = pair_f1(spark, sf, items=first).withColumn("score", F.round("f1", 9))
     return R.top_k(scores, "score", k).select("query_id", "doc_id", "rank", "score")
 
 
+def judged(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Retrieved paragraphs, gold passages, and the overlaps of the two."""
+    found = retrieved(spark, sf)
+    return found, gold(spark, sf), pair_f1(spark, sf, among=found)
+
+
 _TOK = lambda c: f"list_filter(string_split(trim(regexp_replace(lower({c}), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')"
-_PAIRS = f"""WITH para AS (SELECT regexp_extract(source, '\\d+')::INT AS query_id, doc_id * 1000 + i - 1 AS doc_id, ps[i] AS text FROM (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents), range(1, 300) r(i) WHERE i <= len(ps)),
+_PAIRS = f"""WITH para AS (SELECT regexp_extract(source, '\\d+')::INT AS query_id, doc_id || ':' || (i - 1) AS doc_id, ps[i] AS text FROM (SELECT doc_id, source, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents))),
 gold AS (SELECT (item_id % 20)::INT AS query_id, item_id AS gold_id, text FROM benchmark),
 pt AS (SELECT query_id, doc_id, t, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS s FROM (SELECT query_id, doc_id, unnest({_TOK('text')}) AS t FROM para) GROUP BY query_id, doc_id, t),
 gt AS (SELECT query_id, gold_id, t, count(*) AS n, sum(count(*)) OVER (PARTITION BY gold_id) AS s FROM (SELECT query_id, gold_id, unnest({_TOK('text')}) AS t FROM gold) GROUP BY query_id, gold_id, t),
@@ -67,12 +77,12 @@ a AS (SELECT query_id, coalesce(hit, 0) / retrieved AS p, coalesce(found, 0) / g
 
 @query("q_attribution", f"{_PAIRS}, {_att('0.5')} SELECT query_id, round(coalesce(p, 0), 6) AS precision, round(r, 6) AS recall, round(rr, 6) AS reciprocal_rank, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM a")
 def attribution(spark, sf):
-    return rounded(R.attribution(retrieved(spark, sf), gold(spark, sf), pair_f1(spark, sf), 0.5))
+    return rounded(R.attribution(*judged(spark, sf), 0.5))
 
 
 @query("q_mrr", f"{_PAIRS}, {_att('0.3')} SELECT round(avg(rr), 6) AS mrr, round(avg(r), 6) AS recall_at_10 FROM a")
 def mrr(spark, sf):
-    return rounded(R.attribution(retrieved(spark, sf), gold(spark, sf), pair_f1(spark, sf), 0.3).agg(F.avg("reciprocal_rank").alias("mrr"), F.avg("recall").alias("recall_at_10")))
+    return rounded(R.attribution(*judged(spark, sf), 0.3).agg(F.avg("reciprocal_rank").alias("mrr"), F.avg("recall").alias("recall_at_10")))
 
 
 @query(
@@ -80,8 +90,9 @@ def mrr(spark, sf):
     f"{_PAIRS}, k AS (SELECT * FROM (VALUES (1), (3), (5), (10)) v(k)), g AS (SELECT query_id, count(*) AS gold FROM gold GROUP BY query_id), f AS (SELECT k, query_id, count(DISTINCT gold_id) FILTER (WHERE f1 >= 0.3 AND rank <= k) AS found FROM k, pairs JOIN ret USING (query_id, doc_id) GROUP BY ALL) SELECT k, round(sum(found / gold) / (SELECT count(*) FROM g), 6) AS recall FROM f JOIN g USING (query_id) GROUP BY k",
 )
 def recall_k(spark, sf):
-    items = gold(spark, sf).groupBy("query_id").agg(F.count("*").alias("gold"))
-    hits = pair_f1(spark, sf).where("f1 >= 0.3").join(retrieved(spark, sf), ["query_id", "doc_id"])
+    found, golds, pairs = judged(spark, sf)
+    items = golds.groupBy("query_id").agg(F.count("*").alias("gold"))
+    hits = pairs.where("f1 >= 0.3").join(found, ["query_id", "doc_id"])
     found = R.k_sweep(hits, (1, 3, 5, 10)).groupBy("k", "query_id").agg(F.count_distinct("gold_id").alias("found"))
     every = items.select("query_id", "gold", F.explode(F.array(*(F.lit(k) for k in (1, 3, 5, 10)))).alias("k"))
     return rounded(every.join(found, ["k", "query_id"], "left").groupBy("k").agg(F.avg(F.coalesce("found", F.lit(0)) / F.col("gold")).alias("recall")))
@@ -89,7 +100,7 @@ def recall_k(spark, sf):
 
 @query("q_threshold_sweep", " UNION ALL ".join(f"(SELECT * FROM ({_PAIRS}, {_att(t)} SELECT {t}::DOUBLE AS threshold, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS mean_f1, round(avg(r), 6) AS mean_recall FROM a))" for t in ("0.3", "0.4", "0.5", "0.6")))
 def threshold_sweep(spark, sf):
-    return rounded(R.threshold_sweep(retrieved(spark, sf), gold(spark, sf), pair_f1(spark, sf)))
+    return rounded(R.threshold_sweep(*judged(spark, sf)))
 
 
 @query(
@@ -97,7 +108,7 @@ def threshold_sweep(spark, sf):
     f"{_PAIRS}, i AS (SELECT query_id, doc_id, gold_id, f1 FROM pairs JOIN ret USING (query_id, doc_id)), p AS (SELECT query_id, avg(coalesce(m, 0)) AS p FROM ret LEFT JOIN (SELECT query_id, doc_id, max(f1) AS m FROM i GROUP BY ALL) USING (query_id, doc_id) GROUP BY query_id), r AS (SELECT query_id, avg(coalesce(m, 0)) AS r FROM gold LEFT JOIN (SELECT query_id, gold_id, max(f1) AS m FROM i GROUP BY ALL) USING (query_id, gold_id) GROUP BY query_id) SELECT query_id, round(coalesce(p, 0), 6) AS soft_precision, round(r, 6) AS soft_recall, round(CASE WHEN coalesce(p, 0) + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS soft_f1 FROM r LEFT JOIN p USING (query_id)",
 )
 def soft_attribution(spark, sf):
-    return rounded(R.soft_attribution(retrieved(spark, sf), gold(spark, sf), pair_f1(spark, sf)))
+    return rounded(R.soft_attribution(*judged(spark, sf)))
 
 
 _BAG = lambda a: f"(SELECT t, count(*) AS n FROM (SELECT unnest({a}) AS t) GROUP BY t)"
@@ -107,16 +118,17 @@ def _f1_sql(left: str, right: str, empty: str) -> str:
     return f"CASE WHEN len({left}) = 0 AND len({right}) = 0 THEN {empty} WHEN len({left}) = 0 OR len({right}) = 0 THEN 0 ELSE 2 * coalesce((SELECT sum(least(x.n, y.n)) FROM {_BAG(left)} x JOIN {_BAG(right)} y USING (t)), 0) / (len({left}) + len({right})) END"
 
 
-_ITEMS = "SELECT a.item_id AS a_id, b.item_id AS b_id, {f} FROM benchmark a JOIN benchmark b ON a.item_id % 5 = b.item_id % 5 AND a.item_id < b.item_id"
+# Queries are the items whose id is divisible by 100, each against all other items.
+_ITEMS = "SELECT a.item_id AS a_id, b.item_id AS b_id, {f} FROM benchmark a JOIN benchmark b ON a.item_id % 100 = 0 AND a.item_id <> b.item_id"
 _PUNCT = lambda c: f"list_filter(string_split(trim(regexp_replace(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')"
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
 _CONTENT = lambda c: f"list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: NOT list_contains({_STOP}, x))"
 
 
 def item_pairs(spark, sf) -> DataFrame:
-    items = load_table(spark, sf, "benchmark").withColumn("g", F.col("item_id") % 5)
-    a, b = items.select("g", F.col("item_id").alias("a_id"), F.col("text").alias("a")), items.select("g", F.col("item_id").alias("b_id"), F.col("text").alias("b"))
-    return a.join(b, "g").where("a_id < b_id")
+    items = load_table(spark, sf, "benchmark")
+    a = items.where("item_id % 100 = 0").select(F.col("item_id").alias("a_id"), F.col("text").alias("a"))
+    return R.against_all(a, items.select(F.col("item_id").alias("b_id"), F.col("text").alias("b")), "b_id").where("a_id <> b_id")
 
 
 def _variant(tokens, empty):
@@ -166,23 +178,22 @@ def bm25_normalized(spark, sf):
     return rounded(_bm25(spark, sf).select("query_id", "doc_id", R.min_max("bm25", "query_id").alias("score")))
 
 
-# Vector retrieval: queries are the vectors whose id is divisible by 25; a group is vec_id % 5; the level follows
-# label % 3; predictions and confidences follow from the query's id.
-_CAND = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, (vec_id % 5)::INT AS g, ['macro', 'meso', 'micro'][label % 3 + 1] AS level FROM embeddings),
-q AS (SELECT vec_id AS query_id, e AS qe, g, ['macro', 'meso', 'micro'][((vec_id // 25) % 3 + 1)::INT] AS predicted, CASE WHEN (vec_id // 25) % 7 = 0 THEN NULL ELSE ((vec_id * 37) % 100) / 100 END AS confidence FROM v WHERE vec_id % 25 = 0),
-c AS (SELECT query_id, v.vec_id AS doc_id, level, predicted, confidence, round(list_cosine_similarity(e, qe), 9) AS cosine, round(list_dot_product(e, qe) / 10 + (v.vec_id % 7), 9) AS bm25 FROM q JOIN v USING (g) WHERE v.vec_id <> query_id)"""
+# Vector retrieval: queries are the vectors whose id is divisible by 100, against all other vectors; the level
+# follows label % 3; predictions and confidences follow from the query's id.
+_CAND = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, ['macro', 'meso', 'micro'][label % 3 + 1] AS level FROM embeddings),
+q AS (SELECT vec_id AS query_id, e AS qe, ['macro', 'meso', 'micro'][((vec_id // 100) % 3 + 1)::INT] AS predicted, CASE WHEN (vec_id // 100) % 7 = 0 THEN NULL ELSE ((vec_id // 100 * 37) % 100) / 100 END AS confidence FROM v WHERE vec_id % 100 = 0),
+c AS (SELECT query_id, v.vec_id AS doc_id, level, predicted, confidence, round(list_cosine_similarity(e, qe), 9) AS cosine, round(list_dot_product(e, qe) / 10 + (v.vec_id % 7), 9) AS bm25 FROM q JOIN v ON v.vec_id <> query_id)"""
 
 
 def candidates(spark, sf) -> DataFrame:
     levels = F.array(F.lit("macro"), F.lit("meso"), F.lit("micro"))
-    v = load_table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 5).cast("int").alias("g"), F.get(levels, F.col("label") % 3).alias("level"))
-    turn = F.floor(F.col("vec_id") / 25)
-    q = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), "g", F.get(levels, (turn % 3).cast("int")).alias("predicted"), F.when(turn % 7 != 0, (F.col("vec_id") * 37) % 100 / 100).alias("confidence"))
-    d = v.select("g", F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dv"), "level")
-    # The queries are a fixed share of the vectors; adaptive execution decides on a broadcast by their size.
-    both = q.join(d, "g").where(F.col("doc_id") != F.col("query_id"))
+    v = load_table(spark, sf, "embeddings").select("vec_id", "embedding", F.get(levels, F.col("label") % 3).alias("level"))
+    turn = F.floor(F.col("vec_id") / 100)
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.get(levels, (turn % 3).cast("int")).alias("predicted"), F.when(turn % 7 != 0, (turn * 37) % 100 / 100).alias("confidence"))
+    d = v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dv"), "level")
+    both = R.against_all(q, d, "doc_id").where(F.col("doc_id") != F.col("query_id"))
     scored = both.withColumn("cosine", F.round(V.cosine(F.col("qv"), F.col("dv")), 9)).withColumn("bm25", F.round(V.dot(F.col("qv"), F.col("dv")) / 10 + F.col("doc_id") % 7, 9))
-    return scored.drop("qv", "dv", "g")
+    return scored.drop("qv", "dv")
 
 
 _TOP = lambda score, where="true", src="c", k=5: f"SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, doc_id)::INT AS rank, {score} AS score FROM {src} WHERE {where} QUALIFY rank <= {k}"
@@ -278,9 +289,25 @@ def weighted_parent(spark, sf):
 
 @query("q_weighted_parent_bm25", _parents_sql("s", "b", f", {_HYB}, b AS (SELECT *, round({_BOOST}, 9) AS s FROM h)"))
 def weighted_parent_bm25(spark, sf):
+    return R.with_parents(R.top_k(_weighted_bm25(spark, sf), "s", 5), _meso(spark, sf))
+
+
+def _weighted_bm25(spark, sf) -> DataFrame:
     c = parented(spark, sf)
-    boosted = c.withColumn("x", F.round(R.hybrid(c, "query_id"), 9)).withColumn("s", F.round(R.boosted(F.col("x")), 9))
-    return R.with_parents(R.top_k(boosted, "s", 5), _meso(spark, sf))
+    return c.withColumn("x", F.round(R.hybrid(c, "query_id"), 9)).withColumn("s", F.round(R.boosted(F.col("x")), 9))
+
+
+# The composite of all: boosted hybrid scores choose 50 candidates, their parents join them, and a second score ranks all.
+@query(
+    "q_weighted_parent_bm25_rerank",
+    _parents_sql("s", "b", f", {_HYB}, b AS (SELECT *, round({_BOOST}, 9) AS s FROM h)").replace("QUALIFY rank <= 5", "QUALIFY rank <= 50").rpartition("SELECT query_id, doc_id, rank, false AS is_parent")[0]
+    + f"""SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, is_parent, round(score, 6) + 0.0 AS score
+FROM (SELECT query_id, doc_id, is_parent, bm25 AS score FROM (SELECT query_id, doc_id, false AS is_parent FROM t UNION ALL SELECT query_id, doc_id, true FROM f) JOIN c USING (query_id, doc_id)) QUALIFY rank <= 10""",
+)
+def weighted_parent_bm25_rerank(spark, sf):
+    scored = _weighted_bm25(spark, sf)
+    pool = R.with_parents(R.top_k(scored, "s", 50), _meso(spark, sf)).drop("rank")
+    return rounded(R.top_k(pool.join(scored.select("query_id", "doc_id", F.col("bm25").alias("score")), ["query_id", "doc_id"]), "score", 10).select("query_id", "doc_id", "rank", "is_parent", "score"))
 
 
 @query("q_reranked", f"{_CAND}, p AS ({_TOP('cosine', k=50)}), j AS (SELECT c.* FROM c JOIN p USING (query_id, doc_id)), t AS ({_TOP('bm25', src='j')}) {_OUT}")

@@ -215,9 +215,9 @@ def balanced_by_slice(spark, sf):
     return P.balanced_by_slice(labelled(spark, sf).select("doc_id", "source", "quality"), "source", "quality", 3, 1, "doc_id")
 
 
-@query("q_proportional_sample", "SELECT lang, count(*) AS n FROM (SELECT lang FROM documents) GROUP BY lang HAVING false")
+@query("q_proportional_sample", "WITH c AS (SELECT lang, count(*) AS c, lag(false, 1, true) OVER (ORDER BY lang DESC) AS last FROM documents GROUP BY lang), r AS (SELECT *, least(c, round_even(100.0::DOUBLE * c / sum(c) OVER (), 0))::BIGINT AS share FROM c) SELECT lang, CASE WHEN last THEN least(c, 100 - (SELECT sum(share) FROM r WHERE NOT last)) ELSE share END::BIGINT AS n FROM r")
 def proportional_sample(spark, sf):
-    return P.proportional_sample(load_table(spark, sf, "documents").select("doc_id", "lang"), "lang", 0, "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
+    return P.proportional_sample(load_table(spark, sf, "documents").select("doc_id", "lang"), "lang", 100, "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query("q_group_sample")
@@ -344,10 +344,10 @@ def crosstab(spark, sf):
     return load_table(spark, sf, "documents").groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@query("q_outer_merge", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality, b.toxic FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id, toxic FROM labels WHERE doc_id % 3 = 0) b ON a.doc_id = b.doc_id")
+@query("q_outer_merge", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality, b.toxic FROM (SELECT doc_id, quality FROM labels WHERE quality = 1) a FULL JOIN (SELECT doc_id, toxic FROM labels WHERE toxic = 0) b ON a.doc_id = b.doc_id")
 def outer_merge(spark, sf):
     labels = load_table(spark, sf, "labels")
-    return labels.where("doc_id % 2 = 0").select("doc_id", "quality").join(labels.where("doc_id % 3 = 0").select("doc_id", "toxic"), "doc_id", "full")
+    return labels.where("quality = 1").select("doc_id", "quality").join(labels.where("toxic = 0").select("doc_id", "toxic"), "doc_id", "full")
 
 
 @query("q_dummies", "SELECT doc_id, (lang = 'en')::INT AS lang_en, (lang = 'es')::INT AS lang_es, (lang = 'fr')::INT AS lang_fr FROM documents")
