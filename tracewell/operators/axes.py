@@ -97,3 +97,12 @@ def axis_features(df: DataFrame, trace: str, order: str, vector: str, axis: np.n
     several = F.col("n_steps") > 1
     monotone = F.when(F.col("n_steps") > 2, F.coalesce(F.nanvl("__rho", F.lit(0.0)), F.lit(0.0))).when(several, F.col("axis_direction"))
     return out.withColumn("axis_direction", F.when(several, F.col("axis_direction"))).withColumn("axis_monotonicity", monotone).withColumn("axis_ratio", F.when(F.col("__moved") > 1e-10, F.col("axis_drift_mean") / F.col("__moved"))).drop("__rho", "__moved")
+
+
+def layer_differences(df: DataFrame, layer: str, label: str, vector: str, low, high) -> DataFrame:
+    """Per layer the length of the difference of the two classes' mean vectors, and whether it is the largest."""
+    parts = df.where(F.col(label).isin(low, high)).select(layer, label, F.posexplode(vector).alias("i", "x"))
+    means = parts.groupBy(layer, "i").agg((F.avg(F.when(F.col(label) == high, F.col("x").cast("double"))) - F.avg(F.when(F.col(label) == low, F.col("x").cast("double")))).alias("d"))
+    norms = means.groupBy(layer).agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("norm"))
+    top = norms.agg(F.max("norm").alias("__top"))
+    return norms.crossJoin(top).select(layer, "norm", (F.col("norm") == F.col("__top")).alias("largest"))

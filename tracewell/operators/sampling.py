@@ -6,9 +6,13 @@ order, the hash first deals it into parts whose sizes are summed, so no task see
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .statistics import running_sums
+
 
 def hash_order(*columns: str, seed: int = 42) -> Column:
     return F.xxhash64(*columns, F.lit(seed))
@@ -21,16 +25,16 @@ def per_class(df: DataFrame, label: str | list[str], n: int | Column, order: lis
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 
-def quota_sample(df: DataFrame, stratum: str, quotas: dict[str, int], id_col: str, seed: int = 42) -> DataFrame:
-    """Of every stratum its quota of rows; other strata give none."""
+def quota_sample(df: DataFrame, stratum: str, quotas: dict[str, int], id_col: str, seed: int = 42, order: Column | None = None) -> DataFrame:
+    """Of every stratum its quota of rows, in hash order or a given one; other strata give none."""
     quota = F.create_map(*(x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))))[F.col(stratum)]
-    return per_class(df.where(F.col(stratum).isin(list(quotas))), stratum, quota, [hash_order(id_col, seed=seed), id_col])
+    return per_class(df.where(F.col(stratum).isin(list(quotas))), stratum, quota, [hash_order(id_col, seed=seed) if order is None else order, id_col])
 
 
-def priority_quota_sample(df: DataFrame, pools: list[tuple[str, Column, int]], id_col: str, seed: int = 42) -> DataFrame:
+def priority_quota_sample(df: DataFrame, pools: list[tuple[str, Column, int]], id_col: str, seed: int = 42, order: Column | None = None) -> DataFrame:
     """Quota samples from overlapping pools: a row belongs to the first pool whose test it passes, so none is used twice."""
     pool = F.coalesce(*(F.when(test, F.lit(name)) for name, test, _ in pools))
-    return quota_sample(df.withColumn("pool", pool), "pool", {name: n for name, _, n in pools}, id_col, seed)
+    return quota_sample(df.withColumn("pool", pool), "pool", {name: n for name, _, n in pools}, id_col, seed, order)
 
 
 def allocate(counts: dict[str, int], n: int) -> dict[str, int]:
@@ -51,9 +55,9 @@ def proportional_sample(df: DataFrame, stratum: str, n: int, id_col: str, seed:
     return quota_sample(df.withColumn("__stratum", F.col(stratum).cast("string")), "__stratum", allocate(counts, n), id_col, seed).drop("__stratum")
 
 
-def group_sample(df: DataFrame, group: str, n: int, seed: int = 42) -> DataFrame:
-    """All rows of n groups."""
-    chosen = df.select(group).distinct().orderBy(hash_order(group, seed=seed), group).limit(n)
+def group_sample(df: DataFrame, group: str, n: int, seed: int = 42, order: Column | None = None) -> DataFrame:
+    """All rows of n groups, the first in hash order or a given one."""
+    chosen = df.select(group).distinct().orderBy(hash_order(group, seed=seed) if order is None else order, group).limit(n)
     return df.join(chosen, group, "left_semi")
 
 
@@ -108,9 +112,25 @@ def group_folds(df: DataFrame, group: str, k: int = 5, key: Column | None = None
     return df.withColumn("fold", F.pmod(key if key is not None else hash_order(group), F.lit(k)).cast("int"))
 
 
-def majority_group_split(df: DataFrame, group: str, label: str, cuts: list[tuple[str, float]]) -> DataFrame:
-    """Groups split so that the groups' majority labels are in proportion; rows follow their group."""
-    from .labeling import majority
+def majority_group_split(df: DataFrame, group: str, label: str, cuts: list[tuple[str, float]], order: list[Column | str] | None = None) -> DataFrame:
+    """Groups split so that the groups' majority labels (the smaller on ties) are in proportion; rows follow their group."""
+    counts = df.groupBy(group, label).agg(F.count("*").alias("__n"))
+    of_group = counts.groupBy(group).agg(F.min_by(label, F.struct((-F.col("__n")).alias("n"), F.col(label).alias("l"))).alias("__label"))
+    return df.join(stratified_split(of_group, "__label", group, cuts, order).drop("__label"), group)
+
+
+def anchor_chunks(df: DataFrame, trace: str, chunk: str, traces: int, chunks: int, order: Callable[..., Column] = hash_order) -> DataFrame:
+    """Of some traces, the first in hash order, some chunks each, to be compared with anchors."""
+    return per_class(group_sample(df, trace, traces, order=order(trace)), trace, chunks, [order(trace, chunk), chunk])
 
-    of_group = majority(df.withColumn("__place", F.xxhash64(group, label)), [group], label, "__place").select(group, F.col(label).alias("__label"))
-    return df.join(stratified_split(of_group, "__label", group, cuts).drop("__label"), group)
+
+def prefix_split(df: DataFrame, order: str, cuts: list[tuple[str, int]], rest: str) -> DataFrame:
+    """Column split by the place of a row in an order of distinct values: the first n rows, the next, and the rest."""
+    placed = running_sums(df.withColumn("__one", F.lit(1)), order, ["__one"], [])
+    split, end, tests = F.lit(rest), 0, []
+    for name, n in cuts:
+        end += n
+        tests.append((F.col("__one_before") < end, name))
+    for test, name in reversed(tests):
+        split = F.when(test, name).otherwise(split)
+    return placed.withColumn("split", split).drop("__one", "__one_before")

@@ -128,3 +128,53 @@ def rubric_total(awards: Column, maxima: Column) -> Column:
 
 def guarded_ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
+
+
+def assemble_traces(steps: DataFrame, scores: DataFrame, metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """Steps of traces that have a score, with the trace's metrics where there are any."""
+    return steps.join(scores, keys).join(metrics, keys, "left")
+
+
+def collapse(df: DataFrame, key: str, columns: list[str], order: str, done: DataFrame | None = None) -> DataFrame:
+    """One row per key with the first values in an order; keys that ``done`` has are left out."""
+    rows = df if done is None else df.join(done.select(key), key, "left_anti")
+    return rows.groupBy(key).agg(*(F.min_by(c, order).alias(c) for c in columns))
+
+
+def gold_answers(df: DataFrame, id_col: str, answers: str) -> DataFrame:
+    """The answer that an id of the form paper__qN names; rows whose N is out of range or missing go."""
+    n = F.regexp_extract(id_col, r"__q(\d+)$", 1).try_cast("int")
+    return df.withColumn("gold", F.get(answers, n)).where(n.isNotNull() & F.col("gold").isNotNull())
+
+
+def record_shape(record: Column) -> Column:
+    """Kind of a JSON record by the keys it has: trajectory, annotation, step or label; else other."""
+    has = lambda key: F.get_json_object(record, f"$.{key}").isNotNull()
+    return F.when(has("messages") | has("chat_history") | has("steps"), "trajectory").when(has("step_annotations"), "annotation").when(has("step"), "step").when(has("label"), "label").otherwise("other")
+
+
+def tagged_union(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several tables with the table's name in ``origin``; columns that a table lacks are NULL."""
+    out = None
+    for name, table in tables.items():
+        rows = table.withColumn("origin", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def unique_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows; a key that comes twice makes the query fail."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    guarded = counts.select(*keys, F.assert_true(F.col("__n") == 1, F.concat(F.lit("duplicate key "), F.concat_ws(",", *(F.col(k).cast("string") for k in keys)))).alias("__ok")).where("__ok is null").drop("__ok")
+    return df.join(guarded, keys, "left_semi")
+
+
+def ramped(values: Column, step: float = 1e-6) -> Column:
+    """A constant series with a tiny ramp added, as some models reject flat ones; other series as they are."""
+    return F.when(F.array_max(values) == F.array_min(values), F.transform(values, lambda x, i: x + i * step)).otherwise(values)
+
+
+def text_or_abstract(full: Column, abstract: Column) -> tuple[Column, Column]:
+    """(text, mode): the full text where there is one, else the abstract."""
+    has = F.coalesce(F.trim(full) != "", F.lit(False))
+    return F.when(has, full).otherwise(abstract), F.when(has, "full_text").otherwise("abstract")

@@ -183,17 +183,51 @@ def resample_index(resample: Column, draw: Column, n: Column, seed: int = 42) ->
     return ((again * 16_807) % 2_147_483_647) % n
 
 
-def bootstrap_means(df: DataFrame, value: str, order: str, resamples: int, seed: int = 42) -> DataFrame:
-    """resample and the mean of n values drawn with replacement.
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """The rows with their places __i from 0 in an order of distinct values, without a task that sees them all."""
+    return running_sums(df.withColumn("__one", F.lit(1)), order, ["__one"], []).withColumn("__i", F.col("__one_before").cast("bigint")).drop("__one", "__one_before")
+
 
-    The drawn table has n rows per resample and is never built at once: rows are numbered, draws are counted
-    per row, and the join is on the row number.
+def drawn(df: DataFrame, order: str, resamples: int, seed: int = 42) -> DataFrame:
+    """resample, __times and the row: how often each row is drawn when as many are drawn with replacement as there are.
+
+    Draws are counted per row, and the join is on the row's place in an order of distinct values.
     """
-    numbered = df.where(F.col(value).isNotNull()).select(F.col(value).alias("__v"), (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint").alias("__i"))
-    n = numbered.count()
+    rows = numbered(df, order)
+    n = df.count()
     draws = df.sparkSession.range(resamples * n).select(F.floor(F.col("id") / F.lit(n)).cast("bigint").alias("resample"), F.pmod("id", F.lit(n)).alias("draw"))
-    indexed = draws.select("resample", resample_index(F.col("resample"), F.col("draw"), F.lit(n), seed).cast("bigint").alias("__i"))
-    return indexed.groupBy("resample", "__i").agg(F.count("*").alias("__times")).join(numbered, "__i").groupBy("resample").agg((F.sum(F.col("__v") * F.col("__times")) / F.sum("__times")).alias("mean"))
+    places = draws.select("resample", resample_index(F.col("resample"), F.col("draw"), F.lit(n), seed).cast("bigint").alias("__i"))
+    return places.groupBy("resample", "__i").agg(F.count("*").alias("__times")).join(rows, "__i").drop("__i")
+
+
+def bootstrap_means(df: DataFrame, value: str, order: str, resamples: int, seed: int = 42) -> DataFrame:
+    """resample and the mean of n values drawn with replacement; give the difference of two columns for a paired bootstrap."""
+    rows = drawn(df.where(F.col(value).isNotNull()).select(order, F.col(value).alias("__v")), order, resamples, seed)
+    return rows.groupBy("resample").agg((F.sum(F.col("__v") * F.col("__times")) / F.sum("__times")).alias("mean"))
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """The drawn rows one by one, for statistics that take no weights."""
+    return rows.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).drop("__times")
+
+
+def interval(df: DataFrame, value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """Resamples, mean and percentile interval of a bootstrapped statistic; the rows are the resamples, so they are few."""
+    return df.agg(F.count(value).alias("resamples"), F.avg(value).alias("mean"), F.percentile(value, low).alias("low"), F.percentile(value, high).alias("high"))
+
+
+def auc_difference(df: DataFrame, target: str, a: str, b: str, order: str, resamples: int, delta: float = 0.03) -> DataFrame:
+    """Paired bootstrap of the difference of two scores' AUC, and a verdict: win or regress beyond ``delta`` if the interval leaves out 0."""
+    rows = repeated(drawn(df.select(order, target, a, b), order, resamples))
+    of = lambda score, name: auc(rows, target, score, ["resample"]).select("resample", F.col("auc").alias(name))
+    both = of(a, "__a").join(of(b, "__b"), "resample").withColumn("difference", F.col("__a") - F.col("__b"))
+    m, lo, hi = F.col("mean"), F.col("low"), F.col("high")
+    return interval(both, "difference").withColumn("verdict", F.when((m >= delta) & (lo > 0), "win").when((m <= -delta) & (hi < 0), "regress").otherwise("inconclusive"))
+
+
+def importance_summary(df: DataFrame, feature: str, importance: str) -> DataFrame:
+    """Mean and sample standard deviation of a feature's importance over the folds."""
+    return df.groupBy(feature).agg(F.count(importance).alias("folds"), F.avg(importance).alias("mean"), F.stddev_samp(importance).alias("std"))
 
 
 def normal_p(z: float, tails: int = 2) -> float:

@@ -1,5 +1,5 @@
 """Sources and sinks."""
 
-from .tables import latest_labels, load_table, nan_to_null, read_features, read_json_document, read_jsonl, read_many, write_features, write_json_document, write_jsonl
+from .tables import finite, latest_labels, load_table, nan_to_null, read_features, read_json_document, read_jsonl, read_many, scratch, write_features, write_json_document, write_jsonl, write_table
 
-__all__ = ["latest_labels", "load_table", "nan_to_null", "read_features", "read_json_document", "read_jsonl", "read_many", "write_features", "write_json_document", "write_jsonl"]
+__all__ = ["finite", "latest_labels", "load_table", "nan_to_null", "read_features", "read_json_document", "read_jsonl", "read_many", "scratch", "write_features", "write_json_document", "write_jsonl", "write_table"]
