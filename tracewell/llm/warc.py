@@ -2,8 +2,9 @@
 
 Pages are written as WARC 1.1 records, one gzip member each.  Every archive
 file comes with a run of index entries sorted by URL key and timestamp.  The
-runs are range-partitioned by (URL key, timestamp, page) and each range is put
-in order by a k-way merge of its run segments on a loser tree, so the
+runs are range-partitioned by (URL key, timestamp, page, run, offset), which
+keeps the order of each run's entries, and each range is put in order by a k-way
+merge of its sorted segments on a loser tree, without sorting them again, so the
 partitions one after the other are the captures' global history.  Records are
 read back through that index.
 
@@ -192,24 +193,27 @@ def write_archives(pages: DataFrame, folder: str, **options) -> DataFrame:
 def merge_runs(runs: DataFrame, folder: str) -> DataFrame:
     """The global index: entries with capture_rank (from 0) in the order of URL key, timestamp and page.
 
-    Each range task merges the segments that runs have in its range on a loser tree.
+    Each range task merges the segments that runs have in its range on a loser tree.  The shuffle keeps the
+    order in which a map task sends a run's entries; a segment ends where the next entry is smaller.
     """
     spark = runs.sparkSession
     out = pa.schema([("partition", pa.int32()), ("place", pa.int64()), *INDEX])
 
     def merge(batches):
-        segments: dict[str, list] = {}
+        segments: list[list] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                segments.setdefault(row[3], []).append(((row[0], row[1], row[2] is not None, row[2] or 0), row))
+                entry = ((row[0], row[1], row[2] is not None, row[2] or 0, row[3], row[5]), row)
+                if not segments or entry[0] < segments[-1][-1][0]:
+                    segments.append([])
+                segments[-1].append(entry)
         partition, place, rows = TaskContext.get().partitionId(), 0, []
 
         def flush():
             columns = dict(zip(INDEX.names, zip(*rows, strict=True), strict=True))
             return work.batch_of(out, partition=[partition] * len(rows), place=range(place - len(rows), place), **columns)
 
-        # A segment comes from one sorted run; rows of a run that reach here in several pieces are put in order first.
-        for _, row in LoserTree(iter(sorted(s, key=lambda x: x[0])) for _, s in sorted(segments.items())):
+        for _, row in LoserTree(iter(s) for s in segments):
             rows.append(row)
             place += 1
             if len(rows) == 10_000:
@@ -218,13 +222,13 @@ def merge_runs(runs: DataFrame, folder: str) -> DataFrame:
         if rows:
             yield flush()
 
-    # As many ranges as keep a range's entries in a task's memory.
+    # As many ranges as keep a range's entries in a task's memory; run and offset split a page that is captured very often.
     ranges = max(work.parallelism(spark), -(-runs.count() // RANGE_ENTRIES))
-    dealt = runs.repartitionByRange(ranges, "url_key", "timestamp", "page_id")
+    dealt = runs.repartitionByRange(ranges, "url_key", "timestamp", "page_id", "run", "offset")
     merged = work.materialize(dealt.mapInArrow(merge, f"partition int, place bigint, {INDEX_DDL}"), f"{folder}/merged")
     sizes = merged.groupBy("partition").agg(F.count("*").alias("n"))
     base = sizes.select("partition", (F.sum("n").over(Window.orderBy("partition")) - F.col("n")).alias("base"))
-    return merged.join(F.broadcast(base), "partition").withColumn("capture_rank", F.col("base") + F.col("place")).drop("partition", "place", "base")
+    return merged.join(base, "partition").withColumn("capture_rank", F.col("base") + F.col("place")).drop("partition", "place", "base")
 
 
 def cdx_lines(index: DataFrame) -> DataFrame:
