@@ -4,7 +4,10 @@
 track.  ``probe`` walks the nested boxes of any ISO media file and decodes the
 sample tables (stts, stsc, stsz or stz2, stco or co64, stss) of each track into
 codec, duration, sample ranges and keyframe ranges; it never looks into mdat.
-Media columns are written as a Parquet table and read back by Spark.
+Media columns are written as a Parquet table and read back by Spark, and what
+``probe`` finds (codec, duration, byte ranges from keyframe to keyframe) is
+stored as columns beside them, so that later reads fetch only the ranges they
+need.
 
 Defined results: a null payload is an empty one, padded like any other to one
 unit; bytes that are no ISO media file, or are cut off, probe to an ``error``
@@ -215,13 +218,35 @@ def keyframe_ranges(track: dict) -> np.ndarray:
 
 
 def feature(info: dict) -> str:
-    """codec, seconds, samples, keyframes and a checksum of all keyframe ranges, as text."""
+    """Of every track codec, seconds, samples, keyframes and a checksum of all keyframe ranges, as text."""
     if info["error"] or not info["tracks"]:
         return f"error={info['error'] or 'no tracks'}"
-    track = info["tracks"][0]
-    ranges = keyframe_ranges(track)
-    first = "-".join(map(str, ranges[0])) if len(ranges) else ""
-    return f"brand={info['brand']};codec={track['codec']};seconds={track['duration'] / track['timescale']:.6f};samples={len(track['sizes'])};keyframes={len(ranges)};first={first};ranges_crc32={zlib.crc32(ranges.astype('<i8').tobytes())}"
+    out = [f"brand={info['brand']}"]
+    for track in info["tracks"]:
+        ranges = keyframe_ranges(track)
+        out.append(f"codec={track['codec']};seconds={track['duration'] / track['timescale']:.6f};samples={len(track['sizes'])};keyframes={len(ranges)};ranges_crc32={zlib.crc32(ranges.astype('<i8').tobytes())}")
+    return ";".join(out)
+
+
+INDEXED = "codec array<string>, seconds array<double>, keyframe_ranges array<struct<track: int, keyframe: bigint, first_byte: bigint, last_byte: bigint>>"
+
+
+def indexed(info: dict) -> tuple[list[str], list[float], dict[str, np.ndarray]]:
+    """Codec and seconds of every track, and all their keyframe ranges (last_byte exclusive)."""
+    tracks = info["tracks"]
+    ranges = [keyframe_ranges(t) for t in tracks]
+    both = np.concatenate(ranges) if ranges else np.zeros((0, 2), np.int64)
+    keys = np.concatenate([t["keys"] for t in tracks]) if tracks else np.zeros(0, np.int64)
+    columns = {"track": np.repeat(np.arange(len(tracks)), [len(r) for r in ranges]).astype(np.int32), "keyframe": keys.astype(np.int64), "first_byte": both[:, 0], "last_byte": both[:, 1]}
+    return [t["codec"] for t in tracks], [t["duration"] / t["timescale"] for t in tracks], columns
+
+
+def index_arrays(found: list[tuple[list[str], list[float], dict[str, np.ndarray]]]) -> list[pa.Array]:
+    """The columns of ``INDEXED`` for some files."""
+    fields = [("track", pa.int32()), ("keyframe", pa.int64()), ("first_byte", pa.int64()), ("last_byte", pa.int64())]
+    ranges = pa.StructArray.from_arrays([pa.array(np.concatenate([f[2][n] for f in found]) if found else [], t) for n, t in fields], [n for n, _ in fields])
+    ends = np.concatenate(([0], np.cumsum([len(f[2]["track"]) for f in found]))).astype(np.int32)
+    return [pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(ends), ranges)]
 
 
 def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT) -> DataFrame:
@@ -237,40 +262,39 @@ def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def media_index(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per track and keyframe range: id, track, codec, seconds, keyframe, first_byte, last_byte (exclusive)."""
-    schema = pa.schema([("id", pa.int64()), ("track", pa.int32()), ("codec", pa.string()), ("seconds", pa.float64()), ("keyframe", pa.int64()), ("first_byte", pa.int64()), ("last_byte", pa.int64())])
+    """One row per keyframe range: id, track, codec, seconds, keyframe, first_byte, last_byte (exclusive)."""
 
     def index(batches):
         for batch in batches:
-            rows: dict[str, list] = {f.name: [] for f in schema}
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for number, track in enumerate(probe(data.as_py())["tracks"]):
-                    for k, (a, b) in zip(track["keys"].tolist(), keyframe_ranges(track).tolist(), strict=True):
-                        for name, value in zip(rows, (doc, number, track["codec"], track["duration"] / track["timescale"], k, a, b), strict=True):
-                            rows[name].append(value)
-            yield work.batch_of(schema, **rows)
+            found = [indexed(probe(data.as_py())) for data in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *index_arrays(found)], names=["id", "codec", "seconds", "keyframe_ranges"])
 
-    return media.select(F.col(id_col).cast("bigint"), F.col(media_col)).mapInArrow(index, "id bigint, track int, codec string, seconds double, keyframe bigint, first_byte bigint, last_byte bigint")
+    files = media.select(F.col(id_col).cast("bigint"), F.col(media_col)).mapInArrow(index, f"id bigint, {INDEXED}")
+    ranges = files.select("id", "codec", "seconds", F.explode("keyframe_ranges").alias("r"))
+    return ranges.select("id", "r.track", F.get("codec", F.col("r.track")).alias("codec"), F.get("seconds", F.col("r.track")).alias("seconds"), "r.keyframe", "r.first_byte", "r.last_byte")
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Digests of what a media column's files hold, read through their sample tables."""
+    """Digests of what a media column's files hold, read through their sample tables, and the stored index of each file."""
     names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     schema = pa.schema([(n, pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64()) for n in names])
 
     def read(batches):
         for batch in batches:
             rows: dict[str, list] = {n: [] for n in names}
+            found = []
             for doc, n_bytes, media_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = media_.as_py()
                 info = probe(data)
+                found.append(indexed(info))
                 payload = sample_bytes(data, info["tracks"][0]) if info["tracks"] else b""
                 values = (doc, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(info))
                 for name, value in zip(names, values, strict=True):
                     rows[name].append(value)
-            yield work.batch_of(schema, **rows)
+            yield pa.RecordBatch.from_arrays([*work.batch_of(schema, **rows).columns, *index_arrays(found)], names=[*names, "codec", "seconds", "keyframe_ranges"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'bigint'}" for f in schema))
+    ddl = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'bigint'}" for f in schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, f"{ddl}, {INDEXED}")
 
 
 def media_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
