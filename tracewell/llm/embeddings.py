@@ -183,7 +183,7 @@ def verified(visited: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame
     schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
-        for (_, query, rep, n, vector, cells), _ in runs(batches, 6):
+        for _, query, rep, n, vector, cells in runs(batches, 6):
             query = query.astype(bool)
             if query.all() or not query.any():
                 continue
@@ -203,7 +203,7 @@ def verified(visited: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame
                     both[: len(some), len(some) :] = linked[np.ix_(some, hit)]
                     both[len(some) :, : len(some)] = both[: len(some), len(some) :].T
                     nodes = np.concatenate((asks[rows][some], owns[columns][hit]))
-                    edges += [(nodes[i], nodes[j]) for i, j in forest_of(both)]
+                    edges += [(nodes[i], nodes[j]) for i, j in forest_of(len(both), lambda i, others: both[i, others])]
             found = np.flatnonzero(links)
             none = [None] * len(edges)
             yield work.batch_of(schema, rep=[*asks[found].tolist(), *none], links=[*links[found].tolist(), *none], u=[None] * len(found) + [u for u, _ in edges], v=[None] * len(found) + [v for _, v in edges])
