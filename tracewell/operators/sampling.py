@@ -69,7 +69,7 @@ def balanced_head(df: DataFrame, label: str, n: int, order: str) -> DataFrame:
 def balanced_by_slice(df: DataFrame, part: str, label: str, most: int, least: int, order: str) -> DataFrame:
     """The same number of rows of both classes per slice, at most ``most``; slices with fewer than ``least`` of a class go."""
     counts = df.groupBy(part).agg(F.least(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0), F.lit(most)).alias("__take")).where(F.col("__take") >= least)
-    return per_class(df.join(F.broadcast(counts), part), [part, label], F.col("__take"), [order]).drop("__take")
+    return per_class(df.join(counts, part), [part, label], F.col("__take"), [order]).drop("__take")
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, cuts: list[tuple[str, float]], order: list[Column | str] | None = None) -> DataFrame:

@@ -148,13 +148,15 @@ def label_alignment(spark, sf):
 
 @query("q_median_features", f"SELECT lang, count(*) AS n, round(avg(words), 6) AS mean_words, round(quantile_cont(words, 0.5), 6) AS median_words FROM ({DOCS}) GROUP BY lang")
 def median_features(spark, sf):
-    return rounded(docs(spark, sf).groupBy("lang").agg(F.count("*").alias("n"), F.avg("words").alias("mean_words"), F.percentile("words", 0.5).alias("median_words")))
+    rows = docs(spark, sf)
+    sums = rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg("words").alias("mean_words"))
+    return rounded(sums.join(S.quantile(rows, "words", 0.5, ["lang"]).withColumnRenamed("quantile", "median_words"), "lang"))
 
 
 @query("q_diversity_split", f"WITH d AS (SELECT * FROM ({DOCS}) WHERE lang <> 'es'), m AS (SELECT quantile_cont(words, 0.5) AS m FROM d) SELECT CASE WHEN words <= m THEN 'low' ELSE 'high' END AS half, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM d, m GROUP BY 1")
 def diversity_split(spark, sf):
     rows = docs(spark, sf).where("lang <> 'es'")
-    middle = rows.agg(F.percentile("words", 0.5).alias("m"))
+    middle = S.quantile(rows, "words", 0.5).withColumnRenamed("quantile", "m")  # one row
     return rounded(rows.crossJoin(F.broadcast(middle)).groupBy(F.when(F.col("words") <= F.col("m"), "low").otherwise("high").alias("half")).agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars")))
 
 

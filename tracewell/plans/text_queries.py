@@ -335,7 +335,7 @@ def bootstrap_ci(spark, sf):
 @query("q_median_split", f"WITH d AS (SELECT doc_id, words, quantile_cont(words, 0.5) OVER () AS m FROM ({DOCS})) SELECT doc_id, words > m AS above, words >= m AS at_least FROM d")
 def median_split(spark, sf):
     rows = docs(spark, sf)
-    middle = rows.agg(F.percentile("words", 0.5).alias("m"))
+    middle = S.quantile(rows, "words", 0.5).withColumnRenamed("quantile", "m")  # one row
     return rows.crossJoin(F.broadcast(middle)).select("doc_id", (F.col("words") > F.col("m")).alias("above"), (F.col("words") >= F.col("m")).alias("at_least"))
 
 
@@ -368,4 +368,4 @@ def agreement_changes(spark, sf):
 @query("q_grouped_spread", "WITH t AS (SELECT user_id, stddev_pop(value) AS s, max(value) - min(value) AS r FROM events GROUP BY user_id) SELECT round(avg(s), 6) AS mean_std, round(quantile_cont(s, 0.5), 6) AS median_std, round(avg(r), 6) AS mean_range, round(quantile_cont(r, 0.5), 6) AS median_range FROM t")
 def grouped_spread(spark, sf):
     per = load_table(spark, sf, "events").groupBy("user_id").agg(F.stddev_pop("value").alias("s"), (F.max("value") - F.min("value")).alias("r"))
-    return rounded(per.agg(F.avg("s").alias("mean_std"), F.percentile("s", 0.5).alias("median_std"), F.avg("r").alias("mean_range"), F.percentile("r", 0.5).alias("median_range")))
+    return rounded(per.agg(F.avg("s").alias("mean_std"), F.avg("r").alias("mean_range")).crossJoin(S.quantile(per, "s", 0.5).withColumnRenamed("quantile", "median_std")).crossJoin(S.quantile(per, "r", 0.5).withColumnRenamed("quantile", "median_range")))
