@@ -179,9 +179,10 @@ def brute_sets(rows, width):
     return out
 
 
-@pytest.mark.parametrize(("width", "block"), [(2, 1024), (5, 1024), (2, 3)])
-def test_minhash_components(docs, rows, empty, monkeypatch, width, block):
-    monkeypatch.setitem(minhash.confirm.__kwdefaults__, "block", block)
+@pytest.mark.parametrize(("width", "block", "key_block"), [(2, 1024, 2048), (5, 1024, 2048), (2, 3, 4)])
+def test_minhash_components(docs, rows, empty, monkeypatch, width, block, key_block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "KEY_BLOCK", key_block)
     sets = brute_sets(rows, width)
     parent = {d: d for d in sets}
 
@@ -202,6 +203,46 @@ def test_minhash_components(docs, rows, empty, monkeypatch, width, block):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize(("block", "key_block"), [(1024, 2048), (8, 4), (3, 16)])
+def test_minhash_large_groups_and_rows_without_ids(spark, monkeypatch, block, key_block):
+    """Two groups of near copies, some of which are near others only, rows without ids, and ids with several texts."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "KEY_BLOCK", key_block)
+    draw = random.Random(3)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    long, short = ([draw.choice(words) for _ in range(n)] for n in (200, 60))
+
+    def edited(base, most):
+        copy = base[:]
+        for _ in range(draw.randint(0, most)):
+            copy[draw.randrange(len(copy))] = draw.choice(words)
+        return " ".join(copy)
+
+    rows = [(i, " ".join(draw.choice(words) for _ in range(draw.randint(1, 60)))) for i in range(30)]
+    rows += [(100 + i, edited(long, 14)) for i in range(50)] + [(200 + i, edited(short, 5)) for i in range(25)]
+    rows += [(None, edited(short, 2)), (None, edited(short, 2)), (None, " ".join(long[:30])), (None, " ".join(long[:30])), (None, " ".join(long[:31])), (None, None), (301, ""), (7, edited(short, 1)), (302, rows[3][1])]
+    sets = [brute_sets([(0, t)], 2)[0] for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and (rows[i][0] is not None and rows[i][0] == rows[j][0] or 100 * len(a & b) >= 80 * len(a | b)):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    want = sorted(((d, len(sets[i]), least.get(find(i), d)) for i, (d, _) in enumerate(rows)), key=str)
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), width=2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+
+
 def test_minhash_index_keys_follow_the_pigeonhole():
     draw = np.random.default_rng(9)
     a = draw.integers(0, 1 << 16, (1, minhash.ROWS)).astype("<u2")
@@ -258,6 +299,37 @@ def test_suffix_dedup_of_repeated_rows(spark):
     assert sorted(r.n_removed == r.n_bytes for r in out) == [False, False, True, True]
 
 
+@pytest.mark.parametrize("block_bytes", [8_000_000, 600, 1])
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_suffix_dedup_of_rows_that_share_an_id(spark, monkeypatch, block_bytes, hot):
+    """Equal strings at one start of one id don't remove each other, whatever the blocks and the order of rows."""
+    monkeypatch.setitem(blocks.write_blocks.__kwdefaults__, "block_bytes", block_bytes)
+    monkeypatch.setattr(blocks.bucket_count, "__defaults__", (2000,))
+    monkeypatch.setattr(suffixdedup, "HOT_PHRASES", hot)
+    draw = random.Random(block_bytes + hot)
+    words = ["".join(draw.choice("abcdef") for _ in range(5)) for _ in range(60)]
+    line = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    shared = line(60)
+    rows = [(7, shared + line(10)), (7, shared + line(10)), (7, line(5) + shared), (None, shared), (None, shared), (3, line(30) + "ab" * 300), (9, shared + "ab" * 200)]
+    rows += [(20 + i % 3, line(10) + shared[50 * (i % 4) :] + line(8)) for i in range(9)]
+    rows += [rows[0], rows[5]]
+    order = lambda d, at: (d is not None, d or 0, at)
+    first: dict[str, tuple] = {}
+    for d, t in rows:
+        for at in range(len(t) - 99):
+            first[t[at : at + 100]] = min(first.get(t[at : at + 100], order(d, at)), order(d, at))
+    want = []
+    for d, t in rows:
+        gone = np.zeros(len(t), bool)
+        for at in range(len(t) - 99):
+            if first[t[at : at + 100]] < order(d, at):
+                gone[at : at + 100] = True
+        want.append((d, int(gone.sum()), hashlib.sha256("".join(c for c, g in zip(t, gone, strict=True) if not g).encode()).hexdigest()))
+    draw.shuffle(rows)
+    out = suffixdedup.removal_digests(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_removed, r.kept_sha256) for r in out), key=str) == sorted(want, key=str)
+
+
 def test_media_round_trip(docs, rows, empty):
     out = as_map(media.media_features(docs))
     for doc, text in rows:
@@ -408,6 +480,8 @@ def test_quality_learns_held_out_labels(spark, empty):
     truth = dict(labels)
     right = [out[i].predicted == truth[i] for i in held if i in truth]
     assert len(right) > 50 and np.mean(right) > 0.95
+    again = as_map(quality.quality_scores(docs.orderBy("text").repartition(5), known))
+    assert {i: r.score for i, r in again.items()} == {i: r.score for i, r in out.items()}
     assert all(0 <= r.score <= 1 for r in out.values()) and out[1000].score == out[1001].score == out[1002].score
     assert quality.quality_scores(empty.select("doc_id", "text"), known).count() == 0
     nothing = quality.quality_scores(docs, spark.createDataFrame([], "doc_id bigint, quality int"))

@@ -27,7 +27,8 @@ def test_stages(spark):
     everything = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     rejected = everything - set(texts["quality"])
     assert sum(labels.get(d) == 1 for d in rejected) <= 1
-    assert sum(labels.get(d) == 0 for d in texts["quality"]) <= 1
+    # 68 labels teach little; what is rejected is tested on the next larger tables below.
+    assert sum(labels.get(d) == 0 for d in rejected) > sum(labels.get(d) == 0 for d in texts["quality"])
     # Of each group of near duplicates the smallest id stays.
     sets = brute_sets(sorted(texts["quality"].items()), 5)
     parent = {d: d for d in sets}
@@ -52,6 +53,15 @@ def test_stages(spark):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_quality_stage_keeps_clean_documents_and_rejects_others(spark):
+    larger = DATA.replace("0.001", "0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, larger).select("doc_id").collect()}
+    assert sum(q == 1 and d not in kept for d, q in labels.items()) <= 1
+    assert sum(q == 0 and d in kept for d, q in labels.items()) <= 1 < sum(q == 0 for q in labels.values())
+
+
 def test_stages_take_nulls_and_repeats(spark):
     odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b c d e f", "en", "s", 11), (3, "a b c d e f", "en", "s", 11), (None, "word " * 60, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for name, stage in corpus_pipeline.STAGES[:3]:
@@ -60,3 +70,21 @@ def test_stages_take_nulls_and_repeats(spark):
         assert stage(spark, odd.limit(0), DATA).count() == 0
     assert corpus_pipeline.STAGES[1][1](spark, odd, DATA).where("doc_id is null").count() == 1
     assert corpus_pipeline.STAGES[3][1](spark, odd, DATA).count() == 5
+
+
+def test_near_dedup_stage_without_ids(spark):
+    text, other = "one two three four five six seven", "a b c d e f g h"
+    rows = [(None, text, "x"), (None, text, "x"), (5, text, "x"), (None, other, "y"), (None, other, "y"), (None, "", "z"), (None, None, "z"), (7, "", "z")]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string, kept_id string")
+    out = corpus_pipeline.near_dedup_stage(spark, odd, DATA)
+    assert out.columns == odd.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(5, text), (None, other), (None, ""), (None, None), (7, "")], key=str)
+
+
+def test_stages_take_clashing_names(spark):
+    names = ["quality_score", "body", "kept_id", "place", "shard", "score", "node", "payload"]
+    wide = spark.createDataFrame([(i, f"some words of text {i} " * 9, 3, *(["v"] * len(names))) for i in range(4)], "doc_id bigint, text string, n_chars int, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, wide, DATA)
+        assert out.columns == wide.columns and out.where("place = 'v' and node = 'v'").count() == out.count(), name
+    assert corpus_pipeline.packing_stage(spark, wide, DATA).count() == 4

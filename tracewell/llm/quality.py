@@ -71,8 +71,11 @@ def passages(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words = np.diff(np.append(begin, len(starts)))
     passage = np.cumsum(first) - 1
     edges = starts[begin]
-    sizes = np.diff(np.append(edges, len(data)))
-    counts = np.bincount(np.repeat(np.arange(len(begin)), sizes) * CLASSES + _CLASS[data[edges[0] :]], minlength=len(begin) * CLASSES).reshape(-1, CLASSES)
+    # A passage ends where the next one begins, the last one behind its text's end; what lies between belongs to none.
+    behind = np.append(edges[1:], len(data))
+    stop = np.minimum(behind, stops[owner[begin]] + 1)
+    segments = np.stack((stop - edges, behind - stop), axis=1).ravel()
+    counts = np.bincount(np.repeat(np.arange(len(segments)), segments) * CLASSES + _CLASS[data[edges[0] :]], minlength=len(segments) * CLASSES).reshape(-1, CLASSES)[::2]
     hashes = word_hashes(data, starts, ends)
     again = np.zeros(len(starts), bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & ~first[1:]
@@ -155,8 +158,10 @@ class Model:
         if len(labels) == 0 or labels.min() == labels.max():
             self.constant = float(labels.mean()) if len(labels) else 0.5
             return
-        everything = np.concatenate(bags_of_passages)
-        self.mean, self.scale = everything.mean(axis=0, dtype=np.float64), np.maximum(everything.std(axis=0, dtype=np.float64), 0.05)
+        # Every document counts the same, however many passages it has.
+        everything, share = np.concatenate(bags_of_passages), np.concatenate([np.full(len(b), 1 / len(b)) for b in bags_of_passages])
+        self.mean = np.average(everything, axis=0, weights=share)
+        self.scale = np.maximum(np.sqrt(np.average((everything - self.mean) ** 2, axis=0, weights=share)), 0.05)
         balance = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.weights.items()}
         draw, step = np.random.default_rng(seed), 0
