@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
 writes as Parquet in shared storage and reads again as the next stage's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents, whatever further columns
+there are and however they are named.
+
+Defined results: a null text counts as an empty one; an empty table gives empty
+tables; rows that share an id are one document in the near-dedup and stay
+together; rows without an id are scored and packed like others, and of those
+whose texts are equal or near each other one stays; ties of equal documents go
+to the smallest id.
 """
 
 from __future__ import annotations
@@ -21,16 +28,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier, fitted on the labels of the stage's own documents, accepts."""
     work.workspace(spark, "quality")
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model, score_col="__quality").where(F.col("__quality") >= LEAST_QUALITY).drop("__quality")
+    score = work.unused(docs, "quality_score")
+    return quality.scored(docs, model, score_col=score).where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one of the smallest id.
 
-    Rows that share an id are one document and stay together.
+    Rows that share an id are one document and stay together.  A group without any id keeps one row of the text
+    with the smallest hash.
     """
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    folder = work.workspace(spark, "near_dedup")
+    found = work.materialize(minhash.near_duplicates(docs).where("kept"), f"{folder}/kept")
+    kept = work.unused(docs, "kept_id")
+    named = docs.join(found.where("doc_id is not null").select(F.col("doc_id").alias(kept)).distinct(), F.col("doc_id") == F.col(kept), "left_semi")
+    body = F.xxhash64(F.col("text").cast("binary"))
+    leads = found.where("doc_id is null and (lead_body is null or body = lead_body)").select(F.col("body").alias(kept)).distinct()
+    nameless = docs.where("doc_id is null").join(leads, body == F.col(kept), "left_semi")
+    # Texts without words are no duplicates of each other.
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return named.unionByName(nameless.where(blank)).unionByName(nameless.where(~blank).dropDuplicates(["text"]))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
