@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from . import work
 
+#: Parts that a node's neighbours are dealt into.
+SALTS = 16
+
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """Rows (node, component) of all nodes of an undirected edge table (u, v); component is the smallest node.
 
     Alternates large-star and small-star steps: each hangs neighbours below the smallest one they know
-    of, so paths shorten until every component is a star.  Each round is a written table; the smallest
-    neighbours are aggregated before they are joined back, so that hubs are split by adaptive execution.
+    of, so paths shorten until every component is a star.  Each round is a written table.  A hub's neighbours
+    are dealt into ``SALTS`` parts, which are aggregated and joined apart, so that no task takes them all.
     """
     spark = edges.sparkSession
     now = work.materialize(edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{folder}/edges-0")
@@ -21,9 +24,10 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     step = 0
     while state[0]:
         step += 1
-        both = now.union(now.select("v", "u")).toDF("u", "v")
-        smallest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(smallest, "u").select(F.col("m").alias("u"), "v").where("u != v").distinct()
+        both = now.union(now.select("v", "u")).toDF("u", "v").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+        parts = both.groupBy("u", "part").agg(F.min("v").alias("m"))
+        smallest = parts.groupBy("u").agg(F.least(F.min("m"), F.first("u")).alias("m"), F.collect_set("part").alias("parts"))
+        large = both.where("v > u").join(smallest.select("u", F.explode("parts").alias("part"), "m"), ["u", "part"]).select(F.col("m").alias("u"), "v").where("u != v").distinct()
         below = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(below, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u != v").distinct()
         now = work.materialize(small, f"{folder}/edges-{step}")
