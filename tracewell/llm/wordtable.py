@@ -1,11 +1,12 @@
-"""BPE encoding through a table of distinct words, and decoding through an id-to-piece table.
+"""BPE encoding through a table of distinct words, and decoding through an id-to-piece join.
 
 Texts are cut into words (the vocabulary's pieces, or white-space separated
 words where the pattern isn't known to be equivalent) and kept as places in
-their block's word list.  The lists of all blocks are joined on the word with
-the table of distinct words, where each word is encoded once, and the ids go
-back to the blocks, where a text's ids are put together by position.  Decoding
-looks every id up in the id-to-piece table, whose size is the vocabulary's.
+their block's word list.  The words of all blocks meet in a table of distinct
+words, where each word is encoded once.  The table's ids are joined with the
+id-to-piece table, which gives each word's decoded pieces, and both go back to
+the blocks, where a text's ids and its decoded form are put together by
+position.
 
 Defined results: a null text is an empty one with no ids; repeated rows each
 have a row; an empty table gives an empty table; no row's length is limited.
@@ -21,11 +22,11 @@ from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import work
-from .blocks import answer, ask, bucket_count, expand, planes, settle, squeeze, unplanes, write_blocks
+from .blocks import MOST_PARTITIONS, PACKED_DDL, ask, bucket_count, expand, planes, settle, squeeze, unplanes, write_blocks
 from .bpe import encoder
 
 
@@ -70,8 +71,46 @@ def _read_block(data: bytes) -> tuple[list, np.ndarray, np.ndarray, list[bytes]]
     return docs, np.frombuffer(lengths, "<i8"), unplanes(flat, "<u4") if flat else np.zeros(0, np.uint32), words.split(b"\n") if words else []
 
 
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (id, piece) of a vocabulary; its size is the vocabulary's, whatever the corpus."""
+    vocabulary = encoder(path, "word").tokenizer.get_vocab(with_added_tokens=True)
+    return spark.createDataFrame(pa.table({"id": pa.array(list(vocabulary.values()), pa.int64()), "piece": pa.array(list(vocabulary), pa.string())}))
+
+
+def word_table(questions: DataFrame, path: str, buckets: int) -> DataFrame:
+    """Rows (bucket, word, ids) of all distinct words that blocks ask about, each encoded once."""
+    schema = pa.schema([("bucket", pa.int64()), ("word", pa.string()), ("ids", pa.list_(pa.int64()))])
+
+    def table(rows: pa.Table) -> pa.Table:
+        tokenizer = encoder(path, "word")
+        distinct = list(dict.fromkeys(chain.from_iterable(expand(p)[0].decode("utf-8").split("\n") for p in rows.column("payload").to_pylist())))
+        ids = [np.frombuffer(encode_word(w, tokenizer), "<u4") for w in distinct]
+        ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+        flat = pa.array(np.concatenate(ids).astype(np.int64) if ids else [], pa.int64())
+        return pa.Table.from_arrays([pa.array(np.full(len(distinct), rows.column("bucket")[0].as_py())), pa.array(distinct, pa.string()), pa.ListArray.from_arrays(pa.array(ends), flat)], schema=schema)
+
+    return _by_bucket(questions, buckets).applyInArrow(table, "bucket bigint, word string, ids array<bigint>")
+
+
+def _by_bucket(rows: DataFrame, buckets: int):
+    return rows.repartition(min(2 * buckets, MOST_PARTITIONS), "bucket").groupBy("bucket")
+
+
+def decoded_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Each word's ids and decoded text: its ids are joined with the id-to-piece table and put in order by position.
+
+    A word without ids has no row.  The vocabulary has no decoder, so pieces have spaces between them.
+    """
+    placed = words.select("bucket", "word", F.posexplode("ids").alias("at", "id"))
+    joined = placed.join(F.broadcast(pieces), "id")  # as large as the vocabulary
+    order = F.array_sort(F.collect_list(F.struct("at", "id", "piece")))
+    rows = joined.groupBy("bucket", "word").agg(order.alias("found"))
+    return rows.select("bucket", "word", F.transform("found", lambda x: x["id"]).alias("ids"), F.array_join(F.transform("found", lambda x: x["piece"]), " ").alias("decoded"))
+
+
 def encoded_blocks(docs: DataFrame, path: str, folder: str, per_document, ddl: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode a table's texts; ``per_document(places, ids)`` gets each document's words' places and the block's ids by place, and gives a row's values behind doc_id."""
+    """Encode a table's texts; ``per_document(places, ids, decoded)`` gets each document's words' places and the block's ids and decoded texts by place, and gives a row's values behind doc_id."""
+    spark = docs.sparkSession
     manifest = write_blocks(docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("binary")), folder, _make_block(path))
     buckets = bucket_count(manifest)
 
@@ -83,62 +122,61 @@ def encoded_blocks(docs: DataFrame, path: str, folder: str, per_document, ddl: s
             if end > begin:
                 yield bucket, squeeze(b"\n".join(words[i] for i in order[begin:end]))
 
-    def reply(payloads: list[bytes]) -> list[bytes]:
-        asked = [expand(p)[0].decode("utf-8").split("\n") for p in payloads]
-        distinct = dict.fromkeys(chain.from_iterable(asked))
-        tokenizer = encoder(path, "word")
-        table = {word: encode_word(word, tokenizer) for word in distinct}
-        out = []
-        for words in asked:
-            found = [table[w] for w in words]
-            out.append(squeeze(np.fromiter(map(len, found), np.uint32, len(found)), b"".join(found)))
-        return out
+    def packed(table: pa.Table) -> pa.Table:
+        """A bucket's words as one row for :func:`reply`."""
+        ids = table.column("ids").combine_chunks()
+        sizes = np.diff(ids.offsets.to_numpy())
+        flat = ids.flatten().to_numpy().astype("<u4")
+        payload = squeeze("\n".join(table.column("word").to_pylist()).encode(), sizes.astype("<u4"), flat, "\n".join(table.column("decoded").to_pylist()).encode())
+        return pa.table({"uri": pa.array([None], pa.string()), "bucket": [table.column("bucket")[0].as_py()], "payload": pa.array([payload], pa.binary())})
+
+    def reply(table: pa.Table) -> pa.Table:
+        known: dict[bytes, tuple[bytes, bytes]] = {}
+        for uri, payload in zip(table.column("uri").to_pylist(), table.column("payload").to_pylist(), strict=True):
+            if uri is None:
+                words, sizes, flat, decoded = expand(payload)
+                ends = (4 * np.cumsum(np.frombuffer(sizes, "<u4"))).tolist()
+                known = {w: (flat[a:b], d) for w, a, b, d in zip(words.split(b"\n"), [0, *ends[:-1]], ends, decoded.split(b"\n"), strict=True)}
+        uris, out = [], []
+        for uri, payload in zip(table.column("uri").to_pylist(), table.column("payload").to_pylist(), strict=True):
+            if uri is not None:
+                found = [known.get(w, (b"", b"")) for w in expand(payload)[0].split(b"\n")]
+                uris.append(uri)
+                out.append(squeeze(np.fromiter((len(i) for i, _ in found), np.uint32, len(found)), b"".join([i for i, _ in found]), b"\n".join([d for _, d in found])))
+        return pa.table({"uri": pa.array(uris, pa.string()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int64()), "payload": pa.array(out, pa.binary())})
 
     def finish(data: bytes, told: dict[int, bytes]) -> pa.Table:
         ids, lengths, flat, words = _read_block(data)
         order, ends = bucket_order(words, buckets)
         known: list[bytes] = [b""] * len(words)
+        decoded: list[bytes] = [b""] * len(words)
         for bucket, payload in told.items():
-            sizes, joined = expand(payload)
+            sizes, joined, texts = expand(payload)
             stops = np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
             starts = [0, *stops[:-1]]
             begin = int(ends[bucket - 1]) if bucket else 0
-            for i, a, b in zip(order[begin : int(ends[bucket])].tolist(), starts, stops, strict=True):
-                known[i] = joined[a:b]
+            for i, a, b, text in zip(order[begin : int(ends[bucket])].tolist(), starts, stops, texts.split(b"\n"), strict=True):
+                known[i], decoded[i] = joined[a:b], text
         stops = np.cumsum(lengths).tolist()
         rows = []
         for n, stop in zip(lengths.tolist(), stops, strict=True):
-            rows.append(per_document(flat[stop - n : stop].tolist(), known))
+            rows.append(per_document(flat[stop - n : stop].tolist(), known, decoded))
         return pa.table([pa.array(c, f.type) for c, f in zip([ids, *zip(*rows, strict=True)], ARROW, strict=True)], schema=ARROW)
 
     ARROW = pa.schema([(name, pa.string() if kind == "string" else pa.int64()) for name, kind in (c.split() for c in ddl.split(", "))])
-    questions_ = ask(manifest, questions)
-    return settle(manifest, answer(questions_, buckets, reply), finish, ddl)
-
-
-_PIECES: dict[str, list[bytes]] = {}
-
-
-def piece_table(path: str) -> list[bytes]:
-    """id -> piece in UTF-8; its size is that of the vocabulary."""
-    if path not in _PIECES:
-        tokenizer = encoder(path, "word").tokenizer
-        pieces = [b""] * (max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1)
-        for piece, i in tokenizer.get_vocab(with_added_tokens=True).items():
-            pieces[i] = piece.encode()
-        _PIECES[path] = pieces
-    return _PIECES[path]
+    asked = ask(manifest, questions)
+    words = work.materialize(word_table(asked, path, buckets), f"{folder}/words")
+    table = _by_bucket(decoded_words(words, piece_table(spark, path)), buckets).applyInArrow(packed, PACKED_DDL)
+    answers = _by_bucket(asked.unionByName(table), buckets).applyInArrow(reply, PACKED_DDL)
+    return settle(manifest, answers, finish, ddl)
 
 
 def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text.
-
-    The vocabulary has no decoder, so a decoded text is its pieces with spaces between them.
-    """
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text."""
 
-    def per_document(places: list[int], known: list[bytes]):
+    def per_document(places: list[int], known: list[bytes], decoded: list[bytes]):
         ids = b"".join(map(known.__getitem__, places))
-        decoded = b" ".join(map(piece_table(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        text = b" ".join([d for d in map(decoded.__getitem__, places) if d])
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
 
     return encoded_blocks(docs, path, work.workspace(docs.sparkSession, "wordtable"), per_document, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", id_col=id_col, text_col=text_col)
