@@ -3,10 +3,10 @@
 Texts are cut into words (the vocabulary's pieces, or white-space separated
 words where the pattern isn't known to be equivalent) and kept as places in
 their block's word list.  The words of all blocks meet in a table of distinct
-words, where each word is encoded once.  The table's ids are joined with the
-id-to-piece table, which gives each word's decoded pieces, and both go back to
-the blocks, where a text's ids and its decoded form are put together by
-position.
+words, where each word is encoded once.  The ids of each bucket of that table
+are joined with the id-to-piece table, and with the pieces found the words are
+decoded.  Ids and decoded words go back to the blocks, where a text's ids and
+its decoded form are put together by position.
 
 Defined results: a null text is an empty one with no ids; repeated rows each
 have a row; an empty table gives an empty table; no row's length is limited.
@@ -78,34 +78,28 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def word_table(questions: DataFrame, path: str, buckets: int) -> DataFrame:
-    """Rows (bucket, word, ids) of all distinct words that blocks ask about, each encoded once."""
-    schema = pa.schema([("bucket", pa.int64()), ("word", pa.string()), ("ids", pa.list_(pa.int64()))])
+    """A row (bucket, payload, ids) per bucket: all distinct words that blocks ask about, each encoded once, and the distinct ids among them."""
 
     def table(rows: pa.Table) -> pa.Table:
         tokenizer = encoder(path, "word")
         distinct = list(dict.fromkeys(chain.from_iterable(expand(p)[0].decode("utf-8").split("\n") for p in rows.column("payload").to_pylist())))
-        ids = [np.frombuffer(encode_word(w, tokenizer), "<u4") for w in distinct]
-        ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-        flat = pa.array(np.concatenate(ids).astype(np.int64) if ids else [], pa.int64())
-        return pa.Table.from_arrays([pa.array(np.full(len(distinct), rows.column("bucket")[0].as_py())), pa.array(distinct, pa.string()), pa.ListArray.from_arrays(pa.array(ends), flat)], schema=schema)
+        ids = [encode_word(w, tokenizer) for w in distinct]
+        payload = squeeze("\n".join(distinct).encode(), np.array([len(i) for i in ids], "<u4"), b"".join(ids))
+        used = np.unique(np.frombuffer(b"".join(ids), "<u4")).astype(np.int64)
+        return pa.table({"bucket": [rows.column("bucket")[0].as_py()], "payload": pa.array([payload], pa.binary()), "ids": pa.array([used], pa.list_(pa.int64()))})
 
-    return _by_bucket(questions, buckets).applyInArrow(table, "bucket bigint, word string, ids array<bigint>")
+    return _by_bucket(questions, buckets).applyInArrow(table, "bucket bigint, payload binary, ids array<bigint>")
 
 
 def _by_bucket(rows: DataFrame, buckets: int):
     return rows.repartition(min(2 * buckets, MOST_PARTITIONS), "bucket").groupBy("bucket")
 
 
-def decoded_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Each word's ids and decoded text: its ids are joined with the id-to-piece table and put in order by position.
-
-    A word without ids has no row.  The vocabulary has no decoder, so pieces have spaces between them.
-    """
-    placed = words.select("bucket", "word", F.posexplode("ids").alias("at", "id"))
-    joined = placed.join(F.broadcast(pieces), "id")  # as large as the vocabulary
-    order = F.array_sort(F.collect_list(F.struct("at", "id", "piece")))
-    rows = joined.groupBy("bucket", "word").agg(order.alias("found"))
-    return rows.select("bucket", "word", F.transform("found", lambda x: x["id"]).alias("ids"), F.array_join(F.transform("found", lambda x: x["piece"]), " ").alias("decoded"))
+def with_pieces(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """The word table with ``found``: its ids joined with the id-to-piece table, at most the vocabulary a bucket."""
+    joined = words.select("bucket", F.explode("ids").alias("id")).join(F.broadcast(pieces), "id")  # as large as the vocabulary
+    found = joined.groupBy("bucket").agg(F.collect_list(F.struct("id", "piece")).alias("found"))
+    return words.select("bucket", "payload").join(found, "bucket", "left")
 
 
 def encoded_blocks(docs: DataFrame, path: str, folder: str, per_document, ddl: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,28 +116,22 @@ def encoded_blocks(docs: DataFrame, path: str, folder: str, per_document, ddl: s
             if end > begin:
                 yield bucket, squeeze(b"\n".join(words[i] for i in order[begin:end]))
 
-    def packed(table: pa.Table) -> pa.Table:
-        """A bucket's words as one row for :func:`reply`."""
-        ids = table.column("ids").combine_chunks()
-        sizes = np.diff(ids.offsets.to_numpy())
-        flat = ids.flatten().to_numpy().astype("<u4")
-        payload = squeeze("\n".join(table.column("word").to_pylist()).encode(), sizes.astype("<u4"), flat, "\n".join(table.column("decoded").to_pylist()).encode())
-        return pa.table({"uri": pa.array([None], pa.string()), "bucket": [table.column("bucket")[0].as_py()], "payload": pa.array([payload], pa.binary())})
-
     def reply(table: pa.Table) -> pa.Table:
-        known: dict[bytes, tuple[bytes, bytes]] = {}
-        for uri, payload in zip(table.column("uri").to_pylist(), table.column("payload").to_pylist(), strict=True):
-            if uri is None:
-                words, sizes, flat, decoded = expand(payload)
-                ends = (4 * np.cumsum(np.frombuffer(sizes, "<u4"))).tolist()
-                known = {w: (flat[a:b], d) for w, a, b, d in zip(words.split(b"\n"), [0, *ends[:-1]], ends, decoded.split(b"\n"), strict=True)}
-        uris, out = [], []
-        for uri, payload in zip(table.column("uri").to_pylist(), table.column("payload").to_pylist(), strict=True):
+        """For each question its words' ids and, piece by piece with spaces between them, as the vocabulary has no decoder, their decoded texts."""
+        uris, payloads = table.column("uri").to_pylist(), table.column("payload").to_pylist()
+        own = uris.index(None)
+        words, sizes, flat = expand(payloads[own])
+        found = table.column("found").slice(own, 1).combine_chunks().flatten()
+        pieces = dict(zip(found.field("id").to_pylist(), (p.encode() for p in found.field("piece").to_pylist()), strict=True))
+        ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
+        places = dict(zip(words.split(b"\n"), zip([0, *ends[:-1]], ends, strict=True), strict=True))
+        out = []
+        for uri, payload in zip(uris, payloads, strict=True):
             if uri is not None:
-                found = [known.get(w, (b"", b"")) for w in expand(payload)[0].split(b"\n")]
-                uris.append(uri)
-                out.append(squeeze(np.fromiter((len(i) for i, _ in found), np.uint32, len(found)), b"".join([i for i, _ in found]), b"\n".join([d for _, d in found])))
-        return pa.table({"uri": pa.array(uris, pa.string()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int64()), "payload": pa.array(out, pa.binary())})
+                ids = [flat[a:b] for a, b in map(places.__getitem__, expand(payload)[0].split(b"\n"))]
+                decoded = [b" ".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids]
+                out.append(squeeze(np.fromiter(map(len, ids), np.uint32, len(ids)), b"".join(ids), b"\n".join(decoded)))
+        return pa.table({"uri": pa.array([u for u in uris if u is not None], pa.string()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int64()), "payload": pa.array(out, pa.binary())})
 
     def finish(data: bytes, told: dict[int, bytes]) -> pa.Table:
         ids, lengths, flat, words = _read_block(data)
@@ -166,8 +154,8 @@ def encoded_blocks(docs: DataFrame, path: str, folder: str, per_document, ddl: s
     ARROW = pa.schema([(name, pa.string() if kind == "string" else pa.int64()) for name, kind in (c.split() for c in ddl.split(", "))])
     asked = ask(manifest, questions)
     words = work.materialize(word_table(asked, path, buckets), f"{folder}/words")
-    table = _by_bucket(decoded_words(words, piece_table(spark, path)), buckets).applyInArrow(packed, PACKED_DDL)
-    answers = _by_bucket(asked.unionByName(table), buckets).applyInArrow(reply, PACKED_DDL)
+    both = asked.unionByName(with_pieces(words, piece_table(spark, path)), allowMissingColumns=True)
+    answers = _by_bucket(both, buckets).applyInArrow(reply, PACKED_DDL)
     return settle(manifest, answers, finish, ddl)
 
 
