@@ -30,6 +30,10 @@ from .blocks import MOST_PARTITIONS, PACKED_DDL, ask, bucket_count, expand, plan
 from .bpe import encoder
 
 
+#: Compression of what blocks and buckets send each other.
+LEVEL = 3
+
+
 def split_words(text: str, tokenizer) -> list[str]:
     """Parts of a text whose ids, one after the other, are the text's ids."""
     lowered = text.lower() if tokenizer.lower else text
@@ -39,9 +43,10 @@ def split_words(text: str, tokenizer) -> list[str]:
 
 
 def bucket_order(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the words by bucket, and where each bucket's places end."""
+    """Places of the words by bucket and then by word, as neighbours in order compress well, and where each bucket's places end."""
     own = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-    order = np.argsort(own, kind="stable")
+    sorted_ = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    order = sorted_[np.argsort(own[sorted_], kind="stable")]
     return order, np.cumsum(np.bincount(own, minlength=buckets))
 
 
@@ -60,7 +65,7 @@ def _make_block(path: str):
         flat = np.concatenate([np.frombuffer(r, np.uint32) if r else np.zeros(0, np.uint32) for r in rows])
         none = np.array([i is None for i in ids], np.uint8)
         known = np.array([0 if i is None else i for i in ids], "<i8")
-        return squeeze(known, none, np.array([len(r) for r in rows], "<i8"), planes(flat), "\n".join(places).encode()), len(flat)
+        return squeeze(known, none, np.array([len(r) for r in rows], "<i8"), planes(flat), "\n".join(places).encode(), level=LEVEL), len(flat)
 
     return make
 
@@ -114,7 +119,7 @@ def encoded_blocks(docs: DataFrame, path: str, folder: str, per_document, ddl: s
         for bucket, end in enumerate(ends.tolist()):
             begin = int(ends[bucket - 1]) if bucket else 0
             if end > begin:
-                yield bucket, squeeze(b"\n".join(words[i] for i in order[begin:end]))
+                yield bucket, squeeze(b"\n".join([words[i] for i in order[begin:end].tolist()]), level=LEVEL)
 
     def reply(table: pa.Table) -> pa.Table:
         """For each question its words' ids and, piece by piece with spaces between them, as the vocabulary has no decoder, their decoded texts."""
@@ -130,7 +135,7 @@ def encoded_blocks(docs: DataFrame, path: str, folder: str, per_document, ddl: s
             if uri is not None:
                 ids = [flat[a:b] for a, b in map(places.__getitem__, expand(payload)[0].split(b"\n"))]
                 decoded = [b" ".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids]
-                out.append(squeeze(np.fromiter(map(len, ids), np.uint32, len(ids)), b"".join(ids), b"\n".join(decoded)))
+                out.append(squeeze(planes(np.fromiter(map(len, ids), np.uint32, len(ids))), planes(np.frombuffer(b"".join(ids), "<u4")), b"\n".join(decoded), level=LEVEL))
         return pa.table({"uri": pa.array([u for u in uris if u is not None], pa.string()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int64()), "payload": pa.array(out, pa.binary())})
 
     def finish(data: bytes, told: dict[int, bytes]) -> pa.Table:
@@ -140,8 +145,8 @@ def encoded_blocks(docs: DataFrame, path: str, folder: str, per_document, ddl: s
         decoded: list[bytes] = [b""] * len(words)
         for bucket, payload in told.items():
             sizes, joined, texts = expand(payload)
-            stops = np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
-            starts = [0, *stops[:-1]]
+            stops = np.cumsum(unplanes(sizes, "<u4")).tolist()
+            starts, joined = [0, *stops[:-1]], unplanes(joined, "<u4").tobytes() if joined else b""
             begin = int(ends[bucket - 1]) if bucket else 0
             for i, a, b, text in zip(order[begin : int(ends[bucket])].tolist(), starts, stops, texts.split(b"\n"), strict=True):
                 known[i], decoded[i] = joined[a:b], text
