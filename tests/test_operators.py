@@ -174,7 +174,10 @@ def test_detector_thresholds(spark):
     assert flagged.first().threshold == pytest.approx(9.1)
     assert {r.id for r in flagged.where("flag").collect()} == {10, 11}
     few = df.where("target = 0 or id <= 2")
-    quantile = detectors.thresholds(detectors.scores(few, "id", "target"), "target").where("detector = 'rambling_overlong'").first().threshold
+    with pytest.raises(ValueError, match="answer_max_rise"):
+        detectors.scores(few, "id", "target")
+    overlong = {"rambling_overlong": detectors.DETECTORS["rambling_overlong"]}
+    quantile = detectors.thresholds(detectors.scores(few, "id", "target", overlong), "target").where("detector = 'rambling_overlong'").first().threshold
     assert quantile == pytest.approx(np.quantile([1, 2, 9.2, 9.1], 0.9))
     assert [value(spark, text.truncated(F.lit(s))) for s in ("Exit_Cost", "done", None)] == [1, 0, None]
 
@@ -318,3 +321,37 @@ def test_python_text(spark):
     assert python_text.vote_form(" “x²”. ") == "“x2”" and python_text.vote_form(None) is None
     assert python_text.subsequence_f("a b c d", "a c e") == pytest.approx(4 / 7) and python_text.subsequence_f("", "a") == 0
     assert spark.range(1).select(python_text.normalize_decomposed(F.lit("É  x")).alias("v")).first().v == "é x"
+
+
+def test_neighbours_of_missing_and_odd_vectors(spark):
+    rows = [(1, "a", [0.0, 1.0]), (2, "a", [0.0, 0.9]), (3, "b", [5.0, 5.0]), (4, "a", None), (5, "a", [float("nan"), 1.0]), (6, "a", [None, 1.0]), (7, "a", [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, label string, embedding array<double>")
+    found = {r.vec_id: r.purity for r in retrieval.neighbour_purity(df, "label", k=1).collect()}
+    assert found == {1: 1.0, 2: 1.0, 3: 0.0, 4: None, 5: None, 6: None, 7: None}
+
+
+def test_exact_quantiles(spark):
+    draw = np.random.default_rng(4)
+    values = [None, *draw.integers(0, 20, 300).tolist(), *draw.normal(size=200).round(3).tolist()]
+    rows = [("ab"[i % 2], None if v is None else float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for p in (0.0, 0.1, 0.5, 0.9, 1.0):
+        whole = one(statistics.quantile(df, "x", p)).quantile
+        assert whole == pytest.approx(np.quantile([x for _, x in rows if x is not None], p))
+        parts = {r.g: r.quantile for r in statistics.quantile(df, "x", p, ["g"]).collect()}
+        assert parts["a"] == pytest.approx(np.quantile([x for g, x in rows if g == "a" and x is not None], p))
+
+
+def test_unique_rows_raise_on_duplicates(spark):
+    df = spark.createDataFrame([(1, 2), (3, 4)], "k int, v int")
+    assert shaping.unique_rows(df, ["k"]).count() == 2
+    with pytest.raises(Exception, match="duplicate key 1"):
+        shaping.unique_rows(df.union(df), ["k"]).where("k = 1").collect()
+
+
+def test_discriminant_axis_separates(spark):
+    draw = np.random.default_rng(6)
+    rows = [(k % 2 * 2, [float(k % 2 * 2 + draw.normal() * 0.1), float(draw.normal() * 5)]) for k in range(200)]
+    df = spark.createDataFrame(rows, "lvl int, v array<double>")
+    axis = axes.discriminant_axis(df, "lvl", "v", 0, 2)
+    assert axis[0] > 0.99 and abs(axis[1]) < 0.05

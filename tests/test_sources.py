@@ -33,6 +33,21 @@ def test_many_files_with_unreadable_ones(spark, tmp_path):
     assert bad.cache().count() == 1
 
 
+def test_files_that_are_one_value(spark, tmp_path):
+    (tmp_path / "one.json").write_text('{\n  "id": 1\n}\n')
+    (tmp_path / "many.json").write_text('[{"id": 2},\n {"id": 3}]')
+    (tmp_path / "bad.json").write_text("{\nnothing")
+    good, bad = sources.read_many(spark, [f"file://{tmp_path}"], StructType().add("id", IntegerType()), whole=True)
+    assert sorted(r.id for r in good.cache().collect()) == [1, 2, 3]
+    assert [r.file.rsplit("/", 1)[1] for r in bad.cache().collect()] == ["bad.json"]
+
+
+def test_json_documents_of_any_size(spark, tmp_path):
+    for n in (0, 1, 1000):
+        sources.write_json_document(spark.range(n).repartition(4), f"file://{tmp_path}/{n}")
+        assert sorted(r.id for r in sources.read_json_document(spark, f"file://{tmp_path}/{n}", "id bigint").collect()) == list(range(n))
+
+
 def test_latest_labels(spark):
     df = spark.createDataFrame([("s", "macro", 1), ("s", "micro", 2), ("s", "??", 3), ("t", "meso", 1)], "span string, label string, batch int")
     assert {r.span: r.label for r in sources.latest_labels(df, "span", "label", "batch", ["macro", "meso", "micro"]).collect()} == {"s": "micro", "t": "meso"}

@@ -79,7 +79,7 @@ def read_many(spark: SparkSession, paths: list[str], schema: StructType, corrupt
     """
     full = StructType([*schema.fields]).add(corrupt, StringType())
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
-    read = spark.read.option("recursiveFileLookup", True).option("wholetext", whole).text(paths)
+    read = spark.read.option("recursiveFileLookup", True).text(paths, wholetext=whole)
     texts = read.select(F.input_file_name().alias("file"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("value")).where("value != ''")
     one = F.from_json("value", full, options)
     if whole:
