@@ -95,8 +95,10 @@ def vector_rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [2048, 5])
-def test_vector_links(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, codewords, row_cells", [(2048, 16, 62), (5, 16, 62), (5, 40, 3)])
+def test_vector_links(spark, monkeypatch, block, codewords, row_cells):
+    monkeypatch.setattr(embeddings, "CODEWORDS", codewords)
+    monkeypatch.setattr(embeddings, "ROW_CELLS", row_cells)
     monkeypatch.setattr(embeddings.verified, "__defaults__", (block,))
     rows = vector_rows()
     df = spark.createDataFrame([(*r, "u", "p", 1, 2) for r in rows], VECTORS).repartition(3)
@@ -127,16 +129,28 @@ def test_vector_links(spark, monkeypatch, block):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
-def test_bounds_hold_for_every_cell():
+@pytest.mark.parametrize("codewords", [7, 40])
+def test_bounds_hold_for_every_cell(codewords):
     draw = np.random.default_rng(2)
-    centres, x = draw.normal(size=(7, 5)), draw.normal(size=(300, 5))
+    centres, x = draw.normal(size=(codewords, 5)), draw.normal(size=(300, 5))
     own, low = embeddings.bounds(x, centres)
     apart = ((x[:, None] - x[None]) ** 2).sum(axis=2)
     for i in range(300):
         assert (low[i][own] <= apart[i] + 1e-9).all()
-    a, b = draw.random(6), draw.random(4)
-    sums = [a[i] + b[j] for i, j in embeddings.multi_sequence(a, b, 1.1)]
-    assert sums == sorted(sums) and len(sums) == sum(x + y <= 1.1 for x in a for y in b)
+
+
+def test_cells_come_in_ascending_order():
+    draw = np.random.default_rng(3)
+    a, b = draw.random((50, 6)), draw.random((50, 4)).round(1)
+    met = [[] for _ in a]
+    for rows, first, second in embeddings.multi_sequence(a, b, 1.1):
+        for k, i, j in zip(rows, first, second, strict=True):
+            met[k].append((i, j))
+    for k, cells in enumerate(met):
+        sums = [a[k, i] + b[k, j] for i, j in cells]
+        assert sums == sorted(sums) and len(set(cells)) == len(cells)
+        assert set(cells) == {(i, j) for i in range(6) for j in range(4) if a[k, i] + b[k, j] <= 1.1}
+    assert [embeddings.codewords_for(n) for n in (0, 50_000, 200_000, 10**12)] == [16, 16, 32, 2500]
 
 
 def test_components_of_paths_stars_and_nothing(spark):

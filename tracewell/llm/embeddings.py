@@ -7,11 +7,13 @@ a lower bound of how far a partner in another cell is.  A multi-sequence
 traversal visits a vector's cells in the order of these bounds and stops at
 the largest distance a link can have, so the target recall is 1 and every pair
 met in a cell is verified by its cosine in double precision.  Cells of one first
-codeword are stored together: a vector is sent once to each such row of the grid
-that it visits, with a mask of the cells in it.
+codeword and ``ROW_CELLS`` second ones are stored together: a vector is sent once
+to each such row of the grid that it visits, with a mask of the cells in it.
 
-The codebooks are fitted on a sample of at most ``SAMPLE`` vectors; every vector
-is indexed and every vector is a query.  Equal vectors of a label are one
+Codewords grow with the square root of the vectors, so that the vectors compared
+with one grow more slowly than all vectors do.  The codebooks are fitted on a
+sample of at most ``SAMPLE`` vectors; every vector is indexed and every vector is
+a query.  Equal vectors of a label are one
 class with a count.  A cell's members and queries are cut into blocks, and a
 task verifies one block of each, so a crowded cell is split.
 
@@ -23,7 +25,6 @@ compared with those of the same length; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,14 @@ from .graph import components
 from .minhash import forest_of, runs
 
 COSINE = 0.98
-#: Codewords of each half, vectors they are fitted on, and rounds of fitting.
-CODEWORDS = 16  # at most 62, as cells are bits of a mask
-SAMPLE = 20_000
+#: Fewest codewords of a half, vectors they serve, vectors codewords are fitted on (at least FITTED for each), and rounds of fitting.
+CODEWORDS, SERVED = 16, 50_000
+SAMPLE, FITTED = 20_000, 8
 ROUNDS = 12
+#: Cells of a row of the grid, bits of a mask.
+ROW_CELLS = 62
+#: Nearest codewords that bounds are taken from, and numbers held at a time while cells are visited.
+NEAREST, HELD = 16, 4_000_000
 #: Members of a block of a cell.
 BLOCK = 2048
 
@@ -65,11 +70,11 @@ def unit(data: bytes) -> np.ndarray:
 def fit(sample: np.ndarray, codewords: int = CODEWORDS, rounds: int = ROUNDS) -> np.ndarray:
     """Codewords of a half by k-means, started from points far from each other."""
     centres = sample[:1]
-    while len(centres) < min(codewords, len(sample)):
-        far = _distances(sample, centres).min(axis=1)
-        if far.max() <= 1e-12:
-            break
-        centres = np.concatenate((centres, sample[[int(far.argmax())]]))
+    far = _distances(sample, centres)[:, 0]
+    while len(centres) < min(codewords, len(sample)) and far.max() > 1e-12:
+        new = sample[[int(far.argmax())]]
+        centres = np.concatenate((centres, new))
+        far = np.minimum(far, _distances(sample, new)[:, 0])
     for _ in range(rounds):
         own = _distances(sample, centres).argmin(axis=1)
         centres = np.stack([sample[own == k].mean(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))])
@@ -85,28 +90,39 @@ def bounds(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest codeword of each row, and squared lower bounds of the distance to any point of each codeword's cell."""
     near = _distances(x, centres)
     apart = np.sqrt(_distances(centres, centres))
+    # Half the inverse of the distance between codewords; very close ones give no bound.
+    half = np.divide(0.5, apart, out=np.zeros_like(apart), where=apart >= 1e-6)
+    nearest = np.argpartition(near, min(NEAREST, len(centres)) - 1, axis=1)[:, :NEAREST]
     out = np.zeros_like(near)
-    for a in range(len(centres)):
-        # Distance to the plane between codeword a and each other one, of which a is the nearer; very close codewords give no bound.
-        step = (near - near[:, [a]]) / (2 * np.maximum(apart[a], 1e-6))
-        step[:, apart[a] < 1e-6] = 0
-        out = np.maximum(out, step)
+    for a in nearest.T:
+        # Distance to the plane between codeword a and each other one, of which a is the nearer.
+        out = np.maximum(out, (near - np.take_along_axis(near, a[:, None], axis=1)) * half[a])
     return near.argmin(axis=1), out**2
 
 
 def multi_sequence(first: np.ndarray, second: np.ndarray, most: float):
-    """Pairs (i, j) in ascending order of first[i] + second[j], as long as the sum is at most ``most``."""
-    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    heap, seen = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}
-    while heap:
-        total, i, j = heapq.heappop(heap)
-        if total > most:
-            return
-        yield int(a[i]), int(b[j])
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(a) and y < len(b) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (first[a[x]] + second[b[y]], x, y))
+    """Cells (query, i, j) in ascending order of first[query, i] + second[query, j], as long as the sum is at most ``most``.
+
+    All queries take a step at a time, so arrays of one cell of each query are given.  ``front`` holds a query's next sum
+    for every first codeword; the least of them is the next cell.
+    """
+    rows = np.flatnonzero(first.min(axis=1) + second.min(axis=1) <= most)
+    a, b = np.argsort(first[rows], axis=1, kind="stable"), np.argsort(second[rows], axis=1, kind="stable")
+    x, y = np.take_along_axis(first[rows], a, axis=1), np.take_along_axis(second[rows], b, axis=1)
+    width = int((x + y[:, :1] <= most).sum(axis=1).max(initial=0))
+    x, y = x[:, :width], np.pad(y, ((0, 0), (0, 1)), constant_values=np.inf)
+    front, at = x + y[:, :1], np.zeros(x.shape, np.int64)
+    while len(rows):
+        i = front.argmin(axis=1)
+        going = np.flatnonzero(front[np.arange(len(rows)), i] <= most)
+        if len(going) < 0.75 * len(rows):
+            rows, a, b, x, y, front, at, i = (z[going] for z in (rows, a, b, x, y, front, at, i))
+            going = np.arange(len(rows))
+        i = i[going]
+        j = at[going, i]
+        yield rows[going], a[going, i], b[going, j]
+        at[going, i] = j + 1
+        front[going, i] = x[going, i] + y[going, j + 1]
 
 
 def _vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -123,8 +139,14 @@ def _vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -
     return vectors.select(F.col(id_col).cast("bigint"), F.col(label_col).cast("string"), F.col(vector_col)).mapInArrow(run, "vec_id bigint, label string, class binary, vector binary")
 
 
-def codebooks(classes: DataFrame, size: int = SAMPLE, codewords: int = CODEWORDS) -> tuple[int, list[np.ndarray]]:
+def codewords_for(vectors: int) -> int:
+    """Codewords of a half: as the square root of the vectors, and no more than the sample can fit."""
+    return min(max(CODEWORDS, round(CODEWORDS * (vectors / SERVED) ** 0.5)), SAMPLE // FITTED)
+
+
+def codebooks(classes: DataFrame, size: int = SAMPLE, codewords: int | None = None) -> tuple[int, list[np.ndarray]]:
     """Length of most vectors of the sample, and the codewords of their two halves."""
+    codewords = codewords or codewords_for(classes.count())
     sample = [unit(bytes(r[0])) for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(size).select("vector").collect()]
     if not sample:
         return 0, []
@@ -136,7 +158,7 @@ def codebooks(classes: DataFrame, size: int = SAMPLE, codewords: int = CODEWORDS
 def visits(classes: DataFrame, length: int, books: list[np.ndarray], cosine: float) -> DataFrame:
     """Rows (place, query, rep, n, vector, cells): each class in its own cell's row of the grid, and as a query in every row a link may lead to.
 
-    cells is a mask over the second codewords.
+    cells is a mask over the second codewords of the row.
     """
     most = 2 - 2 * cosine + 1e-9
     schema = pa.schema([("place", pa.string()), ("query", pa.bool_()), ("rep", pa.int64()), ("n", pa.int64()), ("vector", pa.binary()), ("cells", pa.int64())])
@@ -155,17 +177,20 @@ def visits(classes: DataFrame, length: int, books: list[np.ndarray], cosine: flo
             for i in sorted(set(range(len(x))) - set(usual)):  # other lengths: one cell for each
                 for query in (False, True):
                     add(f"{labels[i]}/{len(x[i])}", query, reps[i], ns[i], vectors[i], 1)
-            if usual:
-                grid = np.stack([x[i] for i in usual])
+            parts = (len(books[1]) - 1) // ROW_CELLS + 1 if usual else 1
+            step = max(1, HELD // (len(books[0]) * parts)) if usual else 1
+            for some in (usual[k : k + step] for k in range(0, len(usual), step)):
+                grid = np.stack([x[i] for i in some])
                 own1, low1 = bounds(grid[:, : length // 2], books[0])
                 own2, low2 = bounds(grid[:, length // 2 :], books[1])
-                for k, i in enumerate(usual):
-                    add(f"{labels[i]}/{length}/{own1[k]}", False, reps[i], ns[i], vectors[i], 1 << int(own2[k]))
-                    masks: dict[int, int] = {}
-                    for a, b in multi_sequence(low1[k], low2[k], most):
-                        masks[a] = masks.get(a, 0) | 1 << b
-                    for a, mask in masks.items():
-                        add(f"{labels[i]}/{length}/{a}", True, reps[i], ns[i], vectors[i], mask)
+                masks = np.zeros((len(some), len(books[0]), parts), np.int64)
+                for k, a, b in multi_sequence(low1, low2, most):
+                    masks[k, a, b // ROW_CELLS] |= np.int64(1) << (b % ROW_CELLS)
+                for i, a, b in zip(some, own1.tolist(), own2.tolist(), strict=True):
+                    add(f"{labels[i]}/{length}/{a}/{b // ROW_CELLS}", False, reps[i], ns[i], vectors[i], 1 << b % ROW_CELLS)
+                visited = np.nonzero(masks)
+                for k, a, b, mask in zip(*(z.tolist() for z in (*visited, masks[visited])), strict=True):
+                    add(f"{labels[some[k]]}/{length}/{a}/{b}", True, reps[some[k]], ns[some[k]], vectors[some[k]], mask)
             yield work.batch_of(schema, **rows)
 
     return classes.select("rep", "n", "label", "vector").mapInArrow(run, "place string, query boolean, rep bigint, n bigint, vector binary, cells bigint")
