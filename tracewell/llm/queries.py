@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10 and pipeline, and SQL for those that SQL expresses."""
+"""The registered queries op1 to op13 and pipeline, and SQL for those that SQL expresses."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import embeddings, media, minhash, packing, pitmanyor, quality, suffixdedup, warc, wavelet, wordtable
+from . import embeddings, lexical, media, minhash, packing, periodic, pitmanyor, quality, rules, suffixdedup, warc, wavelet, wordtable
 
 
 def _path(name: str) -> str:
@@ -61,6 +61,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.removal_digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_impact_ordered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -73,6 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pitman_yor_scores": op8_pitman_yor_scores,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
+        "op11_impact_ordered_search": op11_impact_ordered_search,
+        "op12_quality_rules": op12_quality_rules,
+        "op13_periodic_runs": op13_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -100,7 +115,26 @@ reach AS (SELECT u, w FROM links UNION SELECT r.u, l.w FROM reach r JOIN links l
 n AS (SELECT u, count(*) AS n FROM links GROUP BY u), c AS (SELECT u, min(w) AS m FROM reach GROUP BY u)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept FROM v LEFT JOIN n ON n.u = vec_id LEFT JOIN c ON c.u = vec_id"""
 
+#: All documents that share a term with an item, with the score's integer arithmetic.
+OP11_SQL = """WITH tokens AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+asked AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS r FROM asked GROUP BY ALL), tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL), n AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY ALL),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n), m AS (SELECT doc_id, 100 - 25 + ((25 * n * docs) // total) AS m FROM n, s),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, docs),
+scores AS (SELECT item_id, doc_id, sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20"""
+
+#: Repeated windows by a row per window; the rules are those of the table, written as one condition.
+OP12_SQL = f"""WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents), a AS (SELECT k, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
+starts AS (SELECT k, ws, unnest(range(1, len(ws) - 6)) AS i FROM a WHERE len(ws) > 8), windows AS (SELECT k, i, count(*) OVER (PARTITION BY k, array_to_string(ws[i:i + 7], ' ')) AS times FROM starts),
+covered AS (SELECT k, least(8, coalesce(lead(i) OVER (PARTITION BY k ORDER BY i) - i, 8)) AS n FROM windows WHERE times > 1), r AS (SELECT k, sum(n)::BIGINT AS n FROM covered GROUP BY k),
+c AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(regexp_extract_all(t, '[!?]')) AS n_exclamations, len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_capitals,
+len(list_filter(ws, lambda w: list_contains({rules.STOP_WORDS!r}, lower(w)))) AS n_stop_words, len(ls) AS n_lines, len(list_filter(ls, lambda x: regexp_matches(x, '{rules.BULLET_LINE}'))) AS n_bullet_lines, len(list_filter(ls, lambda x: regexp_matches(x, '{rules.ELLIPSIS_LINE}'))) AS n_ellipsis_lines FROM a LEFT JOIN r USING (k)),
+v AS (SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed, {rules.compiled_sql()} AS rule_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rule_failed AS kept FROM v"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; the others are tested against brute force, round trips and held-out rows."""
-    return {"op2_minhash_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op9_embedding_near_dedup": OP9_SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op9_embedding_near_dedup": OP9_SQL, "op11_impact_ordered_search": OP11_SQL, "op12_quality_rules": OP12_SQL}
