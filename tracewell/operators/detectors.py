@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .resampling import weighted_auc_interval
 from .statistics import auc
 
-QUANTILE, LEAST_SUCCESSES, TRUNCATION_THRESHOLD, LEAST_ROWS = 0.90, 3, 0.5, 20
+QUANTILE, LEAST_SUCCESSES, TRUNCATION_THRESHOLD, LEAST_ROWS, RESAMPLES = 0.90, 3, 0.5, 20, 1000
 
 # The detectors' names and the columns they look at.
 #: Detector -> (feature column, score from it); the higher the score, the more failure-like.
@@ -62,9 +63,28 @@ def evaluate(flagged: DataFrame, target: str) -> DataFrame:
     return sums.join(auc(rows, "failed", "score", ["detector"]).select("detector", "auc"), "detector", "left").select("detector", "n", "auc", "flagged", precision.alias("precision"), ratio(F.col("hits"), F.col("failures")).alias("recall"), F.when(F.col("base") > 0, precision / F.col("base")).alias("lift"))
 
 
-def verdict(low: Column, high: Column, n: Column) -> Column:
-    """By the confidence interval of the AUC: confirmed above 0.5, rejected below, else inconclusive; few rows are skipped."""
-    return F.when(n < LEAST_ROWS, "too_few").when(low > 0.5, "confirmed").when(high < 0.5, "rejected").otherwise("inconclusive")
+def verdict(low: Column, high: Column) -> Column:
+    """By the confidence interval of the AUC: above 0.5 the direction is confirmed, below inverted; NULL bounds are too few data."""
+    return F.when(low.isNull() | high.isNull(), "insufficient_data").when(low > 0.5, "confirmed").when(high < 0.5, "inverted").otherwise("inconclusive")
+
+
+def verdicts(flagged: DataFrame, key: str, target: str, resamples: int = RESAMPLES) -> DataFrame:
+    """Per detector: n, AUC for failure, its bootstrapped interval and the verdict.
+
+    Precision, recall, F1 and lift of the flags are given only where the verdict is confirmed and something is flagged.
+    Fewer than LEAST_ROWS scores, one class only, or a statistic in less than a quarter of the resamples give no interval.
+    """
+    rows = flagged.select("detector", key, (1 - F.col(target)).alias("failed"), "score", "flag")
+    plain = evaluate(flagged, target)
+    means = rows.where("score is not null").groupBy("detector").agg(F.avg("failed").alias("base"))
+    intervals = weighted_auc_interval(rows, "failed", "score", key, ["detector"], resamples)
+    low, high = (F.when((F.col("n") >= LEAST_ROWS) & F.col("auc").isNotNull() & (F.col("resamples") >= resamples // 4), F.col(c)) for c in ("low", "high"))
+    out = plain.join(means, "detector").join(intervals, "detector", "left").withColumns({"ci_low": low, "ci_high": high})
+    out = out.withColumn("verdict", verdict(F.col("ci_low"), F.col("ci_high")))
+    shown = (F.col("verdict") == "confirmed") & (F.col("flagged") > 0)
+    both = F.col("precision") + F.col("recall")
+    f1 = F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0)
+    return out.select("detector", "n", "flagged", "base", "auc", "ci_low", "ci_high", "verdict", *(F.when(shown, c).alias(n) for n, c in (("precision", F.col("precision")), ("recall", F.col("recall")), ("f1", f1), ("lift", F.col("lift")))))
 
 
 def coverage(flagged: DataFrame, key: str, target: str) -> DataFrame:

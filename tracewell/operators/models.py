@@ -101,6 +101,24 @@ def probe(train: DataFrame, test: DataFrame, label: str, vector: str, cs: tuple[
     return logistic(as_vector(train), label, c=best, multinomial=True).transform(as_vector(test)).withColumn("c", F.lit(best)).drop("features", "rawPrediction")
 
 
+def swept_probe(train: DataFrame, valid: DataFrame, test: DataFrame, label: str, vector: str, cs: tuple[float, ...], fit: Callable | None = None) -> tuple[DataFrame, float]:
+    """Predictions on the test rows, and the C that does best by macro-F1 on rows given for that; the first of equal ones."""
+    from .statistics import averaged_metrics, class_metrics
+
+    fit = fit or (lambda rows, c: logistic(rows, label, c=c, multinomial=True))
+    as_vector = lambda d: d.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
+    ready, scores = as_vector(train).persist(), {}
+    try:
+        models = {c: fit(ready, c) for c in cs}
+        for c in cs if len(cs) > 1 else ():
+            guessed = models[c].transform(as_vector(valid)).select(F.col(label).cast("int").alias("t"), F.col("prediction").cast("int").alias("p"))
+            scores[c] = averaged_metrics(class_metrics(guessed, "t", "p")).first()["macro_f1"] or 0.0
+    finally:
+        ready.unpersist()
+    best = max(cs, key=lambda c: scores.get(c, 0.0))
+    return models[best].transform(as_vector(test)), best
+
+
 def clusters(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 3, 4), seed: int = 42) -> tuple[DataFrame, int]:
     """Rows with the cluster of the k of best silhouette, and that k."""
     ready = Scaler(df, columns).apply(df)

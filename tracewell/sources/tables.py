@@ -104,3 +104,22 @@ def latest_labels(labels: DataFrame, key: str, label: str, order: str, allowed:
     """Of grouped relabelling batches the valid labels, where a later batch replaces an earlier one."""
     latest = Window.partitionBy(key).orderBy(F.col(order).desc(), F.col(label))
     return labels.where(F.col(label).isin(allowed)).withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
+
+
+def publish(tables: dict[str, DataFrame], path: str) -> str:
+    """Write some tables as folders of ``path`` so that readers see all of them or those of before, never a part."""
+    spark = next(iter(tables.values())).sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fresh, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}.old"
+    for name, table in tables.items():
+        table.write.parquet(f"{fresh}/{name}")
+    system = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(at(path).getParent())
+    replaced = system.exists(at(path))
+    if replaced:
+        system.rename(at(path), at(old))
+    if not system.rename(at(fresh), at(path)):
+        raise OSError(f"could not publish {path}")
+    if replaced:
+        system.delete(at(old), True)
+    return path
