@@ -161,6 +161,7 @@ def substring_match(a: Column, b: Column) -> Column:
     return F.coalesce((x != "") & (y != "") & (x.contains(y) | y.contains(x)), F.lit(False))
 
 
+# What counts as an answer of yes or no.
 def yes_no(answer: Column) -> Column:
     """True or False if an answer holds only one of yes and no, else by what it begins with; NULL for neither."""
     text = F.lower(F.trim(answer))
@@ -222,6 +223,7 @@ def rubric_items(text: Column) -> Column:
     return F.arrays_zip(points.alias("points"), parts.alias("description"))
 
 
+# Parts of a status that tell of an early end.
 def truncated(status: Column) -> Column:
     """1 if a status tells of an early end, 0 if not, NULL without status."""
     return F.when(status.isNull(), None).when(F.lower(status).rlike("exit_context|early_exit|exit_format|exit_cost"), 1).otherwise(0)
@@ -237,6 +239,7 @@ def slug(*parts: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.concat_ws("-", *parts)), r"[^a-z0-9.]+", "-"), "^-|-$", "")
 
 
+# Spellings of true and false.
 def parse_bool(value: Column) -> Column:
     """Three-valued truth of a text or number; NULL for anything unknown."""
     text = F.lower(F.trim(value.cast("string")))

@@ -222,10 +222,22 @@ def error_step(spark, sf):
     return rounded(chunks.select("conv_id", step.alias("step"), F.when(F.size("c") > 1, step / (F.size("c") - 1)).otherwise(0.0).alias("step_pos")))
 
 
-@query("q_parse_bool", "SELECT v, CASE WHEN lower(trim(v)) IN ('true','t','1','yes','y','success','passed','won') THEN true WHEN lower(trim(v)) IN ('false','f','0','no','n','fail','failed','lost') THEN false END AS parsed FROM (VALUES (' Yes'), ('LOST'), ('1'), ('maybe'), (''), ('t'), ('0'), ('passed')) x(v)")
+_SPELLED = """SELECT 'returnflag' AS source, l_returnflag AS v FROM lineitem UNION ALL SELECT 'linestatus', ' ' || l_linestatus FROM lineitem UNION ALL SELECT 'orderstatus', lower(o_orderstatus) FROM orders UNION ALL SELECT 'quality', quality::VARCHAR FROM labels
+UNION ALL SELECT 'prop', json_extract_string(props, '$.k') FROM events UNION ALL SELECT 'word', regexp_extract(text, '^\\S*') || ' ' FROM conversations"""
+
+
+@query("q_parse_bool", f"SELECT source, v, CASE WHEN lower(trim(v)) IN ('true','t','1','yes','y','success','passed','won') THEN true WHEN lower(trim(v)) IN ('false','f','0','no','n','fail','failed','lost') THEN false END AS parsed, count(*) AS n FROM ({_SPELLED}) GROUP BY source, v")
 def parse_bool(spark, sf):
-    rows = spark.range(1).select(F.explode(F.array(*(F.lit(v) for v in (" Yes", "LOST", "1", "maybe", "", "t", "0", "passed")))).alias("v"))
-    return rows.select("v", X.parse_bool(F.col("v")).alias("parsed"))
+    """Truth values of flags, states, labels, properties and first words, by their spelling."""
+    spelled = {
+        "returnflag": ("lineitem", F.col("l_returnflag")), "linestatus": ("lineitem", F.concat(F.lit(" "), "l_linestatus")), "orderstatus": ("orders", F.lower("o_orderstatus")), "quality": ("labels", F.col("quality").cast("string")),
+        "prop": ("events", F.get_json_object("props", "$.k")), "word": ("conversations", F.concat(F.regexp_extract("text", r"^\S*", 0), F.lit(" "))),
+    }
+    out = None
+    for source, (table, value) in spelled.items():
+        counts = load_table(spark, sf, table).groupBy(F.lit(source).alias("source"), value.alias("v")).agg(F.count("*").alias("n"))
+        out = counts if out is None else out.unionByName(counts)
+    return out.select("source", "v", X.parse_bool(F.col("v")).alias("parsed"), "n")
 
 
 @query("q_fuzzy_numeric_match", "WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_retailprice AS x, b.p_retailprice AS y FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey) SELECT a, b, (x = 0 AND y = 0) OR (y <> 0 AND (abs(x - y) <= 0.02::DOUBLE * abs(y) OR abs(x * 100 - y) <= 0.02::DOUBLE * abs(y) OR abs(x * 0.01::DOUBLE - y) <= 0.02::DOUBLE * abs(y))) AS matched FROM p")

@@ -19,7 +19,7 @@ from ..sources import load_table
 from .attempt_queries import _ATT, attempts
 from .registry import query
 from .retrieval_queries import _CAND, _PAIRS, candidates, pair_f1, retrieved
-from .text_queries import DOCS, docs, labelled
+from .text_queries import _HEADED, DOCS, docs, headed, labelled
 from .trace_queries import EV, levelled_events, rounded
 
 
@@ -42,29 +42,56 @@ def step_chunks(spark, sf):
     return e.select("event_id", M.step_chunk(content, F.when(some, calls)).alias("chunk"))
 
 
-_RESPONSES = [
-    ("Think. Step 1: a\nStep 2. b \n\nANSWER: c", "a|b", "c"),
-    ("1. one\n2) two\n3. three", "1. one|two|three", "3. three"),
-    ("first\n\nsecond\n\nthird line", "first|second|third line", "third line"),
-    ("only one", "only one", "only one"),
-    ("step 1: x ANSWER: y\nz", "step 1: x", "y\nz"),
-]
+# Responses made of the lines of each turn: as marked steps, as a numbered list, with blank lines between, or as they are.
+_STRIP = lambda x: f"regexp_replace({x}, '^[ \\t\\n\\f\\r]+|[ \\t\\n\\f\\r]+$', '', 'g')"
+_CUT = lambda x: f"list_filter(list_transform({x}, lambda p: {_STRIP('p')}), lambda p: p <> '')"
+_ANSWERED = """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Think. ' || array_to_string(list_transform(ls, lambda l, i: 'sTep ' || i || (CASE WHEN i % 2 = 0 THEN ' : ' ELSE '. ' END) || l), chr(10)) || CASE WHEN conv_id % 2 = 0 THEN chr(10) || 'ANSWER: ' || ls[1] || chr(10) ELSE '' END
+WHEN 1 THEN array_to_string(list_transform(ls, lambda l, i: i || (CASE WHEN i % 2 = 0 THEN ') ' ELSE '. ' END) || l), chr(10)) WHEN 2 THEN array_to_string(ls, chr(10) || chr(10)) ELSE text END AS t FROM (SELECT *, string_split(text, chr(10)) AS ls FROM conversations)"""
 
 
-@query("q_reasoning_steps", "SELECT id, steps, answer FROM (VALUES " + ", ".join(f"({i}, '{s}', '{a}')" for i, (_, s, a) in enumerate(_RESPONSES)) + ") v(id, steps, answer)")
+def responses(spark, sf):
+    lines = F.split("text", "\n")
+    mark = lambda odd, even: lambda line, i: F.concat((i + 1).cast("string"), F.when((i + 1) % 2 == 0, even).otherwise(odd), line)
+    steps = F.transform(lines, lambda line, i: F.concat(F.lit("sTep "), mark(". ", " : ")(line, i)))
+    answer = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("\nANSWER: "), F.get(lines, F.lit(0)), F.lit("\n"))).otherwise("")
+    marked = F.concat(F.lit("Think. "), F.array_join(steps, "\n"), answer)
+    numbered = F.array_join(F.transform(lines, mark(". ", ") ")), "\n")
+    kind = F.col("turn") % 4
+    return load_table(spark, sf, "conversations").select("conv_id", "turn", F.when(kind == 0, marked).when(kind == 1, numbered).when(kind == 2, F.array_join(lines, "\n\n")).otherwise(F.col("text")).alias("t"))
+
+
+@query(
+    "q_reasoning_steps",
+    rf"""WITH r AS ({_ANSWERED}), b AS (SELECT conv_id, turn, t, contains(t, 'ANSWER:') AS has, {_STRIP("CASE WHEN contains(t, 'ANSWER:') THEN regexp_extract(t, '(?s)^(.*?)ANSWER:', 1) ELSE t END")} AS b FROM r),
+p AS (SELECT *, regexp_split_to_array(b, '(?i)Step\s+\d+\s*[:.]') AS m, {_CUT(r"regexp_split_to_array(b, '\n\s*\d+[.)]\s+')")} AS numbered, {_CUT("string_split(b, chr(10) || chr(10))")} AS blank FROM b),
+q AS (SELECT *, {_CUT("CASE WHEN len(m) > 1 THEN m[2:] ELSE m END")} AS marked FROM p)
+SELECT conv_id, turn, array_to_string(CASE WHEN len(marked) > 1 THEN marked WHEN len(numbered) > 1 THEN numbered ELSE blank END, '|') AS steps, CASE WHEN has THEN {_STRIP(r"regexp_extract(t, '(?s)ANSWER:\s*(.*)', 1)")} ELSE {_STRIP("string_split(b, chr(10))[-1]")} END AS answer FROM q""",
+)
 def reasoning_steps(spark, sf):
-    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(_RESPONSES)], "id int, t string")
     steps, answer = M.reasoning_steps(F.col("t"))
-    return rows.select("id", F.array_join(steps, "|").alias("steps"), answer.alias("answer"))
+    return responses(spark, sf).select("conv_id", "turn", F.array_join(steps, "|").alias("steps"), answer.alias("answer"))
 
 
-_JSON = [('```json\n[{"a": "1"}, {"a": "2"}]\n```', "1,2"), ('{"results": [{"a": "x"}]}', "x"), ('{"a": "solo"}', "solo"), ('Sure: [{"a": "r"}] done', "r"), ("nothing", ""), ('{"data": []}', "")]
+# Records of a response: the first words of a conversation's turns, fenced, wrapped, alone, within prose, or none at all.
+_REPLIED = """SELECT conv_id, CASE conv_id % 6 WHEN 0 THEN '```json' || chr(10) || j || chr(10) || '```' WHEN 1 THEN '{"results": ' || j || '}' WHEN 2 THEN '{"a": "' || w[1] || '"}' WHEN 3 THEN 'Sure: ' || j || ' done' WHEN 4 THEN 'nothing in [' || w[1] || ']' ELSE '{"data": []}' END AS t
+FROM (SELECT conv_id, list(w ORDER BY turn) AS w, '[' || string_agg('{"a": "' || w || '"}', ', ' ORDER BY turn) || ']' AS j FROM (SELECT conv_id, turn, regexp_extract(text, '^[^\\s"\\\\]*') AS w FROM conversations) GROUP BY conv_id)"""
 
 
-@query("q_fenced_json", "SELECT id, vals FROM (VALUES " + ", ".join(f"({i}, '{v}')" for i, (_, v) in enumerate(_JSON)) + ") v(id, vals)")
+@query(
+    "q_fenced_json",
+    rf"""WITH r AS ({_REPLIED}), f AS (SELECT conv_id, t, regexp_extract(t, '(\[.*\])', 1, 's') AS l FROM r), o AS (SELECT conv_id, CASE WHEN json_valid(l) AND json_type(l) = 'ARRAY' THEN json_extract_string(l, '$[*].a') WHEN json_valid(t) THEN [json_extract_string(t, '$.a')] ELSE [] END AS v FROM f)
+SELECT conv_id, array_to_string(v, ',') AS vals FROM o""",
+)
 def fenced_json(spark, sf):
-    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_JSON)], "id int, t string")
-    return rows.select("id", F.array_join(F.transform(M.fenced_rows(F.col("t"), "struct<a: string>"), lambda r: r["a"]), ",").alias("vals"))
+    word = F.regexp_extract("text", r'^[^\s"\\]*', 0)
+    turns = load_table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", word.alias("w")))), lambda s: s["w"]).alias("w"))
+    one = lambda w: F.concat(F.lit('{"a": "'), w, F.lit('"}'))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("w", one), ", "), F.lit("]"))
+    first, kind = F.get("w", F.lit(0)), F.col("conv_id") % 6
+    text = F.when(kind == 0, F.concat(F.lit("```json\n"), listed, F.lit("\n```"))).when(kind == 1, F.concat(F.lit('{"results": '), listed, F.lit("}"))).when(kind == 2, one(first))
+    text = text.when(kind == 3, F.concat(F.lit("Sure: "), listed, F.lit(" done"))).when(kind == 4, F.concat(F.lit("nothing in ["), first, F.lit("]"))).otherwise('{"data": []}')
+    rows = F.transform(M.fenced_rows(text, "struct<a: string>"), lambda r: r["a"])
+    return turns.select("conv_id", F.array_join(rows, ",").alias("vals"))
 
 
 @query("q_usage", "SELECT user_id, count(*) * 10 AS input_tokens, CASE WHEN user_id % 2 = 0 THEN count(*) END AS reasoning_tokens, CASE user_id % 3 WHEN 0 THEN 'stop' WHEN 1 THEN 'max_output_tokens' ELSE 'incomplete' END AS finish_reason FROM events GROUP BY user_id")
@@ -103,13 +130,18 @@ def predicted_step(spark, sf):
     return M.predicted_step(load_table(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
 
 
-_SECTION_NAMES = ["Abstract", "Related Work", "Experimental Setup", "Error Analysis", "Conclusion", "Our Approach", "Title", "Ethics"]
+@query("q_relevant_sections", f"SELECT doc_id, lower(section_name) IN ('abstract', 'title') OR list_bool_or(list_transform({M.RESULT_SECTIONS!r}, lambda k: contains(lower(section_name), k))) AS relevant FROM ({_HEADED})")
+def relevant_sections(spark, sf):
+    return headed(spark, sf).select("doc_id", M.relevant_section(F.col("section_name")).alias("relevant"))
 
 
-@query("q_relevant_sections", "SELECT s AS section_name, s NOT IN ('Related Work', 'Conclusion', 'Ethics') AS relevant FROM (VALUES " + ", ".join(f"('{s}')" for s in _SECTION_NAMES) + ") v(s)")
-def relevant_sections(spark, sf):
-    rows = spark.createDataFrame([(s,) for s in _SECTION_NAMES], "section_name string")
-    return rows.select("section_name", M.relevant_section(F.col("section_name")).alias("relevant"))
+@query("q_relevant_fulltext", f"WITH d AS (SELECT doc_id, section_name, text FROM ({_HEADED}) JOIN documents USING (doc_id)) SELECT doc_id // 10 AS paper, md5(string_agg('[' || section_name || '] ' || text, chr(10) || chr(10) ORDER BY doc_id)) AS digest, count(*) AS sections FROM d WHERE lower(section_name) IN ('abstract', 'title') OR list_bool_or(list_transform({M.RESULT_SECTIONS!r}, lambda k: contains(lower(section_name), k))) GROUP BY 1")
+def relevant_fulltext(spark, sf):
+    """The sections of each paper that are likely to hold results, as one text; a paper is ten documents, so a row is bounded by them."""
+    sections = headed(spark, sf).join(load_table(spark, sf, "documents").select("doc_id", "text"), "doc_id").where(M.relevant_section(F.col("section_name")))
+    part = F.concat(F.lit("["), "section_name", F.lit("] "), "text")
+    whole = sections.groupBy(F.floor(F.col("doc_id") / 10).alias("paper")).agg(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("part")))).alias("parts"))
+    return whole.select("paper", F.md5(F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n")).alias("digest"), F.size("parts").cast("bigint").alias("sections"))
 
 
 @query("q_token_cost", f"{_PAIRS}, w AS (SELECT query_id, doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM para) SELECT query_id, sum(n)::BIGINT AS tokens FROM ret JOIN w USING (query_id, doc_id) GROUP BY query_id")
@@ -187,10 +219,17 @@ def ols(spark, sf):
     return spark.createDataFrame([(round(float(fit.coefficients[0]), 4), round(float(fit.summary.r2), 6))], "slope double, r2 double")
 
 
-@query("q_capture_ratio", "SELECT p AS part, f AS \"full\", CASE WHEN f > 0.5 THEN round((p - 0.5) / (f - 0.5), 6) END AS ratio FROM (VALUES (0.765::DOUBLE, 0.851::DOUBLE), (0.6, 0.5), (0.4, 0.7)) v(p, f)")
+@query(
+    "q_capture_ratio",
+    f"""WITH l AS (SELECT lang, quality, words::DOUBLE AS a, n_chars / (words + 1) AS b FROM ({DOCS}) JOIN labels USING (doc_id)), r AS (SELECT lang, quality, rank() OVER (PARTITION BY lang ORDER BY a) + (count(*) OVER (PARTITION BY lang, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY lang ORDER BY b) + (count(*) OVER (PARTITION BY lang, b) - 1) / 2.0::DOUBLE AS rb FROM l),
+s AS (SELECT lang, sum(quality) AS p, count(*) - sum(quality) AS n, sum(ra) FILTER (WHERE quality = 1) AS sa, sum(rb) FILTER (WHERE quality = 1) AS sb FROM r GROUP BY lang), u AS (SELECT lang, CASE WHEN p > 0 AND n > 0 THEN (sa - p * (p + 1) / 2) / (p * n) END AS part, CASE WHEN p > 0 AND n > 0 THEN (sb - p * (p + 1) / 2) / (p * n) END AS "full" FROM s)
+SELECT lang, round(part, 6) AS part, round("full", 6) AS "full", round(CASE WHEN "full" > 0.5 THEN (part - 0.5) / ("full" - 0.5) END, 6) AS ratio FROM u""",
+)
 def capture_ratio(spark, sf):
-    rows = spark.createDataFrame([(0.765, 0.851), (0.6, 0.5), (0.4, 0.7)], "part double, full double")
-    return rounded(rows.select("part", "full", D.capture_ratio(F.col("part"), F.col("full")).alias("ratio")))
+    """How much of the lift of the mean word length the number of words keeps, per language."""
+    rows = labelled(spark, sf).select("lang", "quality", F.col("words").cast("double").alias("a"), (F.col("n_chars") / (F.col("words") + 1)).alias("b"))
+    both = S.auc(rows, "quality", "a", ["lang"]).select("lang", F.col("auc").alias("part")).join(S.auc(rows, "quality", "b", ["lang"]).select("lang", F.col("auc").alias("full")), "lang")
+    return rounded(both.select("lang", "part", "full", D.capture_ratio(F.col("part"), F.col("full")).alias("ratio")))
 
 
 @query("q_paired_conditions", f"{_CAND}, m AS (SELECT query_id, avg(cosine) FILTER (WHERE level = 'macro') AS a, avg(cosine) FILTER (WHERE level = 'micro') AS b FROM c GROUP BY query_id) SELECT query_id, round(b - a, 6) + 0.0 AS difference FROM m WHERE a IS NOT NULL AND b IS NOT NULL")

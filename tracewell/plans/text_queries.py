@@ -133,14 +133,24 @@ def label_paragraphs(spark, sf):
     return L.label_paragraphs(named.withColumn("span_id", F.concat_ws("_p", F.col("doc_id").cast("string"), F.col("paragraph_index").cast("string"))))
 
 
-_SECTIONS = "('Introduction', 'macro'), ('Methods ::: Experiments', 'micro'), ('Related Work', 'macro'), ('Model Architecture', 'meso'), ('Results', 'micro'), ('Epilogue', NULL), ('Case Studies', NULL), ('Task Definition ::: Overview', 'meso')"
+#: Headings that documents get by their number, besides words of their own text.
+HEADINGS = ["Introduction", "methods", "Related  Work", "Model Architecture", "RESULTS", "Epilogue", "Case Studies", "Task Definition", "Ethics", "Error Analysis", "Abstract", "title", "Experimental Setup", "Outlook", "Our Approach", "Conclusion"]
+_HEADED = f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN own WHEN doc_id % 3 = 0 THEN h[1 + doc_id % 16] WHEN doc_id % 3 = 1 THEN h[1 + doc_id % 16] || ' ::: ' || h[1 + (doc_id // 16) % 16] ELSE own || ' ' || h[1 + doc_id % 16] || ':::' || own END AS section_name
+FROM (SELECT doc_id, {HEADINGS!r} AS h, regexp_extract(text, '^\\S*(\\s+\\S*)?') AS own FROM documents)"""
 
 
-@query("q_section_levels", f"SELECT s AS section_name, l AS level FROM (VALUES {_SECTIONS}) v(s, l)")
+def headed(spark, sf) -> DataFrame:
+    """Documents with a section name: first words of the text, a heading, both, or two headings."""
+    n, own = F.col("doc_id"), F.regexp_extract("text", r"^\S*(\s+\S*)?", 0)
+    heading = lambda k: F.get(F.array(*(F.lit(h) for h in HEADINGS)), (k % 16).cast("int"))
+    one, two = heading(n), heading(F.floor(n / 16))
+    name = F.when(n % 5 == 0, own).when(n % 3 == 0, one).when(n % 3 == 1, F.concat(one, F.lit(" ::: "), two)).otherwise(F.concat(own, F.lit(" "), one, F.lit(":::"), own))
+    return load_table(spark, sf, "documents").select("doc_id", name.alias("section_name"))
+
+
+@query("q_section_levels", f"SELECT doc_id, section_name, CASE list_max(list_transform(regexp_split_to_array(section_name, '\\s*:::\\s*'), lambda s: CASE WHEN regexp_matches(s, '{X.MACRO_SECTION}') THEN 1 WHEN regexp_matches(s, '{X.MESO_SECTION}') THEN 2 WHEN regexp_matches(s, '{X.MICRO_SECTION}') THEN 3 ELSE 0 END)) WHEN 3 THEN 'micro' WHEN 2 THEN 'meso' WHEN 1 THEN 'macro' END AS level FROM ({_HEADED})")
 def section_levels(spark, sf):
-    names = ["Introduction", "Methods ::: Experiments", "Related Work", "Model Architecture", "Results", "Epilogue", "Case Studies", "Task Definition ::: Overview"]
-    rows = spark.range(len(names)).select(F.get(F.array(*(F.lit(n) for n in names)), F.col("id").cast("int")).alias("section_name"))
-    return rows.select("section_name", X.section_level(F.col("section_name")).alias("level"))
+    return headed(spark, sf).withColumn("level", X.section_level(F.col("section_name")))
 
 
 @query("q_fulltext_concat", f"SELECT doc_id // 25 AS paper, md5(string_agg('[' || lang || '] ' || text, chr(10) ORDER BY doc_id)) AS digest, sum(words)::BIGINT AS words FROM ({DOCS}) GROUP BY 1 HAVING sum(words) BETWEEN 100 AND 10000000 AND bool_or(words < 100) AND bool_or(words >= 300)")
@@ -341,7 +351,7 @@ def median_split(spark, sf):
 
 @query("q_crosstab", "SELECT source, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'es') AS es, count(*) FILTER (WHERE lang = 'fr') AS fr FROM documents GROUP BY source")
 def crosstab(spark, sf):
-    return load_table(spark, sf, "documents").groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.count(F.lit(1))).na.fill(0)
+    return load_table(spark, sf, "documents").groupBy("source").pivot("lang", L.categories(load_table(spark, sf, "documents"), "lang")).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @query("q_outer_merge", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality, b.toxic FROM (SELECT doc_id, quality FROM labels WHERE quality = 1) a FULL JOIN (SELECT doc_id, toxic FROM labels WHERE toxic = 0) b ON a.doc_id = b.doc_id")
@@ -352,7 +362,8 @@ def outer_merge(spark, sf):
 
 @query("q_dummies", "SELECT doc_id, (lang = 'en')::INT AS lang_en, (lang = 'es')::INT AS lang_es, (lang = 'fr')::INT AS lang_fr FROM documents")
 def dummies(spark, sf):
-    return load_table(spark, sf, "documents").select("doc_id", *((F.col("lang") == v).cast("int").alias(f"lang_{v}") for v in ("en", "es", "fr")))
+    wide, names = L.one_hot(load_table(spark, sf, "documents").select("doc_id", "lang"), "lang", drop_first=True)
+    return wide.select("doc_id", *(F.col(c).cast("int").alias(c) for c in names))
 
 
 @query("q_group_counts", "SELECT count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs, count(DISTINCT md5(text)) AS texts, count(*) AS docs FROM documents")
