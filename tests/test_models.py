@@ -317,3 +317,55 @@ def test_archive_round_trip(session, tmp_path):
         archives.write_arrays(ragged, str(tmp_path / "bad"))
     with pytest.raises(Exception, match="no archive"):
         archives.read_arrays(session, str(tmp_path))
+
+
+# Linear models and thresholded joins ---------------------------------------------------------------------------------
+
+
+def test_least_squares_equals_numpy(session):
+    from tracewell.operators import models
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(40, 2))
+    y = 2 + x @ [1.5, -0.5] + rng.normal(size=40) * 0.1
+    df = session.createDataFrame([(float(a), float(b), float(t)) for (a, b), t in zip(x, y, strict=True)] + [(None, 1.0, 1.0)], "a double, b double, y double")
+    out = {r.term: r for r in models.least_squares(df, "y", ["a", "b"]).collect()}
+    design = np.column_stack([np.ones(40), x])
+    want, rest, *_ = np.linalg.lstsq(design, y, rcond=None)
+    assert [out[t].coefficient for t in ("intercept", "a", "b")] == pytest.approx(want.tolist())
+    assert out["a"].r2 == pytest.approx(1 - rest[0] / ((y - y.mean()) ** 2).sum())
+    assert out["a"].n == 40
+
+
+def test_svm_tells_classes_apart(session):
+    from pyspark.ml.functions import array_to_vector
+
+    from tracewell.operators import models
+
+    rng = np.random.default_rng(12)
+    rows = [(i % 3, (rng.normal(size=2) * 0.3 + [[0, 2], [2, 0], [-2, -2]][i % 3]).tolist()) for i in range(90)]
+    df = session.createDataFrame(rows, "y int, v array<double>").withColumn("features", array_to_vector("v"))
+    out = models.linear_svm(df, "y", c=10.0).transform(df).select("y", "prediction").collect()
+    assert np.mean([r.y == r.prediction for r in out]) > 0.95
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.8, 1.0])
+def test_thresholded_overlap_equals_all_pairs(session, least):
+    from tracewell.operators import retrieval
+
+    rng = np.random.default_rng(13)
+    text = lambda: [f"w{int(w)}" for w in np.minimum(rng.zipf(1.5, rng.integers(1, 12)), 30)]
+    left = [(i % 2, i, text()) for i in range(60)]
+    right = [(i % 2, i, left[i][2][: rng.integers(1, 12)] if i % 3 else text()) for i in range(40)]
+    tokens = lambda rows, key: retrieval.token_counts(session.createDataFrame(rows, f"g int, {key} int, t array<string>"), ["g", key], F.col("t"))
+    a, b = tokens(left, "l"), tokens(right, "r")
+    whole = retrieval.overlap_f1(a, b, "g", "l", "r")
+    key = lambda df: sorted((r.g, r.l, r.r, r.overlap, round(r.f1, 9)) for r in df.collect())
+    assert key(retrieval.overlap_f1_at_least(a, b, "g", "l", "r", least)) == key(whole.where(F.col("f1") >= least))
+    if least >= 0.5:
+        assert retrieval.likely_pairs(a, b, "g", "l", "r", least).count() < whole.count()
+
+
+def test_mixed_numbers_agree(session):
+    rows = session.range(50).select(resampling.mixed_column(F.col("id"), F.lit(7)).alias("x")).collect()
+    assert [r.x for r in rows] == resampling.mixed(np.arange(50), np.array(7)).tolist()

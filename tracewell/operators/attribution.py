@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import stored
 from .models import Scaler, balanced_weights, logistic
 from .sampling import stratified_folds
 from .statistics import auc, averaged_metrics, class_metrics
@@ -51,19 +53,28 @@ def failure_types(df: DataFrame, key: str, type_col: str, columns: list[str], gr
         return _skipped(spark, "a type has one row only")
     number = F.create_map(*(F.lit(v) for i, t in enumerate(kept) for v in (t, i)))
     rows = stratified_folds(named.where(F.col("__type").isin(kept)), "__type", key, k).withColumn("__label", number[F.col("__type")].cast("int"))
-    out = None
-    for f in range(k):
+
+    def one(f: int) -> DataFrame:
         train, test = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
         scaler = Scaler(train, columns)
-        model = logistic(balanced_weights(scaler.apply(train), "__label"), "__label", weight="weight", multinomial=True)
+        ready = balanced_weights(scaler.apply(train), "__label").persist()
+        try:
+            model = logistic(ready, "__label", weight="weight", multinomial=True)
+        finally:
+            ready.unpersist()
         probs = vector_to_array("probability")
         predicted = F.element_at(F.array(*(F.lit(t) for t in kept)), F.col("prediction").cast("int") + 1)
-        part = model.transform(scaler.apply(test)).select(
+        return model.transform(scaler.apply(test)).select(
             F.col(key).alias("id"), "fold", (F.col(group) if group else F.lit("unknown")).cast("string").alias("group"), F.col("__type").alias("true_type"), predicted.alias("pred_type"),
             F.map_from_arrays(F.array(*(F.lit(t) for t in kept)), probs).alias("probs"),
         )
-        out = part if out is None else out.unionByName(part)
-    out = out.withColumn("correct", (F.col("true_type") == F.col("pred_type")).cast("int"))
+
+    with ThreadPoolExecutor(4) as pool:
+        parts = list(pool.map(one, range(k)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    out = stored(out.withColumn("correct", (F.col("true_type") == F.col("pred_type")).cast("int")), "failure_types")
     sums = out.agg(F.count("*").alias("n_items"), F.avg("correct").alias("accuracy"))
     averages = averaged_metrics(class_metrics(out, "true_type", "pred_type"))
     head = sums.crossJoin(averages).crossJoin(macro_auc(out, "true_type", "probs"))  # one row each

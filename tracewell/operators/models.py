@@ -8,6 +8,7 @@ A penalty C of the usual libraries is regParam = 1 / (C * n).
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,7 +110,9 @@ def swept_probe(train: DataFrame, valid: DataFrame, test: DataFrame, label: str,
     as_vector = lambda d: d.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
     ready, scores = as_vector(train).persist(), {}
     try:
-        models = {c: fit(ready, c) for c in cs}
+        ready.count()
+        with ThreadPoolExecutor(4) as pool:
+            models = dict(zip(cs, pool.map(lambda c: fit(ready, c), cs), strict=True))
         for c in cs if len(cs) > 1 else ():
             guessed = models[c].transform(as_vector(valid)).select(F.col(label).cast("int").alias("t"), F.col("prediction").cast("int").alias("p"))
             scores[c] = averaged_metrics(class_metrics(guessed, "t", "p")).first()["macro_f1"] or 0.0
@@ -159,3 +162,33 @@ def majority_baseline(df: DataFrame, label: str) -> DataFrame:
     """Accuracy of always guessing the most frequent label."""
     top = df.groupBy(label).agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.orderBy(F.col("n").desc(), label)))
     return top.agg(F.max(F.when(F.col("r") == 1, F.col(label))).alias("guess"), (F.max(F.when(F.col("r") == 1, F.col("n"))) / F.sum("n")).alias("accuracy"))
+
+
+def linear_svm(train: DataFrame, label: str, features: str = "features", c: float = 1.0):
+    """A linear machine with hinge loss per class against the rest; the class of the largest margin is predicted."""
+    n = max(1, train.count())
+    one = LinearSVC(regParam=1 / (c * n), maxIter=100, standardization=False)
+    return OneVsRest(classifier=one, labelCol=label, featuresCol=features, parallelism=4).fit(train)
+
+
+#: Kinds of linear probes by name: (rows with features, label, C) -> model.
+LINEAR_PROBES = {
+    "logistic": lambda rows, label, c: logistic(rows, label, c=c, multinomial=True),
+    "svm": lambda rows, label, c: linear_svm(rows, label, c=c),
+}
+
+
+def least_squares(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
+    """Rows (term, coefficient, r2, n) of an ordinary regression with intercept; rows with a missing value don't count.
+
+    Columns must not depend on each other linearly, so a set of dummies lacks one category.
+    """
+    from .gram import ridge
+
+    full = df.select(F.col(target).cast("double").alias("__y"), *(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    model = ridge(full.select(F.array(*columns).alias("x"), F.array("__y").alias("y")), "x", "y", 0.0)
+    guess = sum((F.col(c) * float(w) for c, w in zip(columns, model.weights[:, 0], strict=True)), F.lit(float(model.intercept[0])))
+    fit = full.agg(F.count("*").alias("n"), F.sum((F.col("__y") - guess) ** 2).alias("rest"), F.var_pop("__y").alias("v")).first()
+    r2 = 1 - fit["rest"] / (fit["v"] * fit["n"]) if fit["v"] else None
+    rows = [("intercept", float(model.intercept[0]), r2, fit["n"]), *((c, float(w), r2, fit["n"]) for c, w in zip(columns, model.weights[:, 0], strict=True))]
+    return df.sparkSession.createDataFrame(rows, "term string, coefficient double, r2 double, n bigint")

@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .statistics import value_range
@@ -104,11 +104,24 @@ def weighted_auc_interval(df: DataFrame, target: str, score: str, number: str, g
     return sums.groupBy(*group).applyInArrow(join, f"{names}, resamples bigint, mean double, low double, high double")
 
 
-#: The same weight in SQL, from the columns i and b.
-def weight_sql(seed: int = 42) -> str:
-    x = f"((i % {MODULUS}) * 48271 + b * 1103515245 + {seed}) % {MODULUS}"
+def mixed_column(row: Column, resample: Column, seed: int = 42) -> Column:
+    """The same number as an expression."""
+    x = ((row.cast("bigint") % MODULUS) * 48_271 + resample.cast("bigint") * 1_103_515_245 + seed) % MODULUS
+    for _ in range(2):
+        x = x * 16_807 % MODULUS
+        x = x.bitwiseXOR(F.shiftright(x, 13)) % MODULUS
+    return x * 48_271 % MODULUS
+
+
+def mixed_sql(row: str, resample: str, seed: int = 42) -> str:
+    """The same number in SQL."""
+    x = f"((({row}) % {MODULUS}) * 48271::BIGINT + ({resample}) * 1103515245::BIGINT + {seed}) % {MODULUS}"
     for _ in range(2):
         x = f"(({x}) * 16807 % {MODULUS})"
         x = f"(xor({x}, {x} >> 13) % {MODULUS})"
-    x = f"({x} * 48271 % {MODULUS})"
-    return f"(SELECT count(*) FROM (VALUES {', '.join(f'({c})' for c in poisson_cuts())}) c(cut) WHERE {x} >= cut)"
+    return f"({x} * 48271 % {MODULUS})"
+
+
+def weight_sql(seed: int = 42) -> str:
+    """The weight of row i in resample b in SQL."""
+    return f"(SELECT count(*) FROM (VALUES {', '.join(f'({c})' for c in poisson_cuts())}) c(cut) WHERE {mixed_sql('i', 'b', seed)} >= cut)"

@@ -15,7 +15,7 @@ from ..operators import ratings as R
 from ..operators import sampling as P
 from ..operators import shaping as H
 from ..operators import statistics as S
-from ..sources import load_table, scratch
+from ..sources import load_table, stored
 from .registry import query
 from .text_queries import docs, labelled
 from .trace_queries import levelled_events, rounded, traces_of_values
@@ -92,17 +92,10 @@ def helped_or_hurt(spark, sf):
 
 
 # Detectors: features of each user's values; success is a share of purchases above a fifth.
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """The table in shared storage, so that what follows reads its columns and doesn't compute them again."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def detector_features(spark, sf) -> DataFrame:
     t = traces_of_values(spark, sf).withColumn("cut", (F.size("raw") / 2).cast("int")).where("cut > 0")
     halves = t.select("user_id", "xs", F.expr("slice(raw, 1, cut)").alias("r"), F.expr("slice(raw, cut + 1, size(raw))").alias("a"), F.size("raw").alias("reasoning_n_chunks"))
-    halves = _stored(halves.withColumn("ys", V.interpolate(V.centred(F.col("a")), 20)), "detector_series")
+    halves = stored(halves.withColumn("ys", V.interpolate(V.centred(F.col("a")), 20)), "detector_series")
     features, cross = V.trajectory_features(F.col("xs"), "reasoning"), V.cross_features(F.col("r"), F.col("a"))
     of_answer = V.trajectory_features(F.col("ys"), "answer")
     wide = halves.select("user_id", "reasoning_n_chunks", *(features[f"reasoning_{n}"].alias(f"reasoning_{n}") for n in ("direction_changes", "monotonicity", "fall_from_peak")), *(of_answer[f"answer_{n}"].alias(f"answer_{n}") for n in ("direction_changes", "max_rise", "monotonicity")), *(c.alias(n) for n, c in cross.items()))
@@ -110,7 +103,7 @@ def detector_features(spark, sf) -> DataFrame:
     status = F.when(F.max_by("event_type", F.struct("ts", "event_id")) == "error", "exit_cost").otherwise("submitted")
     outcome = load_table(spark, sf, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "purchase") > F.count("*") / 5).cast("int").alias("target"), X.truncated(status).alias("truncated"))
     rounded_ = [F.round(c, 6).alias(c) if c not in ("user_id", "reasoning_n_chunks") else F.col(c) for c in wide.columns]  # ties are ties in any engine
-    return _stored(wide.select(*rounded_).join(outcome, "user_id"), "detector_features")
+    return stored(wide.select(*rounded_).join(outcome, "user_id"), "detector_features")
 
 
 def _features_sql() -> str:

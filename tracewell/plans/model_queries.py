@@ -14,7 +14,7 @@ from ..operators import labeling as L
 from ..operators import models as M
 from ..operators import sampling as P
 from ..operators import statistics as S
-from ..sources import archives, load_table, scratch
+from ..sources import archives, load_table, scratch, stored
 from .attempt_queries import _COLUMNS, _DET, doc_features, flagged
 from .registry import query
 from .trace_queries import rounded, traces_of_values
@@ -45,20 +45,13 @@ def _folds(df: DataFrame, label: str, key: str) -> DataFrame:
     return P.stratified_folds(df, label, key, order=[F.col(key)])
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """The table in shared storage: models read it many times."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def quality_rows(spark, sf) -> DataFrame:
-    return _written(_folds(doc_features(spark, sf), "quality", "doc_id"), "quality_rows")
+    return stored(_folds(doc_features(spark, sf), "quality", "doc_id"), "quality_rows")
 
 
 def length_rows(spark, sf) -> DataFrame:
     rows = doc_features(spark, sf).withColumn("log_words", F.log(F.col("words") + 1))
-    return _written(_folds(rows, "quality", "doc_id"), "length_rows")
+    return stored(_folds(rows, "quality", "doc_id"), "length_rows")
 
 
 def _metrics(result: specs.Result) -> DataFrame:
@@ -77,7 +70,7 @@ def boosted_with_subject(spark, sf):
     rows = doc_features(spark, sf).join(load_table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     rows = rows.withColumn("distinct_share", F.when(F.col("words") >= 50, F.col("distinct_share")))
     wide, extra = L.one_hot(rows, "lang")
-    return _metrics(specs.run_oof(specs.SPECS["boosted_gaps"], _written(_folds(wide, "quality", "doc_id"), "subject_rows"), "doc_id", "quality", [*_COLUMNS, *extra]))
+    return _metrics(specs.run_oof(specs.SPECS["boosted_gaps"], stored(_folds(wide, "quality", "doc_id"), "subject_rows"), "doc_id", "quality", [*_COLUMNS, *extra]))
 
 
 @query("q_regressors")
@@ -113,7 +106,7 @@ def oof_artifacts(spark, sf):
 def trace_series(spark, sf) -> DataFrame:
     outcome = load_table(spark, sf, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "purchase") > F.count("*") / 5).cast("int").alias("target"))
     rows = traces_of_values(spark, sf).select("user_id", *(F.get("xs", F.lit(i)).alias(f"t{i:02d}") for i in range(20)))
-    return _written(_folds(rows.join(outcome, "user_id"), "target", "user_id"), "trace_series")
+    return stored(_folds(rows.join(outcome, "user_id"), "target", "user_id"), "trace_series")
 
 
 @query("q_series_classifier")
@@ -138,10 +131,10 @@ def series_features(spark, sf):
 def failure_types(spark, sf):
     """The kind of event that a trace ends with, from its shape: metrics out of fold."""
     last = load_table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
-    traces = _written(traces_of_values(spark, sf).select("user_id", "xs"), "traces")
+    traces = stored(traces_of_values(spark, sf).select("user_id", "xs"), "traces")
     shapes = V.trajectory_features(F.col("xs"), "reasoning")
     names = [f"reasoning_{n}" for n in ("end", "std", "range", "monotonicity", "direction_changes", "fall_from_peak", "max_rise")]
-    rows = _written(traces.select("user_id", *(shapes[n].cast("double").alias(n) for n in names)).join(last, "user_id"), "typed_traces")
+    rows = stored(traces.select("user_id", *(shapes[n].cast("double").alias(n) for n in names)).join(last, "user_id"), "typed_traces")
     return rounded(attribution.failure_types(rows, "user_id", "last_type", names).summary)
 
 
@@ -176,11 +169,11 @@ def _scaled(train: DataFrame, column: str):
     return lambda df: df.withColumn(column, F.zip_with(F.zip_with(column, a, lambda x, y: x - y), s, lambda x, y: x / y))
 
 
-def _probe(name: str, rows: DataFrame, column: str, cs: tuple[float, ...]) -> DataFrame:
+def _probe(name: str, rows: DataFrame, column: str, cs: tuple[float, ...], fit=None) -> DataFrame:
     """Macro-F1 on the test rows of the C that does best on the validation rows."""
     part = lambda split: rows.where(F.col("split") == split)
     train, valid, test = part("train"), part("validation"), part("test")
-    out, best = M.swept_probe(train, valid, test, "lvl", column, cs)
+    out, best = M.swept_probe(train, valid, test, "lvl", column, cs, fit)
     scores = S.averaged_metrics(S.class_metrics(out.select("lvl", F.col("prediction").cast("int").alias("p")), "lvl", "p"))
     return scores.select(F.lit(name).alias("probe"), F.lit(best).alias("c"), "macro_f1")
 
@@ -188,17 +181,85 @@ def _probe(name: str, rows: DataFrame, column: str, cs: tuple[float, ...]) -> Da
 @query("q_section_residual_probe")
 def section_residual_probe(spark, sf):
     """Levels from section names alone, from vectors, and from what section names don't explain of the vectors."""
-    rows = _written(section_vectors(spark, sf), "sections")
+    rows = stored(section_vectors(spark, sf), "sections")
     add = section_grams(rows.where("split = 'train'"))
     scale = _scaled(rows.where("split = 'train'"), "e")
-    rows = _written(add(scale(rows)), "section_grams")
+    rows = stored(add(scale(rows)), "section_grams")
     model = gram.ridge(rows.where("split = 'train'"), "x", "e", 10.0)
-    rest = _written(rows.withColumn("e", gram.residual(model, "x", "e")), "residuals")
+    rest = stored(rows.withColumn("e", gram.residual(model, "x", "e")), "residuals")
     rest = _scaled(rest.where("split = 'train'"), "e")(rest)
     out = _probe("section", rows, "x", (1.0,)).unionByName(_probe("full", rows, "e", (10.0,))).unionByName(_probe("residual", rest, "e", (0.01, 0.1, 1.0, 10.0)))
     return rounded(out)
 
 
+# Probes and baselines
+@query("q_linear_probes")
+def linear_probes(spark, sf):
+    """Logistic and support-vector probes, each with the C that does best on validation rows; the split is by group of vectors."""
+    v = load_table(spark, sf, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 4).alias("group"), F.col("embedding").cast("array<double>").alias("e"), (F.col("label") % 3).alias("lvl"))
+    rows = stored(P.group_split(v, "group", [("train", 0.6), ("validation", 0.2), ("test", 0.2)]), "probe_rows")
+    out = None
+    for kind, fit in M.LINEAR_PROBES.items():
+        one = _probe(kind, rows, "e", (0.01, 0.1, 1.0, 10.0), lambda d, c, fit=fit: fit(d, "lvl", c))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+_MIXED = resampling.mixed_sql("vec_id", "7")
+
+
+@query("q_random_baseline", f"WITH g AS (SELECT label % 3 AS t, ({_MIXED}) % 3 AS p FROM embeddings), c AS (SELECT k, count(*) FILTER (WHERE t = k AND p = k) AS hit, count(*) FILTER (WHERE t = k) AS pos, count(*) FILTER (WHERE p = k) AS guess FROM g, range(3) r(k) GROUP BY k) SELECT (SELECT count(*) FROM g) AS n, round((SELECT avg((t = p)::INT) FROM g), 6) AS accuracy, round(avg(2 * hit / (pos + guess)), 6) AS macro_f1 FROM c WHERE pos + guess > 0")
+def random_baseline(spark, sf):
+    """Classes guessed evenly at random, by the vector's number."""
+    rows = load_table(spark, sf, "embeddings").select((F.col("label") % 3).cast("int").alias("t"), (resampling.mixed_column(F.col("vec_id"), F.lit(7)) % 3).cast("int").alias("p"))
+    scores = S.averaged_metrics(S.class_metrics(rows, "t", "p")).select("macro_f1")
+    return rounded(rows.agg(F.count("*").alias("n"), F.avg((F.col("t") == F.col("p")).cast("double")).alias("accuracy")).crossJoin(scores))
+
+
+@query("q_probe_baselines")
+def probe_baselines(spark, sf):
+    """Macro-F1 of probes on the length of the vector's document alone, and on random vectors of the same size."""
+    words = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")).cast("double")
+    names = load_table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.array(words).alias("length"))
+    noise = lambda i: (resampling.mixed_column(F.col("vec_id"), i) / resampling.MODULUS) * 2 - 1
+    v = load_table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 3).alias("lvl"), F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: noise(i.cast("bigint"))).alias("random"))
+    rows = stored(P.group_split(v.join(names, "vec_id"), "vec_id", [("train", 0.6), ("validation", 0.2), ("test", 0.2)]), "baseline_rows")
+    rows = _scaled(rows.where("split = 'train'"), "length")(rows)
+    return rounded(_probe("length", rows, "length", (1.0,)).unionByName(_probe("random_vector", rows, "random", (1.0,))))
+
+
+@query("q_ols_dummies")
+def ols_dummies(spark, sf):
+    """Words of a document by its share of different words, its markup and its language, of which the first is the reference."""
+    rows = doc_features(spark, sf).join(load_table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    wide, extra = L.one_hot(rows, "lang", drop_first=True)
+    return rounded(M.least_squares(wide, "words", ["distinct_share", "bars", *extra]))
+
+
+@query("q_held_out_ablation")
+def held_out_ablation(spark, sf):
+    """Out-of-fold AUC of each group of features; if all together are below 0.65, that of boosted trees is added as the fallback."""
+    rows = quality_rows(spark, sf)
+    groups = {"surface": ["entity_density", "exclaims", "bars"], "diversity": ["distinct_share"], "length": ["words"], "all": [*_COLUMNS, "words"]}
+    auc_of = lambda model, columns: S.auc(specs.run_oof(specs.SPECS[model], rows, "doc_id", "quality", columns).predictions, "target", "pred").first()["auc"]
+    found = [(name, "logreg", auc_of("logreg", columns)) for name, columns in groups.items()]
+    if found[-1][2] < 0.65:
+        found.append(("all", "boosted", auc_of("boosted", groups["all"])))
+    return rounded(spark.createDataFrame(found, "features string, model string, auc double"))
+
+
+@query("q_category_auc")
+def category_auc(spark, sf):
+    """Macro one-vs-rest AUC of the languages from what should tell them apart and from what would leak them: length, and where a text comes from."""
+    rows = doc_features(spark, sf).join(load_table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
+    rows = stored(rows.withColumn("place", F.regexp_extract("source", r"\d+", 0).cast("double")), "category_rows")
+    out = None
+    for name, columns in {"shape": _COLUMNS, "length": ["words"], "source": ["place"]}.items():
+        one = attribution.failure_types(rows, "doc_id", "lang", columns).summary.select(F.lit(name).alias("features"), "skipped", "n_items", "n_classes", "accuracy", "macro_f1", "macro_auc")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
 # Archives
 @query("q_array_archive", "WITH q AS (SELECT DISTINCT label FROM embeddings WHERE vec_id % 100 = 0) SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]), 6) + 0.0 AS total, len(embedding)::INT AS width FROM embeddings JOIN q USING (label)")
 def array_archive(spark, sf):

@@ -26,14 +26,16 @@ def gold(spark, sf) -> DataFrame:
     return load_table(spark, sf, "benchmark").select((F.col("item_id") % 20).cast("int").alias("query_id"), F.col("item_id").alias("gold_id"), "text")
 
 
-def pair_f1(spark, sf, among: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
-    """Overlap of paragraphs (those ``among`` some, if given) and gold passages (``items``, if given) of a question."""
+def pair_f1(spark, sf, among: DataFrame | None = None, items: DataFrame | None = None, least: float | None = None) -> DataFrame:
+    """Overlap of paragraphs (those ``among`` some, if given) and gold passages (``items``, if given) of a question; with ``least`` only from it on."""
     split = X.tokens(F.col("text"))
     rows = paragraphs(spark, sf)
     if among is not None:
         rows = rows.join(among.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
     left = R.token_counts(rows, ["query_id", "doc_id"], split)
     right = R.token_counts(gold(spark, sf) if items is None else items, ["query_id", "gold_id"], split)
+    if least is not None:
+        return R.overlap_f1_at_least(left, right, "query_id", "doc_id", "gold_id", least)
     return R.overlap_f1(left, right, "query_id", "doc_id", "gold_id")
 
 
@@ -64,6 +66,12 @@ def token_f1_join(spark, sf):
     return rounded(pair_f1(spark, sf).select("query_id", "doc_id", "gold_id", "f1").where("f1 >= 0.2"))
 
 
+@query("q_similar_passages", f"{_PAIRS} SELECT query_id, doc_id, gold_id, round(f1, 6) AS f1 FROM pairs WHERE f1 >= 0.5")
+def similar_passages(spark, sf):
+    """The same from 0.5 on, by the rarest tokens of each text."""
+    return rounded(pair_f1(spark, sf, least=0.5).select("query_id", "doc_id", "gold_id", "f1"))
+
+
 @query("q_topk_overlap", f"{_PAIRS} SELECT query_id, doc_id, rank::INT AS rank, round(score, 6) AS score FROM ret")
 def topk_overlap(spark, sf):
     return rounded(retrieved(spark, sf))

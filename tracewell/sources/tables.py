@@ -123,3 +123,10 @@ def publish(tables: dict[str, DataFrame], path: str) -> str:
     if replaced:
         system.delete(at(old), True)
     return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table as it is read back from shared storage, so that what follows doesn't compute it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
