@@ -227,16 +227,23 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY, patience: float =
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, patience: float = PATIENCE) -> DataFrame:
-    """Add sequence_id and offset to a table of pieces.
+    """Add sequence_id and offset to a table of pieces with the columns doc_id, piece and length.
 
     The table is counted and read twice, so pass a written one.  With an infinite ``patience`` the search
     only ends when no exchange raises the squared fill, however many rounds empty no sequence.
+
+    Defined results: where columns of these names exist, underscores are added to the new ones' names; ids and
+    pieces may be null and rows may repeat, as each row is packed by itself; lengths are from 1 to ``capacity``, any
+    other is an error; an empty table gives an empty one.
     """
+    name, place = work.unused(pieces, "sequence_id"), work.unused(pieces, "offset")
     shards = max(1, -(-pieces.count() // shard_pieces))
     keys = pieces.schema.fieldNames()
 
     def assign(table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_pylist()
+        if any(n is None or not 0 < n <= capacity for n in lengths):
+            raise ValueError(f"lengths are from 1 to {capacity}")
         shard = table.column(own)[0].as_py()
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for number, items in enumerate(pack_lengths(lengths, capacity, patience)):
@@ -244,17 +251,17 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = SHA
             for i in sorted(items):
                 sequence[i], offset[i] = (shard << 32) + number, at
                 at += lengths[i]
-        return table.drop_columns([own]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        return table.drop_columns([own]).append_column(name, pa.array(sequence)).append_column(place, pa.array(offset))
 
     # The row's place in the written table is hashed too, so that repeated rows are dealt out.
     own = work.unused(pieces, "shard")
     shard = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)).cast("long")
-    schema = StructType([*pieces.schema.fields]).add("sequence_id", "long").add("offset", "long")
-    return pieces.withColumn(own, shard).groupBy(own).applyInArrow(assign, schema).select(*keys, "sequence_id", "offset")
+    schema = StructType([*pieces.schema.fields]).add(name, "long").add(place, "long")
+    return pieces.withColumn(own, shard).groupBy(own).applyInArrow(assign, schema).select(*keys, name, place)
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, patience: float = PATIENCE, with_ids: bool = False) -> DataFrame:
     """Tokenize, cut and pack whole documents: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset."""
     folder = work.workspace(docs.sparkSession, "packing")
     pieces = token_pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, with_ids=with_ids)
-    return pack(work.materialize(pieces, f"{folder}/pieces"), capacity=capacity)
+    return pack(work.materialize(pieces, f"{folder}/pieces"), capacity=capacity, patience=patience)
