@@ -369,3 +369,14 @@ def test_thresholded_overlap_equals_all_pairs(session, least):
 def test_mixed_numbers_agree(session):
     rows = session.range(50).select(resampling.mixed_column(F.col("id"), F.lit(7)).alias("x")).collect()
     assert [r.x for r in rows] == resampling.mixed(np.arange(50), np.array(7)).tolist()
+
+
+def test_weighted_mean_interval_equals_numpy(session):
+    rng = np.random.default_rng(14)
+    v = rng.normal(size=70)
+    df = session.createDataFrame([(i, float(x)) for i, x in enumerate(v)] + [(70, None)], "i bigint, v double").repartition(3)
+    r = resampling.weighted_mean_interval(df, "v", "i", 200).first()
+    w = resampling.weights(np.arange(70), 200)
+    x = (v @ w) / w.sum(0)
+    assert (r.resamples, r.mean, r.low, r.high, r.p_one_tailed) == (200, pytest.approx(x.mean()), pytest.approx(np.quantile(x, 0.025)), pytest.approx(np.quantile(x, 0.975)), pytest.approx((x <= 0).mean()))
+    assert resampling.weighted_mean_interval(df.where("i < 0"), "v", "i", 10).first().mean is None

@@ -8,7 +8,6 @@ from compare import difference, duck
 from tracewell import plans
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"q_logreg_oof", "q_residualized", "q_oof_scores"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +20,7 @@ def test_equals_sql(spark, con, name):
     assert difference(name, plans.queries()[name], plans.oracle_sql()[name], spark, con, DATA) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_runs(spark, name):
     assert plans.queries()[name](spark, DATA).count() > 0
 

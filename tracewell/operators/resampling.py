@@ -104,6 +104,34 @@ def weighted_auc_interval(df: DataFrame, target: str, score: str, number: str, g
     return sums.groupBy(*group).applyInArrow(join, f"{names}, resamples bigint, mean double, low double, high double")
 
 
+def weighted_mean_interval(df: DataFrame, value: str, number: str, resamples: int = 1000, low: float = 0.025, high: float = 0.975, seed: int = 42) -> DataFrame:
+    """One row: resamples, mean and percentile interval of a column's mean, and the share of resamples whose mean isn't positive.
+
+    Give the difference of two columns for a paired bootstrap.  Tasks add up their rows as arrays with a place per resample.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(number).cast("bigint").alias("i"), F.col(value).cast("double").alias("v"))
+
+    def add(batches):
+        sums = np.zeros((2, resamples))
+        for batch in batches:
+            i, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for at in range(0, len(i), 4000):
+                w = weights(i[at : at + 4000], resamples, seed)
+                sums += np.stack([v[at : at + 4000] @ w, w.sum(0)])
+        yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary()) for s in sums], names=["a", "b"])
+
+    def join(batches):
+        parts = [r for batch in batches for r in batch.to_pylist()]
+        a, b = (sum((np.frombuffer(r[k], float) for r in parts), np.zeros(resamples)) for k in ("a", "b"))
+        x = a[b > 0] / b[b > 0]
+        cut = np.quantile(x, [low, high]).tolist() if len(x) else [None, None]
+        row = [len(x), float(x.mean()) if len(x) else None, *cut, float((x <= 0).mean()) if len(x) else None]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), *[pa.float64()] * 4), strict=True)], names=["resamples", "mean", "low", "high", "p_one_tailed"])
+
+    # A row of two arrays per task meets in one task.
+    return rows.mapInArrow(add, "a binary, b binary").coalesce(1).mapInArrow(join, "resamples bigint, mean double, low double, high double, p_one_tailed double")
+
+
 def mixed_column(row: Column, resample: Column, seed: int = 42) -> Column:
     """The same number as an expression."""
     x = ((row.cast("bigint") % MODULUS) * 48_271 + resample.cast("bigint") * 1_103_515_245 + seed) % MODULUS

@@ -17,6 +17,7 @@ from ..operators import statistics as S
 from ..sources import archives, load_table, scratch, stored
 from .attempt_queries import _COLUMNS, _DET, doc_features, flagged
 from .registry import query
+from .text_queries import DOCS, labelled
 from .trace_queries import rounded, traces_of_values
 
 _W = f"""u AS (SELECT DISTINCT user_id AS i FROM fl), wt AS (SELECT i, b, {resampling.weight_sql()} AS w FROM u, range({D.RESAMPLES}) r(b)),
@@ -40,6 +41,27 @@ def detector_verdicts(spark, sf):
     return rounded(D.verdicts(flagged(spark, sf), "user_id", "target"))
 
 
+_RESAMPLED = lambda rows: f"WITH v AS ({rows}), wt AS (SELECT i, b, {resampling.weight_sql()} AS w FROM (SELECT DISTINCT i FROM v), range(1000) r(b))"
+_CI = "count(x) AS resamples, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high"
+
+
+@query("q_mean_interval", f"{_RESAMPLED(f'SELECT doc_id AS i, quality - (words >= 100)::INT AS v FROM ({DOCS}) JOIN labels USING (doc_id)')}, m AS (SELECT b, sum(w * v) / sum(w) AS x FROM v JOIN wt USING (i) GROUP BY b HAVING sum(w) > 0) SELECT {_CI}, round(avg((x <= 0)::INT), 6) AS p_one_tailed FROM m")
+def mean_interval(spark, sf):
+    """Mean of the paired differences of two 0/1 columns in 1,000 resamples."""
+    rows = labelled(spark, sf).select("doc_id", (F.col("quality") - (F.col("words") >= 100).cast("int")).cast("double").alias("difference"))
+    return rounded(resampling.weighted_mean_interval(rows, "difference", "doc_id"))
+
+
+@query(
+    "q_auc_interval",
+    f"{_RESAMPLED(f'SELECT lang, doc_id AS i, quality AS y, words::DOUBLE AS s FROM ({DOCS}) JOIN labels USING (doc_id)')}, c AS (SELECT lang, b, s, coalesce(sum(w) FILTER (WHERE y = 1), 0) AS p, coalesce(sum(w) FILTER (WHERE y = 0), 0) AS q FROM v JOIN wt USING (i) GROUP BY ALL), k AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY lang, b ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c), m AS (SELECT lang, b, sum(p * (below + q / 2)) / (sum(p) * sum(q)) AS x FROM k GROUP BY ALL HAVING sum(p) > 0 AND sum(q) > 0) SELECT lang, {_CI} FROM m GROUP BY lang",
+)
+def auc_interval(spark, sf):
+    """AUC of the length for quality per language, in 1,000 resamples."""
+    rows = labelled(spark, sf).select("lang", "doc_id", "quality", F.col("words").cast("double").alias("words"))
+    return rounded(resampling.weighted_auc_interval(rows, "quality", "words", "doc_id", ["lang"]))
+
+
 # Models: documents' quality from their surface features, and their length in words from the other features.
 def _folds(df: DataFrame, label: str, key: str) -> DataFrame:
     return P.stratified_folds(df, label, key, order=[F.col(key)])

@@ -205,6 +205,21 @@ def model_wins(spark, sf):
     return rounded(M.model_wins(per.unpivot(["run"], ["a", "b"], "model", "v"), "run", "model", "v", "a", "b"))
 
 
+@query(
+    "q_aligned_comparison",
+    f"""{_ATT}, a AS (SELECT id, answered::INT AS y FROM att WHERE run_order = 0), b AS (SELECT id, correct::INT AS y FROM att WHERE run_order = 1), j AS (SELECT a.id AS x, b.id AS z, a.y AS p, b.y AS q FROM a FULL JOIN b USING (id))
+SELECT count(*) FILTER (WHERE x IS NOT NULL AND z IS NOT NULL) AS n, count(*) FILTER (WHERE z IS NULL) AS only_left, count(*) FILTER (WHERE x IS NULL) AS only_right, round(avg(p) FILTER (WHERE z IS NOT NULL), 6) AS "left", round(avg(q) FILTER (WHERE x IS NOT NULL), 6) AS "right", round(avg(p - q), 6) AS difference FROM j""",
+)
+def aligned_comparison(spark, sf):
+    """Two runs compared on the problems that both have; those of one run only are counted."""
+    rows = attempts(spark, sf)
+    a = rows.where("run_order = 0").select("id", F.col("answered").cast("int").alias("p"))
+    b = rows.where("run_order = 1").select("id", F.col("correct").cast("int").alias("q"))
+    both = a.join(b, "id", "full")
+    inner = F.col("p").isNotNull() & F.col("q").isNotNull()
+    return rounded(both.agg(F.count_if(inner).alias("n"), F.count_if(F.col("q").isNull()).alias("only_left"), F.count_if(F.col("p").isNull()).alias("only_right"), F.avg(F.when(inner, F.col("p"))).alias("left"), F.avg(F.when(inner, F.col("q"))).alias("right"), F.avg(F.col("p") - F.col("q")).alias("difference")))
+
+
 @query("q_univariate_signal", f"WITH l AS (SELECT 'words' AS feature, quality, words::DOUBLE AS x FROM ({DOCS}) JOIN labels USING (doc_id) UNION ALL SELECT 'n_chars', quality, n_chars FROM ({DOCS}) JOIN labels USING (doc_id)), r AS (SELECT feature, quality, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS r FROM l), s AS (SELECT feature, count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality = 0) AS n, sum(r) FILTER (WHERE quality = 1) AS s FROM r GROUP BY feature), a AS (SELECT feature, (s - p * (p + 1) / 2) / (p * n) AS auc FROM s) SELECT feature, round(greatest(auc, 1 - auc), 6) AS signal, CASE WHEN auc >= 0.5 THEN 'higher' ELSE 'lower' END AS direction FROM a")
 def univariate_signal(spark, sf):
     long = labelled(spark, sf).select("quality", F.col("words").cast("double").alias("words"), F.col("n_chars").cast("double").alias("n_chars")).unpivot(["quality"], ["words", "n_chars"], "feature", "x")

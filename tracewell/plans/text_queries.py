@@ -280,6 +280,30 @@ def brier(spark, sf):
     return rounded(S.binary_metrics(labelled(spark, sf).withColumn("pr", F.least("words", F.lit(400)) / 400), "quality", "pr"))
 
 
+@query(
+    "q_grouped_metrics",
+    f"""WITH p AS (SELECT lang, quality, least(words, 400) / 400 AS pr FROM ({DOCS}) JOIN labels USING (doc_id)), c AS (SELECT lang, count(*) FILTER (WHERE pr >= 0.5 AND quality = 1) AS tp, count(*) FILTER (WHERE pr >= 0.5 AND quality = 0) AS fp, count(*) FILTER (WHERE pr < 0.5 AND quality = 1) AS fn, count(*) FILTER (WHERE pr < 0.5 AND quality = 0) AS tn FROM p GROUP BY lang)
+SELECT lang, tp + fp + fn + tn AS n, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM c""",
+)
+def grouped_metrics(spark, sf):
+    """Classification metrics of each language."""
+    out = S.binary_metrics(labelled(spark, sf).withColumn("pr", F.least("words", F.lit(400)) / 400), "quality", "pr", 0.5, ["lang"])
+    return rounded(out.select("lang", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), "accuracy", "precision", "recall", "f1"))
+
+
+@query(
+    "q_effect_order",
+    f"""WITH v AS (SELECT quality, words::DOUBLE AS words, n_chars::DOUBLE AS n_chars, n_chars / (words + 1) AS width, len(regexp_split_to_array(text, chr(10)))::DOUBLE AS lines FROM ({DOCS}) JOIN labels USING (doc_id)), c AS (SELECT 'words' AS feature, round(corr(words, quality), 6) AS r FROM v UNION ALL SELECT 'n_chars', round(corr(n_chars, quality), 6) FROM v UNION ALL SELECT 'width', round(corr(width, quality), 6) FROM v UNION ALL SELECT 'lines', round(corr(lines, quality), 6) FROM v)
+SELECT feature, r, row_number() OVER (ORDER BY abs(r) DESC, feature)::INT AS place FROM c""",
+)
+def effect_order(spark, sf):
+    """Features by the absolute value of their correlation with quality, strongest first."""
+    rows = labelled(spark, sf).select("quality", F.col("words").cast("double").alias("words"), F.col("n_chars").cast("double").alias("n_chars"), (F.col("n_chars") / (F.col("words") + 1)).alias("width"), F.size(F.split("text", "\n")).cast("double").alias("lines"))
+    long = rows.unpivot(["quality"], ["words", "n_chars", "width", "lines"], "feature", "x")
+    effects = rounded(S.pearson(long, "x", "quality", ["feature"]).select("feature", "r"))
+    return effects.withColumn("place", F.row_number().over(Window.orderBy(F.abs("r").desc(), "feature")))  # a row per feature
+
+
 _RANKS = "(rank() OVER (PARTITION BY lang ORDER BY words) + (count(*) OVER (PARTITION BY lang, words) - 1) / 2.0::DOUBLE)"
 
 
