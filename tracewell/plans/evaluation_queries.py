@@ -57,7 +57,7 @@ _TOP5 = "t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosin
 @query("q_retrieval_breakdown", f"{_CAND}, {_TOP5} SELECT predicted, answer_type, count(*) AS n, round(avg(p), 6) AS mean_precision, round(avg(hit), 6) AS hit_rate FROM b GROUP BY GROUPING SETS ((), (predicted), (answer_type))")
 def retrieval_breakdown(spark, sf):
     """Precision of the five nearest by predicted level and by answer type."""
-    top = R.top_k(candidates(spark, sf), "cosine", 5)
+    top = R.top_k(candidates(spark, sf, 5), "cosine", 5)
     kind = F.when(F.col("confidence").isNull(), "open").when(F.col("confidence") < 0.5, "yes_no").otherwise("span")
     right = (F.col("level") == F.col("predicted")).cast("int")
     per = top.groupBy("query_id", "predicted", kind.alias("answer_type")).agg(F.avg(right.cast("double")).alias("p"), F.max(right).alias("hit"))
@@ -277,8 +277,7 @@ def category_leakage(spark, sf):
 @query("q_query_level_classifier")
 def query_level_classifier(spark, sf):
     """Level classifier over query vectors, and over the mean of each query's vector and its nearest row's."""
-    c = candidates(spark, sf)
-    nearest = R.top_k(c, "cosine", 1).select("query_id", "doc_id")
+    nearest = R.top_k(candidates(spark, sf, 1), "cosine", 1).select("query_id", "doc_id")
     v = load_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), (F.col("label") % 3).alias("lvl"))
     plain = v.join(nearest, F.col("vec_id") == F.col("query_id")).select("vec_id", "doc_id", "lvl", "e")
     other = plain.join(v.select(F.col("vec_id").alias("doc_id"), F.col("e").alias("f")), "doc_id")

@@ -14,11 +14,12 @@ from ..operators import models
 from ..operators import retrieval as R
 from ..operators import sampling as P
 from ..operators import statistics as S
+from ..operators import tiles
 from ..operators import traces as T
 from ..sources import load_table
 from .attempt_queries import _ATT, attempts
 from .registry import query
-from .retrieval_queries import _CAND, _PAIRS, candidates, pair_f1, retrieved
+from .retrieval_queries import _CAND, _PAIRS, _vector_sides, pair_f1, retrieved
 from .text_queries import _HEADED, DOCS, docs, headed, labelled
 from .trace_queries import EV, levelled_events, rounded
 
@@ -249,7 +250,7 @@ def capture_ratio(spark, sf):
 
 @query("q_paired_conditions", f"{_CAND}, m AS (SELECT query_id, avg(cosine) FILTER (WHERE level = 'macro') AS a, avg(cosine) FILTER (WHERE level = 'micro') AS b FROM c GROUP BY query_id) SELECT query_id, round(b - a, 6) + 0.0 AS difference FROM m WHERE a IS NOT NULL AND b IS NOT NULL")
 def paired_conditions(spark, sf):
-    means = candidates(spark, sf).groupBy("query_id").pivot("level", ["macro", "micro"]).agg(F.avg("cosine"))
+    means = tiles.level_means(*_vector_sides(spark, sf)).groupBy("query_id").pivot("level", ["macro", "micro"]).agg(F.first("mean"))
     return rounded(means.where("macro is not null and micro is not null").select("query_id", (F.col("micro") - F.col("macro")).alias("difference")))
 
 
