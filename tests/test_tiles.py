@@ -63,3 +63,24 @@ def test_no_search_makes_a_row_of_every_pair(spark):
     sent = retrieval_queries.candidates(spark, data, 5).groupBy().agg(F.count("*").alias("n")).first().n
     assert sent < asked * n / 2
     assert queries()["q_naive_hybrid"](spark, data).count() == 5 * asked
+
+
+def test_nearest_by_products_are_those_of_distances(spark):
+    draw = np.random.default_rng(8)
+    v = draw.normal(size=(400, 6)) * 100
+    v[100:300] = v[7] + draw.integers(0, 3, size=(200, 6)) * 1e-7  # near copies, whose products cancel
+    rows = [(i, str(i % 3), v[i].tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, label string, embedding array<double>")
+    for block in (64, 32_768):
+        found = {r.vec_id: r.purity for r in retrieval.neighbour_purity(df, "label", 15, block=block).collect()}
+        for i in range(400):
+            distance = np.round(np.sqrt(((v - v[i]) ** 2).sum(1)), 6)
+            near = [j for j in np.lexsort((np.arange(400), distance)) if j != i][:15]
+            assert found[i] == pytest.approx(np.mean([j % 3 == i % 3 for j in near]))
+
+
+def test_tiles_of_neighbours_are_bounded(monkeypatch):
+    v = np.random.default_rng(1).normal(size=(300, 4))
+    monkeypatch.setattr(tiles, "PAIRS", 3_000)
+    parts = list(tiles.nearest_of_rows(v, np.arange(300), v, np.arange(300), 5))
+    assert [first for first, *_ in parts] == list(range(0, 300, 10)) and sum(len(r) for _, r, *_ in parts) == 1500

@@ -8,6 +8,8 @@ document id.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from . import tiles
 
 BM25_K1, BM25_B, IDF_FLOOR = 1.5, 0.75, 0.25
 BOOST, LEAST_CONFIDENCE, DENSE_WEIGHT = 0.5, 0.6, 0.7
@@ -228,43 +231,32 @@ def threshold_sweep(retrieved: DataFrame, gold: DataFrame, pairs: DataFrame, thr
     return out
 
 
-def neighbour_purity(vectors: DataFrame, label: str, k: int = 15, id_col: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+def neighbour_purity(vectors: DataFrame, label: str, k: int = 15, id_col: str = "vec_id", vector: str = "embedding", block: int = 32_768) -> DataFrame:
     """Share of each vector's k nearest others, by Euclidean distance (rounded), that have its label.
 
-    Exact, and quadratic by definition: every vector is a query against all rows.  The rows are dealt into
-    blocks, a task takes one block of queries and one of rows, and only the k nearest of each task leave it.
+    Exact, and quadratic by definition: every vector is a query against all rows.  A task takes one block of queries
+    and one of rows; products of a tile tell which rows may be among the k nearest, only their distances are
+    computed, and only the k nearest of each task leave it.
     Vectors that are null, or hold null or non-finite components, are nobody's neighbours and have the purity
     NULL; vectors of another length are no neighbours.
     """
     whole = F.col(vector).isNotNull() & F.forall(F.col(vector).cast("array<double>"), lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
     every, vectors = vectors.select(id_col), vectors.where(whole)
-    blocks = max(1, -(-vectors.count() // block))
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    own, other = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-    asks = rows.select(own.alias("q"), other.alias("d"), F.lit(True).alias("asks"), "id", "label", "v")
-    kept = rows.select(other.alias("q"), own.alias("d"), F.lit(False).alias("asks"), "id", "label", "v")
+    parallel = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = tiles.blocks_of(vectors.count(), block, tiles.FEWEST, math.ceil(math.sqrt(parallel)))
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v")).where("id is not null")
+    schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("same", pa.bool_()), ("distance", pa.float64())])
 
     def nearest(table: pa.Table) -> pa.Table:
-        side = table.column("asks").to_numpy()
-        ids, labels = table.column("id").to_numpy(), np.array(table.column("label").to_pylist(), object)
-        x = np.empty(len(ids), object)
-        x[:] = [np.array(v, float) for v in table.column("v").to_pylist()]
-        (a, b), (ai, bi), (al, bl) = ((c[side], c[~side]) for c in (x, ids, labels))
-        sizes = np.array([len(v) for v in b], np.int64)
-        out: dict[str, list] = {"id": [], "other": [], "same": [], "distance": []}
-        for i in range(len(a)):
-            distance = np.full(len(b), np.inf)
-            same = sizes == len(a[i])
-            distance[same] = np.round(np.sqrt(((np.stack(b[same]) - a[i]) ** 2).sum(axis=1)), 6) if same.any() else np.inf
-            distance[bi == ai[i]] = np.inf
-            near = [j for j in np.lexsort((bi, distance))[:k].tolist() if np.isfinite(distance[j])]
-            out["id"] += [ai[i]] * len(near)
-            out["other"] += bi[near].tolist()
-            out["same"] += (bl[near] == al[i]).tolist()
-            out["distance"] += distance[near].tolist()
-        return pa.table({"id": pa.array(out["id"], pa.int64()), "other": pa.array(out["other"], pa.int64()), "same": pa.array(out["same"], pa.bool_()), "distance": pa.array(out["distance"], pa.float64())})
-
-    near = asks.unionByName(kept).groupBy("q", "d").applyInArrow(nearest, "id bigint, other bigint, same boolean, distance double")
+        found = [schema.empty_table()]
+        sides = [(t.column("id").to_numpy(), np.array(t.column("label").to_pylist(), object), *tiles.vectors(t.column("v"))) for t in tiles.sides(table)]
+        for size in set(sides[0][3].tolist()):  # vectors of one length
+            (ai, al, a, _), (bi, bl, b, _) = (tuple(x[side[3] == size] for x in side) for side in sides)
+            for first, r, c, distance in tiles.nearest_of_rows(a[:, :size], ai, b[:, :size], bi, k):
+                found.append(pa.table({"id": ai[first + r], "other": bi[c], "same": pa.array((bl[c] == al[first + r]).astype(bool)), "distance": distance}, schema))
+        return pa.concat_tables(found)
+
+    near = tiles.grid(rows, rows, blocks, blocks).applyInArrow(nearest, "id bigint, other bigint, same boolean, distance double")
     w = Window.partitionBy("id").orderBy("distance", "other")
     found = near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).groupBy(F.col("id").alias(id_col)).agg(F.avg(F.col("same").cast("double")).alias("purity"))
     return every.join(found, id_col, "left")
