@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,22 +43,30 @@ def differences(xs: Column) -> Column:
     return F.zip_with(F.slice(xs, 2, F.greatest(n - 1, F.lit(0))), F.slice(xs, 1, F.greatest(n - 1, F.lit(0))), lambda b, a: b - a)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body, or a function inside it, refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def centred(xs: Column) -> Column:
-    m = mean(xs)
-    return F.transform(xs, lambda x: x - m)
+    return bound(xs, lambda v: bound(mean(v), lambda m: F.transform(v, lambda x: x - m)))
 
 
 def interpolate(xs: Column, points: int = 20) -> Column:
     """Linear interpolation onto ``points`` evenly spaced places; one value repeats, none gives an empty array."""
-    n = F.size(xs)
 
-    def at(j: Column) -> Column:
-        place = j * (n - 1) / (points - 1)
-        low = F.least(F.floor(place).cast("int"), n - 1)
-        high = F.least(low + 1, n - 1)
-        return F.get(xs, low) + (F.get(xs, high) - F.get(xs, low)) * (place - low)
+    def interpolated(xs: Column) -> Column:
+        n = F.size(xs)
+
+        def at(j: Column) -> Column:
+            place = j * (n - 1) / (points - 1)
+            low = F.least(F.floor(place).cast("int"), n - 1)
+            high = F.least(low + 1, n - 1)
+            return F.get(xs, low) + (F.get(xs, high) - F.get(xs, low)) * (place - low)
+
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)).otherwise(F.array().cast("array<double>"))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)).otherwise(F.array().cast("array<double>"))
+    return bound(xs, interpolated)
 
 
 def segment_means(xs: Column, size: int) -> tuple[Column, Column, Column]:
