@@ -363,3 +363,21 @@ def test_long_traces_are_centred_in_one_pass(spark):
     got = spark.range(1).select(xs.alias("xs")).select(vectors.interpolate(vectors.centred(F.col("xs")), 20).alias("v")).first().v
     assert got == pytest.approx(np.linspace(-29_999.5, 29_999.5, 20).tolist())
     assert spark.range(1).select(vectors.interpolate(vectors.centred(F.array().cast("array<double>"))).alias("v")).first().v == []
+
+
+def test_fuzzy_match_compares_distinct_rows(spark):
+    """20,000 copies on both sides: 400 million pairs, if each was compared."""
+    ids = spark.range(20_000)
+    kind = F.when(F.col("id") % 2 == 0, "a b").otherwise(None)
+    e = ids.select(F.lit("p").alias("paper"), F.col("id").alias("x"), kind.alias("dataset"), F.lit("acc").alias("metric"), F.lit("90").alias("value"))
+    t = ids.select(F.lit("p").alias("paper"), (F.col("id") + 7).alias("position"), F.lit("a").alias("dataset"), F.lit("acc").alias("metric"), F.lit("0.9").alias("value"))
+    rows = shaping.best_fuzzy_match(e, t, "paper", "x", "position")
+    got = rows.groupBy("score", "matched", "correct").count().orderBy("score").collect()
+    assert [tuple(r) for r in got] == [(2, 7, False, 10_000), (3, 7, True, 10_000)]
+
+
+def test_numbers_are_read_before_rows_are_paired(spark):
+    from tracewell.plans import queries
+
+    plan = queries()["q_fuzzy_numeric_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan[: plan.index("Join")]

@@ -82,13 +82,31 @@ def best_fuzzy_match(extracted: DataFrame, truth: DataFrame, paper: str, extract
 
     Expects dataset, metric and value on both sides; correct only if all three agree.
     """
-    e = extracted.select(paper, extraction_id, *(F.col(c).alias(f"__e_{c}") for c in ("dataset", "metric", "value")))
-    t = truth.select(paper, truth_position, *(F.col(c).alias(f"__t_{c}") for c in ("dataset", "metric", "value")))
-    agree = X.substring_match(F.col("__e_dataset"), F.col("__t_dataset")).cast("int") + X.same_metric(F.col("__e_metric"), F.col("__t_metric")).cast("int") + X.values_match(F.col("__e_value"), F.col("__t_value"), tolerance).cast("int")
-    joined = e.join(t, paper, "left").withColumn("score", F.coalesce(agree, F.lit(0)))
-    best = Window.partitionBy(extraction_id).orderBy(F.col("score").desc(), truth_position)
+    parts = ("dataset", "metric", "value")
+    side = lambda df, key, name: df.select(paper, F.col(key).alias(f"__{name}_id"), *(F.col(c).alias(f"__{name}_{c}") for c in parts))
+    e, t = side(extracted, extraction_id, "e"), side(truth, truth_position, "t")
+    # Equal rows agree alike: distinct ones are compared, of equal truths the first.
+    own, theirs = [f"__e_{c}" for c in parts], [f"__t_{c}" for c in parts]
+
+    def read(df: DataFrame, n: str) -> DataFrame:
+        named = df.withColumns({f"__{n}_name": X.normalize(F.col(f"__{n}_dataset")), f"__{n}_measure": X.normalize(F.col(f"__{n}_metric")), f"__{n}_number": X.numeric_value(F.col(f"__{n}_value"))})
+        return named.withColumn(f"__{n}_aliased", X.aliased(F.col(f"__{n}_measure"))).repartition(paper)
+
+    asked = read(e.select(paper, *own).distinct(), "e")
+    known = read(t.groupBy(paper, *theirs).agg(F.min_by("__t_id", F.struct("__t_id")).alias("__t_id")), "t")
+    e_, t_ = ([F.col(f"__{n}_{c}") for c in ("name", "measure", "aliased", "number")] for n in "et")
+    agree = X.normalized_match(e_[0], t_[0]).cast("int") + X.metrics_match(e_[1], e_[2], t_[1], t_[2]).cast("int") + X.numbers_match(e_[3], t_[3], tolerance).cast("int")
+    scored = asked.join(known, paper, "left").withColumn("score", F.coalesce(agree, F.lit(0)))
+    order = F.struct(-F.col("score"), F.col("__t_id"))
+    found = scored.groupBy(paper, *own).agg(F.min_by(F.struct("score", "__t_id"), order).alias("__best"))
+    found = found.select(*(F.col(c).alias(f"__f{i}") for i, c in enumerate((paper, *own))), "__best")
+    same = F.lit(True)
+    for i, c in enumerate((paper, *own)):
+        same = same & F.col(c).eqNullSafe(F.col(f"__f{i}"))
+    joined = e.join(found, same).select(paper, F.col("__e_id").alias(extraction_id), "__best.score", F.col("__best.__t_id").alias("__t_id"))
+    best = Window.partitionBy(extraction_id).orderBy(F.col("score").desc(), "__t_id")
     top = joined.withColumn("__n", F.row_number().over(best)).where("__n = 1")
-    return top.select(paper, extraction_id, F.when(F.col("score") > 0, F.col(truth_position)).alias("matched"), "score", (F.col("score") == 3).alias("correct"))
+    return top.select(paper, extraction_id, F.when(F.col("score") > 0, F.col("__t_id")).alias("matched"), "score", (F.col("score") == 3).alias("correct"))
 
 
 def usable_features(df: DataFrame, columns: list[str]) -> list[str]:
