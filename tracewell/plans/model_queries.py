@@ -57,9 +57,9 @@ def mean_interval(spark, sf):
     f"{_RESAMPLED(f'SELECT lang, doc_id AS i, quality AS y, words::DOUBLE AS s FROM ({DOCS}) JOIN labels USING (doc_id)')}, c AS (SELECT lang, b, s, coalesce(sum(w) FILTER (WHERE y = 1), 0) AS p, coalesce(sum(w) FILTER (WHERE y = 0), 0) AS q FROM v JOIN wt USING (i) GROUP BY ALL), k AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY lang, b ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c), m AS (SELECT lang, b, sum(p * (below + q / 2)) / (sum(p) * sum(q)) AS x FROM k GROUP BY ALL HAVING sum(p) > 0 AND sum(q) > 0) SELECT lang, {_CI} FROM m GROUP BY lang",
 )
 def auc_interval(spark, sf):
-    """AUC of the length for quality per language, in 1,000 resamples."""
+    """AUC of the length for quality per language, in 1,000 resamples; a language without a resample of both classes has no row."""
     rows = labelled(spark, sf).select("lang", "doc_id", "quality", F.col("words").cast("double").alias("words"))
-    return rounded(resampling.weighted_auc_interval(rows, "quality", "words", "doc_id", ["lang"]))
+    return rounded(resampling.weighted_auc_interval(rows, "quality", "words", "doc_id", ["lang"]).where("resamples > 0"))
 
 
 # Models: documents' quality from their surface features, and their length in words from the other features.
