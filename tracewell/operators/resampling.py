@@ -22,6 +22,8 @@ from .statistics import value_range
 MODULUS = 2_147_483_647
 #: Rows of a range, about.
 RANGE_ROWS = 20_000
+#: Rows whose weights are held at once.
+WEIGHED_ROWS = 4_000
 
 
 def poisson_cuts(most: int = 9) -> list[int]:
@@ -66,23 +68,30 @@ def weighted_auc_interval(df: DataFrame, target: str, score: str, number: str, g
         y, s, i = (table.column(c).to_numpy() for c in ("__y", "__s", "__i"))
         order = np.argsort(s, kind="stable")
         cell = np.concatenate([[0], np.cumsum(np.diff(s[order]) != 0)]) if len(order) else np.zeros(0, int)
-        before, won = np.zeros(resamples), np.zeros(resamples)
-        positives = np.zeros(resamples)
-        bounds = np.flatnonzero(np.diff(cell)) + 1
-        # A few thousand rows at a time, which never part a score.
-        at = 0
-        while at < len(order):
-            after = bounds[bounds >= at + 4000]
-            stop = int(after[0]) if len(after) else len(order)
-            own = order[at:stop]
+        before, won, positives = np.zeros(resamples), np.zeros(resamples), np.zeros(resamples)
+        # A few thousand rows at a time; the last score of them stays open, as its rows may go on.
+        open_p, open_q = np.zeros(resamples), np.zeros(resamples)
+        for at in range(0, len(order), WEIGHED_ROWS):
+            part = slice(at, at + WEIGHED_ROWS)
+            own = order[part]
             w, up = weights(i[own], resamples, seed).astype(float), y[own] == 1
-            starts = np.flatnonzero(np.diff(cell[at:stop], prepend=-1))
+            starts = np.flatnonzero(np.diff(cell[part], prepend=-1))
             pos, neg = np.add.reduceat(w * up[:, None], starts, 0), np.add.reduceat(w * ~up[:, None], starts, 0)
+            if at and cell[at] == cell[at - 1]:
+                pos[0] += open_p
+                neg[0] += open_q
+            else:
+                won += open_p * (before + open_q / 2)
+                positives += open_p
+                before += open_q
+            open_p, open_q, pos, neg = pos[-1], neg[-1], pos[:-1], neg[:-1]
             below = before + np.cumsum(neg, 0) - neg
             won += (pos * (below + neg / 2)).sum(0)
             positives += pos.sum(0)
             before += neg.sum(0)
-            at = stop
+        won += open_p * (before + open_q / 2)
+        positives += open_p
+        before += open_q
         head = [table.column(c).slice(0, 1) for c in [*group, "__range"]]
         return pa.table([*head, *(pa.array([v.tolist()], pa.list_(pa.float64())) for v in (positives, before, won))], names=[*group, "__range", "p", "q", "w"])
 
@@ -115,9 +124,9 @@ def weighted_mean_interval(df: DataFrame, value: str, number: str, resamples: in
         sums = np.zeros((2, resamples))
         for batch in batches:
             i, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for at in range(0, len(i), 4000):
-                w = weights(i[at : at + 4000], resamples, seed)
-                sums += np.stack([v[at : at + 4000] @ w, w.sum(0)])
+            for at in range(0, len(i), WEIGHED_ROWS):
+                w = weights(i[at : at + WEIGHED_ROWS], resamples, seed)
+                sums += np.stack([v[at : at + WEIGHED_ROWS] @ w, w.sum(0)])
         yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary()) for s in sums], names=["a", "b"])
 
     def join(batches):
@@ -128,8 +137,8 @@ def weighted_mean_interval(df: DataFrame, value: str, number: str, resamples: in
         row = [len(x), float(x.mean()) if len(x) else None, *cut, float((x <= 0).mean()) if len(x) else None]
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), *[pa.float64()] * 4), strict=True)], names=["resamples", "mean", "low", "high", "p_one_tailed"])
 
-    # A row of two arrays per task meets in one task.
-    return rows.mapInArrow(add, "a binary, b binary").coalesce(1).mapInArrow(join, "resamples bigint, mean double, low double, high double, p_one_tailed double")
+    # A row of two arrays per task meets in one task, by a shuffle: the rows themselves are added up where they are read.
+    return rows.mapInArrow(add, "a binary, b binary").repartition(1).mapInArrow(join, "resamples bigint, mean double, low double, high double, p_one_tailed double")
 
 
 def mixed_column(row: Column, resample: Column, seed: int = 42) -> Column:
