@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tracewell
-from tracewell.operators import attribution, boosting, detectors, gram, labeling, resampling, series, specs
+from tracewell.operators import attribution, boosting, detectors, gram, labeling, models, resampling, series, specs
 from tracewell.sources import archives
 
 
@@ -159,6 +159,32 @@ def test_series_classifier_tells_shapes_apart(session):
     assert np.mean([(r.prob >= 0.5) == r.y for r in out]) >= 0.9
 
 
+def test_features_leave_in_small_batches(session, monkeypatch):
+    rng = np.random.default_rng(21)
+    rows = [(i, None if i % 7 == 3 else rng.normal(size=20).tolist()) for i in range(40)]
+    df = session.createDataFrame(rows, "id int, s array<double>").coalesce(1)
+    model = series.Convolutions.fit(rng.normal(size=(8, 20)), 84 * 2)
+    plain = series.Convolutions.transform
+    monkeypatch.setattr(series, "SERIES_ROWS", 6)
+
+    def few(self, x):
+        assert len(x) <= 6
+        return plain(self, x)
+
+    monkeypatch.setattr(series.Convolutions, "transform", few)
+    out = {r.id: r.f for r in series.with_features(df, model, "s", "f", np.zeros(168), np.full(168, 2.0)).collect()}
+    assert all((out[i] is None) == (v is None) for i, v in rows)
+    known = [(i, v) for i, v in rows if v is not None]
+    assert np.allclose([out[i] for i, _ in known], plain(model, np.array([v for _, v in known])) / 2)
+
+
+def test_weights_of_classes_move_no_rows(session):
+    df = session.range(0, 100, 1, 5).select("id", (F.col("id") % 4 == 0).cast("int").alias("y"))
+    weighted = models.balanced_weights(df, "y")
+    assert "SortMergeJoin" not in weighted._jdf.queryExecution().executedPlan().toString() and "BroadcastHashJoin" in weighted._jdf.queryExecution().executedPlan().toString()
+    assert {(r.y, round(r.weight, 9)) for r in weighted.collect()} == {(1, 2.0), (0, round(100 / 150, 9))}
+
+
 # Ridge ---------------------------------------------------------------------------------------------------------------
 
 
@@ -242,6 +268,30 @@ def test_weighted_interval_equals_plain_loops(session, monkeypatch):
     assert (out["w"].resamples, out["w"].low) == (0, None)
 
 
+def test_weights_of_one_score_are_held_in_parts(session, monkeypatch):
+    """Rows of one score are weighted some at a time, however many there are, and the result is that of all at once."""
+    rows = [(i, i % 3 % 2, float(i % 2)) for i in range(400)]
+    df = session.createDataFrame(rows, "i bigint, y int, s double").coalesce(1)
+    monkeypatch.setattr(resampling, "WEIGHED_ROWS", 1000)
+    whole = resampling.weighted_auc_interval(df.select(F.lit("g").alias("g"), "*"), "y", "s", "i", ["g"], 50).first()
+    plain = resampling.weights
+
+    def few(rows, resamples, seed=42):
+        assert len(rows) <= 7
+        return plain(rows, resamples, seed)
+
+    monkeypatch.setattr(resampling, "WEIGHED_ROWS", 7)
+    monkeypatch.setattr(resampling, "weights", few)
+    assert resampling.weighted_auc_interval(df.select(F.lit("g").alias("g"), "*"), "y", "s", "i", ["g"], 50).first() == whole
+
+
+def test_mean_interval_reads_rows_in_many_tasks(session):
+    """Only the tasks' sums meet in one task, not the rows."""
+    df = session.range(0, 100, 1, 5).select("id", F.col("id").cast("double").alias("v"))
+    plan = resampling.weighted_mean_interval(df, "v", "id", 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 1, true" in plan and "Repartition 1, false" not in plan
+
+
 def test_verdicts(session):
     rng = np.random.default_rng(9)
     rows = []
