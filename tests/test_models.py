@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import tracewell
-from tracewell.operators import attribution, boosting, detectors, gram, labeling, models, resampling, series, specs
+from tracewell.operators import attribution, boosting, detectors, gram, labeling, models, resampling, retrieval, series, specs
 from tracewell.sources import archives
 
 
@@ -204,6 +205,43 @@ def test_ridge_equals_numpy(session):
         gram.ridge(df.where("id < 0"), "x", "y")
 
 
+def test_sparse_ridge_equals_ridge(session):
+    rng = np.random.default_rng(21)
+    x = rng.integers(0, 3, (200, 30)) * (rng.random((200, 30)) < 0.15)
+    x[:, 29] = 0
+    x[7] = 0
+    y = rng.normal(size=(200, 11))
+    rows = [(k, a.astype(float).tolist(), np.flatnonzero(a).tolist(), a[a != 0].astype(float).tolist(), b.tolist()) for k, (a, b) in enumerate(zip(x, y, strict=True))] + [(999, None, None, None, [0.0] * 11)]
+    df = session.createDataFrame(rows, "id int, x array<double>, i array<int>, v array<double>, y array<double>").repartition(3)
+    model, want = gram.sparse_ridge(df, "i", "v", "y", 30, 10.0), gram.ridge(df, "x", "y", 10.0)
+    assert np.allclose(model.weights, want.weights) and np.allclose(model.intercept, want.intercept)
+    both = df.select("id", gram.sparse_residual(model, "i", "v", "y").alias("a"), gram.residual(want, "x", "y").alias("b")).collect()
+    assert all(r.a is None and r.b is None if r.id == 999 else np.allclose(r.a, r.b) for r in both)
+    with pytest.raises(ValueError):
+        gram.sparse_ridge(df.where("id < 0"), "i", "v", "y", 30)
+
+
+def test_sparse_ridge_of_many_inputs(session):
+    # The square of 40,000 inputs would take 12.8 GB.
+    rows = [(i, [i % 40_000, 39_999 - i % 7], [1.0, 2.0], [float(i % 5)]) for i in range(2_000)]
+    df = session.createDataFrame(rows, "id int, i array<int>, v array<double>, y array<double>")
+    model = gram.sparse_ridge(df, "i", "v", "y", 40_000, 10.0)
+    assert model.weights.shape == (40_000, 1)
+    rest = np.array([r.y[0] - model.intercept[0] - np.dot(r.v, model.weights[r.i, 0]) for r in df.collect()])
+    assert abs(rest.sum()) < 1e-6
+    for place in (0, 1999, 39_999):  # the gradient is 0
+        at = [(k, v[i.index(place)]) for k, i, v, _ in rows if place in i]
+        assert sum(v * rest[k] for k, v in at) == pytest.approx(10 * model.weights[place, 0], abs=1e-6)
+
+
+def test_section_words_stay_sparse(session):
+    from tracewell.plans import model_queries
+
+    rows = session.createDataFrame([(1, "a bird sang here"), (2, "a bird flew"), (3, "")], "id int, section string")
+    out = {r.id: r for r in model_queries.section_grams(rows)(rows).collect()}
+    assert out[1].x.size == 1 and (out[1].i, out[1].v) == ([0], [1.0]) and (out[3].i, out[3].v) == ([], [])
+
+
 # Out of fold and artifacts -------------------------------------------------------------------------------------------
 
 
