@@ -485,3 +485,11 @@ def test_tokens_of_passages_are_not_shuffled(session):
     assert {k for k in exchanges(found) if "l" in k.split(", ")} == {"g, l"}
     whole = retrieval.overlap_f1(tokens(left, "l"), tokens(right, "r"), "g", "l", "r")
     assert {k for k in exchanges(whole) if "l" in k.split(", ")} == {"g, l"}
+
+
+def test_terms_of_documents_are_not_shuffled_for_bm25(session):
+    documents = session.createDataFrame([(0, 1, "a b c"), (0, 2, "a a d"), (1, 3, "b"), (None, 4, "a")], "g int, doc_id int, text string")
+    queries = session.createDataFrame([(0, 7, "a b"), (1, 8, "b b")], "g int, query_id int, text string")
+    found = retrieval.bm25(documents, queries, "g")
+    assert {(r.query_id, r.doc_id) for r in found.collect()} == {(7, 1), (7, 2), (8, 3)}
+    assert {k for k in exchanges(found) if "doc_id" in k.split(", ")} == {"g, doc_id"}

@@ -107,9 +107,11 @@ def set_f1(a: Column, b: Column) -> Column:
 def bm25(documents: DataFrame, queries: DataFrame, group: str, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text") -> DataFrame:
     """Okapi BM25 of every query against the documents of its group that share a token with it.
 
-    Statistics are per group.  A negative idf becomes IDF_FLOOR times the group's mean idf.
+    Statistics are per group.  A negative idf becomes IDF_FLOOR times the group's mean idf.  The terms of the queries
+    are sent to every task, and a document's scores are added up where its terms are.
     """
     split = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    documents = documents.where(F.col(group).isNotNull())
     terms = token_counts(documents, [group, doc_id], split)
     sizes = documents.select(group, F.size(split).alias("__size")).groupBy(group).agg(F.count("*").alias("__docs"), F.avg("__size").alias("__avgdl"))
     found = terms.groupBy(group, "token").agg(F.count("*").alias("__df")).join(sizes, group)
@@ -119,7 +121,7 @@ def bm25(documents: DataFrame, queries: DataFrame, group: str, doc_id: str = "do
     idf = found.join(means, group).select(group, "token", F.when(F.col("__raw") < 0, IDF_FLOOR * F.col("__mean")).otherwise(F.col("__raw")).alias("__idf"), "__avgdl")
     asked = queries.select(group, query_id, F.explode(split).alias("token")).groupBy(group, query_id, "token").agg(F.count("*").alias("__times"))
     weight = F.col("n") * (BM25_K1 + 1) / (F.col("n") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("size") / F.col("__avgdl")))
-    return asked.join(idf, [group, "token"]).join(terms, [group, "token"]).groupBy(group, query_id, doc_id).agg(F.sum(F.col("__times") * F.col("__idf") * weight).alias("bm25"))
+    return terms.join(F.broadcast(asked.join(idf, [group, "token"])), [group, "token"]).groupBy(group, query_id, doc_id).agg(F.sum(F.col("__times") * F.col("__idf") * weight).alias("bm25"))
 
 
 def against_all(queries: DataFrame, rows: DataFrame, row_id: str) -> DataFrame:
