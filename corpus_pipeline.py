@@ -41,7 +41,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     folder = work.workspace(spark, "near_dedup")
     found = work.materialize(minhash.near_duplicates(docs).where("kept"), f"{folder}/kept")
     kept = work.unused(docs, "kept_id")
-    named = docs.join(found.where("doc_id is not null").select(F.col("doc_id").alias(kept)).distinct(), F.col("doc_id") == F.col(kept), "left_semi")
+    # Always by a shuffle of both sides: a broadcast of few ids would make small and large inputs behave differently.
+    ids = found.where("doc_id is not null").select(F.col("doc_id").alias(kept)).distinct()
+    named = docs.join(ids.hint("merge"), F.col("doc_id") == F.col(kept), "left_semi")
     body = F.xxhash64(F.col("text").cast("binary"))
     leads = found.where("doc_id is null and (lead_body is null or body = lead_body)").select(F.col("body").alias(kept)).distinct()
     nameless = docs.where("doc_id is null").join(leads, body == F.col(kept), "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 from test_documents import brute_repeats, brute_sets
@@ -88,3 +90,12 @@ def test_stages_take_clashing_names(spark):
         out = stage(spark, wide, DATA)
         assert out.columns == wide.columns and out.where("place = 'v' and node = 'v'").count() == out.count(), name
     assert corpus_pipeline.packing_stage(spark, wide, DATA).count() == 4
+
+
+def test_near_dedup_joins_texts_alike_at_all_sizes(spark):
+    rows = [(i, f"words of text number {i} that differ {i * 7} in many {i * 13} of their places {i * 17}") for i in range(20)]
+    docs = spark.createDataFrame([(0, rows[0][1]), *((i + 100, t) for i, t in rows)], "doc_id bigint, text string")
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(101, 120)]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin(\(skew=true\))? \[doc_id#\d+L\], \[kept_id#\d+L\], LeftSemi", plan)

@@ -346,7 +346,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # A class is a node of its own, whatever ids its rows have; the numbers are written once and read from then on.
     classes = work.materialize(distinct.withColumn("node", F.monotonically_increasing_id()), f"{folder}/classes")
     named = classes.select(F.col("node").alias("rep"), "signature")
-    keyed = work.materialize(shared_keys(named).join(named, "rep"), f"{folder}/keyed")
+    keyed = work.materialize(shared_keys(named).join(named.hint("merge"), "rep"), f"{folder}/keyed")
     clusters = work.materialize(components(close_pairs(keyed, f"{folder}/keys"), f"{folder}/clusters"), f"{folder}/members")
     edges = confirm(docs, clusters, classes.drop("signature"), folder, id_col=id_col, text_col=text_col, width=width, percent=percent)
     # Different texts under one id are one document.
