@@ -84,3 +84,34 @@ def test_tiles_of_neighbours_are_bounded(monkeypatch):
     monkeypatch.setattr(tiles, "PAIRS", 3_000)
     parts = list(tiles.nearest_of_rows(v, np.arange(300), v, np.arange(300), 5))
     assert [first for first, *_ in parts] == list(range(0, 300, 10)) and sum(len(r) for _, r, *_ in parts) == 1500
+
+
+def test_means_by_sums_are_those_of_all_pairs(spark, small):
+    draw = np.random.default_rng(5)
+    rows = [(i, ["macro", "micro", None][i % 3], draw.normal(size=5).tolist()) for i in range(90)]
+    rows += [(10, "micro", [1.0] * 5), (91, "macro", None), (92, "macro", [1.0, 2.0]), (100, "micro", [2.0, 1.0]), (101, "micro", [0.0] * 5), (110, "micro", None), (120, "macro", [float("inf")] * 5)]
+    q, r = sides(spark, rows)
+    found, want = ({(t.query_id, t.level): t.mean for t in df.collect() if t.mean is not None} for df in (tiles.level_means_by_sums(q, r), tiles.level_means(q, r)))
+    assert found.keys() == want.keys() and (100, "macro") in found
+    assert all(found[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_paired_conditions_pairs_only_queries_whose_last_digit_is_unsure(spark, monkeypatch):
+    data, asked = "/root/testdata/sf0.001", []
+    pairs = tiles.level_means
+    monkeypatch.setattr(tiles, "level_means", lambda q, r: asked.append(q.count()) or pairs(q, r))
+    assert queries()["q_paired_conditions"](spark, data).count() == 5
+    assert sum(asked) <= 1
+
+
+def test_paired_conditions_where_rounding_turns_the_last_digit(spark, tmp_path):
+    x = np.random.default_rng(2).uniform(0.1, 0.9, size=(400_000, 3)).astype(np.float32)
+    cosine = x / np.sqrt(x.astype(float) ** 2 + 1)
+    plain, rounded = cosine.mean(1), cosine.round(9).mean(1)
+    turned = np.flatnonzero((plain.round(6) != rounded.round(6)) & (np.abs(rounded * 1e6 % 1 - 0.5) > 1e-5))
+    for n, i in enumerate(turned[:3]):
+        rows = [(0, [1.0, 0.0], 1), (1, [0.0, 1.0], 0), *((2 + j, [float(v), 1.0], 2) for j, v in enumerate(x[i]))]
+        spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        found = queries()["q_paired_conditions"](spark, f"{tmp_path}/{n}").collect()
+        assert [(t.query_id, t.difference) for t in found] == [(0, round(rounded[i], 6))]
+    assert len(turned) >= 3
