@@ -5,6 +5,7 @@ from __future__ import annotations
 import inspect
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,35 @@ def test_paired_conditions_where_rounding_turns_the_last_digit(spark, tmp_path):
         found = queries()["q_paired_conditions"](spark, f"{tmp_path}/{n}").collect()
         assert [(t.query_id, t.difference) for t in found] == [(0, round(rounded[i], 6))]
     assert len(turned) >= 3
+
+
+def test_only_rows_near_the_best_get_a_cosine(monkeypatch):
+    draw = np.random.default_rng(4)
+    v = draw.normal(size=(3_000, 8)).astype(np.float32)
+    v[500:600] = v[3]  # ties
+    level = [["macro", "micro", None][i % 3] for i in range(3_000)]
+    asks = [(i, v[i].tolist(), None, True, [None, "micro"][i % 2]) for i in range(40)]
+    rows = asks + [(i, v[i].tolist(), level[i], False, None) for i in range(3_000)]
+    table = pa.table(dict(zip(("id", "v", "level", "asks", "only"), (list(c) for c in zip(*rows)))))
+    x = v.astype(float) / np.sqrt((v.astype(float) ** 2).sum(1))[:, None]
+    cosine = (x[:40] @ x.T).round(9)
+    paired = []
+    monkeypatch.setattr(tiles.np, "lexsort", lambda keys, sort=np.lexsort: paired.append(len(keys[0])) or sort(keys))
+    for per_level in (False, True):
+        found = [t for part in tiles.nearest_by_cosine(table, 6, per_level) for t in zip(*(x.tolist() for x in part))]
+        monkeypatch.undo()
+        for i in range(40):
+            for name in ["micro"] if i % 2 else ["macro", "micro", None] if per_level else [""]:
+                ids = np.array([j for j in range(3_000) if name == "" or level[j] == name])
+                want = ids[np.lexsort((ids, -cosine[i, ids]))[:6]].tolist()
+                got = [(d, c) for q, d, lv, _, c in found if q == i and name in ("", lv)]
+                assert [d for d, _ in got] == want and [c for _, c in got] == pytest.approx(cosine[i, want], abs=2e-9)
+    assert sum(paired) < 40 * 3_000 / 10
+
+
+def test_routed_queries_are_searched_in_their_level(spark):
+    data = "/root/testdata/sf0.001"
+    found = retrieval_queries.candidates(spark, data, 5, only=retrieval.searched_level())
+    routed = found.where("coalesce(confidence, 1) >= 0.6")
+    assert routed.count() > 0 and routed.where(F.col("level") != retrieval.effective_level(F.col("predicted"))).count() == 0
+    assert queries()["q_level_routed_v2"](spark, data).count() == 25

@@ -164,6 +164,11 @@ def routed_with_fallback(candidates: DataFrame, least: float = LEAST_CONFIDENCE)
     return candidates.where((F.coalesce("confidence", F.lit(1.0)) < least) | (F.col("level") == effective_level(F.col("predicted"))))
 
 
+def searched_level(least: float = LEAST_CONFIDENCE) -> Column:
+    """The one level whose candidates :func:`routed_with_fallback` leaves a query; NULL if it may leave all."""
+    return F.when(F.coalesce("confidence", F.lit(1.0)) >= least, effective_level(F.col("predicted")))
+
+
 def boosted(score: Column, weight: float = BOOST) -> Column:
     """Score times 1 + weight * confidence where the level is the predicted one; a negative score gets worse."""
     return F.when(F.col("level") == effective_level(F.col("predicted")), score * (1 + weight * F.coalesce("confidence", F.lit(0.5)))).otherwise(score)
