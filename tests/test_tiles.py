@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import inspect
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -148,3 +149,11 @@ def test_routed_queries_are_searched_in_their_level(spark):
     routed = found.where("coalesce(confidence, 1) >= 0.6")
     assert routed.count() > 0 and routed.where(F.col("level") != retrieval.effective_level(F.col("predicted"))).count() == 0
     assert queries()["q_level_routed_v2"](spark, data).count() == 25
+
+
+def test_scores_of_nine_digits_are_rounded_as_in_sql(spark):
+    scores = [0.5047875, -0.5047875, *((np.random.default_rng(6).integers(-1_000_000, 1_000_000, 2_000) * 1_000 + 500) / 1e9).tolist()]
+    rows = spark.createDataFrame([(i, i, s) for i, s in enumerate(scores)], "query_id long, doc_id long, x double")
+    found = [t.score for t in retrieval_queries._ranked(rows, F.col("x")).orderBy("query_id").collect()]
+    con = duckdb.connect()
+    assert found == [con.execute("SELECT round(?::DOUBLE, 6) + 0.0", [s]).fetchone()[0] for s in scores]
