@@ -47,3 +47,11 @@ def test_every_part_is_compared(spark):
                 scores.append((1 + (s in t or t in s) + any(near(z, y) for z in (x, x * 100, x * 0.01)), -b.p_partkey))
         score, key = max(scores)
         assert (found[a.p_partkey].score, found[a.p_partkey].matched) == (score, -key)
+
+
+def test_mean_sentence_lengths_end_in_half_a_unit(spark, tmp_path):
+    """Means over 640, 1,280 and 1,920 sentences have seven digits; two texts have no sentence."""
+    texts = ["a. " * (n - 1) + "a " * (k + 1) for n in (128, 640, 1_280, 1_920) for k in range(0, 120, 3)] + ["... !?", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' source", "'l' lang", "length(text) n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    name = "q_sentence_length"
+    assert difference(name, plans.queries()[name], plans.oracle_sql()[name], spark, duck(str(tmp_path)), str(tmp_path)) is None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -27,6 +27,11 @@ def rounded(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataF
     return df.select(*((F.round(F.col(n), digits) + F.lit(0.0)).alias(n) if t == "double" and n not in keep else F.col(n) for n, t in df.dtypes))
 
 
+def six_digits(value: Column) -> Column:
+    """Six digits of a number that often ends in half a unit, as SQL has them: ``round(value, 6)`` goes by its decimal digits, SQL by the product in doubles."""
+    return F.round(value * 1e6) / 1e6
+
+
 JUMPS = f"""
 WITH ev AS ({EV}), d AS (SELECT *, lvl - lag(lvl) OVER w AS delta FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 nz AS (SELECT user_id, sign(delta) AS s, lag(sign(delta)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM d WHERE delta <> 0),
