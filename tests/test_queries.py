@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 from compare import difference, duck
+from pyspark.sql import functions as F
 
 from tracewell import plans
 
@@ -55,3 +56,14 @@ def test_mean_sentence_lengths_end_in_half_a_unit(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' source", "'l' lang", "length(text) n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     name = "q_sentence_length"
     assert difference(name, plans.queries()[name], plans.oracle_sql()[name], spark, duck(str(tmp_path)), str(tmp_path)) is None
+
+
+def test_pairs_of_one_group_are_made_by_several_tasks(spark, tmp_path):
+    """3,000 parts of one size and brand, in one file: 4.5 million pairs, each once."""
+    rows = spark.range(3_000).selectExpr("id p_partkey", "'b' p_brand", "1 p_size", "id / 7 p_retailprice")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = plans.queries()["q_fuzzy_numeric_match"](spark, str(tmp_path))
+    found = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.count_if("matched").alias("matched"), F.sum(F.col("a") * 3_000 + F.col("b")).alias("keys")).collect()
+    assert len(found) > 1 and max(r.n for r in found) < 4_498_500
+    sql = f"SELECT count(*), count(*) FILTER (WHERE matched), sum(a * 3000 + b) FROM ({plans.oracle_sql()['q_fuzzy_numeric_match']})"
+    assert tuple(sum(r[k] for r in found) for k in ("n", "matched", "keys")) == duck(str(tmp_path)).execute(sql).fetchone()

@@ -73,6 +73,25 @@ def pairs_within(df: DataFrame, group: str, order: str) -> DataFrame:
     return df.select(group, F.col(order).alias("left")).join(df.select(group, F.col(order).alias("right")), group).where("left < right")
 
 
+#: Rows of a group in one tile, and pairs that a task makes.
+TILE_ROWS, TASK_PAIRS = 512, 8_000_000
+
+
+def paired(df: DataFrame, group: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of all pairs within a group, to be joined on ``group`` and ``tile``.
+
+    A row of the left has one tile and a row of the right all tiles of its group, so no key has all pairs of a large
+    group.  Rows are dealt by the number of pairs, as rows are few where pairs are many.
+    """
+    sizes = df.groupBy(*group).agg(F.count("*").alias("__n"))
+    pairs = sizes.agg(F.sum(F.col("__n").cast("double") ** 2)).first()[0] or 0.0
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(-(-pairs // TASK_PAIRS)))
+    counted = df.join(sizes, group).withColumn("__n", F.ceil(F.col("__n") / TILE_ROWS).cast("int"))
+    left = counted.withColumn("tile", F.pmod(F.xxhash64(key), F.col("__n")).cast("int"))
+    right = counted.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    return tuple(side.drop("__n").repartition(parts, *group, "tile") for side in (left, right))
+
+
 def consecutive_pairs(df: DataFrame, group: str, order: str) -> DataFrame:
     return df.select(group, F.col(order).alias("left"), F.lead(order).over(Window.partitionBy(group).orderBy(order)).alias("right")).where("right is not null")
 

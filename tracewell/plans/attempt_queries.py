@@ -236,8 +236,9 @@ def parse_bool(spark, sf):
 @query("q_fuzzy_numeric_match", "WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_retailprice AS x, b.p_retailprice AS y FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey) SELECT a, b, (x = 0 AND y = 0) OR (y <> 0 AND (abs(x - y) <= 0.02::DOUBLE * abs(y) OR abs(x * 100 - y) <= 0.02::DOUBLE * abs(y) OR abs(x * 0.01::DOUBLE - y) <= 0.02::DOUBLE * abs(y))) AS matched FROM p")
 def fuzzy_numeric_match(spark, sf):
     part = load_table(spark, sf, "part").select("p_partkey", "p_size", "p_brand", X.numeric_value(F.col("p_retailprice").cast("string")).alias("v"))
-    b = part.select("p_size", "p_brand", F.col("p_partkey").alias("b"), F.col("v").alias("w"))
-    return part.withColumnRenamed("p_partkey", "a").join(b, ["p_size", "p_brand"]).where("a < b").select("a", "b", X.numbers_match(F.col("v"), F.col("w")).alias("matched"))
+    left, right = H.paired(part, ["p_size", "p_brand"], "p_partkey")
+    b = right.select("p_size", "p_brand", "tile", F.col("p_partkey").alias("b"), F.col("v").alias("w"))
+    return left.withColumnRenamed("p_partkey", "a").join(b, ["p_size", "p_brand", "tile"]).where("a < b").select("a", "b", X.numbers_match(F.col("v"), F.col("w")).alias("matched"))
 
 
 @query("q_best_fuzzy_match")
