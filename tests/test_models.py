@@ -93,6 +93,16 @@ def test_blocks_give_the_same_trees(session, task):
     assert one.gain == pytest.approx(many.gain)
 
 
+def test_a_large_table_is_fitted_by_few_jobs(session):
+    """120,000 rows: a tree's passes are no jobs of their own."""
+    df = session.range(120_000).selectExpr("id", "cast(id % 1000 > 300 as double) y", "(id * 7919) % 1000 / 10.0 a", "id % 1000 + 0.0 b")
+    session.sparkContext.setJobGroup("large", "boosting")
+    forest = boosting.fit(df, "y", ["a", "b"], boosting.Boosting(trees=3, leaves=8))
+    jobs = session.sparkContext.statusTracker().getJobIdsForGroup("large")
+    session.sparkContext._jsc.clearJobGroup()
+    assert 0 < len(jobs) <= 8 and len(forest.trees) == 3 and forest.gain[1] > forest.gain[0]
+
+
 def test_boosting_learns_and_counts_gains(session):
     x, y = table(600, 3)
     forest = boosting.fit(frame(session, x, y), "y", COLUMNS, boosting.Boosting(trees=60))
