@@ -170,6 +170,25 @@ def test_series_classifier_tells_shapes_apart(session):
     assert np.mean([(r.prob >= 0.5) == r.y for r in out]) >= 0.9
 
 
+@pytest.mark.parametrize("task_bytes", [series.TASK_BYTES, 0])
+def test_series_fit_keeps_counts_of_a_byte(session, monkeypatch, task_bytes):
+    """Fitted in one task or by passes over blocks, the slopes at the end are 0, and Spark caches no features."""
+    monkeypatch.setattr(series, "BLOCK_SERIES", 16)
+    monkeypatch.setattr(series, "TOLERANCE", 0.0)
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(90, 20)), (np.arange(90) % 3 == 0).astype(int)
+    x[y == 1] += np.linspace(0, 1, 20)
+    df = session.createDataFrame([(i, int(t), r.tolist()) for i, (t, r) in enumerate(zip(y, x, strict=True))], "id int, y int, s array<double>").repartition(3)
+    model = series.fit(df, "y", "s", "id", 84 * 2, c=0.1, task_bytes=task_bytes)
+    f, counts = model.convolutions.transform(x), model.convolutions.counts(x)
+    assert counts.dtype == np.uint8 and np.allclose(counts / model.convolutions.places(20), f)
+    scaled = (f - f.mean(0)) / np.where(f.std(0) > 0, f.std(0), 1.0)
+    prob = 1 / (1 + np.exp(-(scaled @ model.weights + model.intercept)))
+    rest = np.where(y == 1, 1.5, 0.75) * (prob - y) / 90
+    assert abs(rest.sum()) < 1e-4 and np.allclose(rest @ scaled + model.weights / 9, 0, atol=1e-4)
+    assert np.allclose([r.prob for r in model.predicted(df, "s").orderBy("id").collect()], prob)
+
+
 def test_features_leave_in_small_batches(session, monkeypatch):
     rng = np.random.default_rng(21)
     rows = [(i, None if i % 7 == 3 else rng.normal(size=20).tolist()) for i in range(40)]
